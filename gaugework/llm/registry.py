@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, secret_scan
+import os
+
+from . import chat_format, exact_dedup, language_id, secret_scan, sentencepiece_codec, toxicity, url_filter
 from .shared import table
 
+#: A public vocabulary; operators take any path.
+TOKENIZER = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_chat_format(spark, sf_dir):
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op9_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 OP7 = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Below the score of any piece, for the bytes of a character that no piece spells.
 FALLBACK = -1e6
-CACHE = 200_000
+#: Stretches kept by a worker, and the characters of one that is kept; longer ones are streamed.
+CACHE, KEPT = 400_000, 64
 
 
 @dataclass
@@ -124,18 +125,49 @@ class Viterbi:
 class Codec:
     def __init__(self, pieces: Pieces):
         self.p, self.kept = pieces, {}
+        #: Every prefix of a piece: its (score, id) if it is one itself, else None.
+        self.prefixes = {p[:n]: None for p in pieces.score for n in range(1, len(p))} | pieces.score
 
     def _stretch(self, text: str) -> list[int]:
         found = self.kept.get(text)
         if found is None:
-            v = Viterbi(self.p)
-            found = v.feed(text) + v.finish()
-            if len(text) <= 64:
-                if len(self.kept) >= CACHE:
-                    self.kept.clear()
-                self.kept[text] = found
+            if len(text) > KEPT:
+                v = Viterbi(self.p)
+                return v.feed(text) + v.finish()
+            found = self._short(text)
+            if len(self.kept) >= CACHE:
+                self.kept.clear()
+            self.kept[text] = found
         return found
 
+    def _short(self, text: str) -> list[int]:
+        """What Viterbi gives for a stretch within the window, walked from each start along the pieces' prefixes."""
+        n, prefixes, score = len(text), self.prefixes, self.p.score
+        best, back = [-1e300] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            base, j = best[i], i + 1
+            while j <= n:
+                hit = prefixes.get(text[i:j], 0)
+                if hit == 0:
+                    break
+                if hit is not None and base + hit[0] > best[j]:
+                    best[j], back[j] = base + hit[0], (i, hit[1])
+                j += 1
+            if text[i] not in score:
+                raw = text[i].encode()
+                if base + FALLBACK * len(raw) > best[i + 1]:
+                    best[i + 1], back[i + 1] = base + FALLBACK * len(raw), (i, raw)
+        out: list[int] = []
+        while n:
+            n, what = back[n]
+            if isinstance(what, bytes):
+                out += [self.p.byte_ids[b] for b in reversed(what)]
+            else:
+                out.append(what)
+        out.reverse()
+        return out
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
