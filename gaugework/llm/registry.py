@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import chat_format, exact_dedup, language_id, secret_scan, sentencepiece_codec, toxicity, url_filter
+from . import chat_format, exact_dedup, language_id, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from .shared import table
 
 #: A public vocabulary; operators take any path.
@@ -28,6 +28,10 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 

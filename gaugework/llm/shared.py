@@ -146,3 +146,70 @@ class Rolling:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def key64(*columns):
+    """A 64-bit key of columns, nulls told apart from any value."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+class Bloom:
+    """A set of 64-bit keys of fixed size: members always pass, others mostly do not."""
+
+    BITS, SEGMENTS = 24, 16
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap = bitmap
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> list[np.ndarray]:
+        a = mix64(keys.astype(np.int64).view(np.uint64))
+        return [(a >> np.uint64(64 - Bloom.BITS)).astype(np.int64), (a & np.uint64((1 << Bloom.BITS) - 1)).astype(np.int64)]
+
+    def __contains__(self, key):
+        return bool(self.passes(np.array([key]))[0])
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for slot in self._slots(keys):
+            found &= (self.bitmap[slot >> 3] >> (slot & 7)) & 1 == 1
+        return found
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Bloom:
+        """From a one-column frame of longs. Each segment of the bitmap is made by one task; the driver gets 2 MB in all."""
+        name, width = keys.columns[0], 1 << (cls.BITS - 3)
+
+        def slots(batches):
+            for batch in batches:
+                found = np.unique(np.concatenate(cls._slots(batch.column(0).to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_pydict({"segment": pa.array((found >> (cls.BITS - 4)).astype(np.int32)), "slot": pa.array(found.astype(np.int32))})
+
+        def bitmaps(batches):
+            parts: dict[int, np.ndarray] = {}
+            for batch in batches:
+                segment, slot = (batch.column(c).to_numpy() for c in ("segment", "slot"))
+                for s in np.unique(segment):
+                    own = parts.setdefault(int(s), np.zeros(width // cls.SEGMENTS, np.uint8))
+                    at = slot[segment == s] - int(s) * (1 << (cls.BITS - 4))
+                    np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for s, own in parts.items():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": pa.array([own.tobytes()], pa.binary())})
+
+        rows = keys.select(F.col(name).cast("long")).mapInArrow(slots, "segment int, slot int").distinct()
+        rows = rows.repartition(cls.SEGMENTS, "segment").mapInArrow(bitmaps, "segment int, bits binary")
+        bitmap = np.zeros(width, np.uint8)
+        for segment, bits in rows.collect():
+            part = np.frombuffer(bits, np.uint8)
+            bitmap[segment * len(part) : (segment + 1) * len(part)] |= part
+        return cls(bitmap)
+
+    def filter(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows of df whose key (a column of longs) may be in the set."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.passes(batch.column(key).to_numpy(zero_copy_only=False))))
+
+        return df.mapInArrow(run, df.schema)
