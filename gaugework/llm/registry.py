@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import chat_format, exact_dedup, language_id, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from . import chat_format, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from .shared import table
 
 #: A public vocabulary; operators take any path.
@@ -20,6 +20,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_sets(table(spark, sf_dir, "documents"), k=3, num=90)
+
+
 def op4_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 

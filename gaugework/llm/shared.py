@@ -213,3 +213,41 @@ class Bloom:
                 yield batch.filter(pa.array(shared.value.passes(batch.column(key).to_numpy(zero_copy_only=False))))
 
         return df.mapInArrow(run, df.schema)
+
+
+def salted_join(rows: DataFrame, key: str, one: DataFrame, salts: int = 32) -> DataFrame:
+    """rows with the columns of ``one`` (at most one row a key) for each row's key, or nulls; a hot key is spread over tasks."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    part = rows.select(key, "_salt").distinct().join(one, key, "left")
+    return rows.join(part, [key, "_salt"], "left").drop("_salt")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node in links (a, b): root is the smallest node of its component.
+
+    Large-star and small-star steps in turn, until nothing changes; each step is a grouped minimum handed
+    back by (node, salt), so that a node with very many neighbours is no single task's work.
+    """
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        if large:
+            edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = salted_lookup(edges, ["a"], [("m", F.min("b"), F.min)])
+        known = known.withColumn("m", F.least("m", "a"))
+        moved = known.where("b > a" if large else "b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        if not large:
+            moved = moved.unionByName(known.select("a", F.col("m").alias("b")))
+        return moved.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = mark(edges)
+    while seen[0]:
+        edges = materialize(star(star(edges, True), False), "edges")
+        now = mark(edges)
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
