@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import chat_format, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, secret_scan, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from .shared import table
 
 #: A public vocabulary; operators take any path.
@@ -40,6 +40,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
