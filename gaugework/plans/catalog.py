@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES: list[str] = []
+FAMILIES: list[str] = ["agreement_queries", "chart_queries", "sequential_queries", "decision_queries"]
 
 
 def _gather(attr: str) -> dict:
