@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mathx, rng
+from ..functions.storage import scratch
 
 TINY = 1e-15
 
@@ -202,6 +203,7 @@ def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 30, tol: f
     every few rounds in the checkpoint folder.
     """
     k = len(classes)
+    scratch(ratings.sparkSession, "classes")  # sets a checkpoint folder where there is none
     n = ratings.groupBy("item", "rater", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).persist()
     share = n.groupBy("item").agg(*[(F.sum(F.when(F.col("label") == c, F.col("c")).otherwise(0.0)) / F.sum("c")).alias(f"p{j}") for j, c in enumerate(classes)])
     post, last = share, None

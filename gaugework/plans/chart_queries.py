@@ -30,7 +30,7 @@ def cusum_fir(spark, sf):
 
 def shewhart(spark, sf):
     d = C.shewhart(C.with_limits(B.daily(spark, sf)), rules=(1, 2, 3, 4))
-    return d.select("series", "ord", F.round("z", 6).alias("z"), "rule", "kind")
+    return d.select("series", "ord", F.round("z", 6).alias("z"), F.coalesce("rule", F.lit(0)).alias("rule"), "kind")
 
 
 def ewma(spark, sf):
@@ -50,7 +50,7 @@ def edetector(spark, sf):
 
 
 def first(spark, sf):
-    return C.first_signal(C.cusum(_obs(spark, sf), h=4.0))
+    return C.first_signal(C.cusum(_obs(spark, sf), h=4.0)).withColumn("first_signal", F.coalesce("first_signal", F.lit(-1).cast("long")))
 
 
 def arl(spark, sf):
@@ -91,11 +91,11 @@ ORACLES = {
     "spc_cusum": _cusum_sql(0.0),
     "spc_cusum_fir": _cusum_sql(2.5),
     "spc_shewhart": f"""{_LIM}, r AS (SELECT series, ord, z, CASE WHEN abs(z) > 3 THEN 1 WHEN {_runs(3, 2, 2.0)} THEN 2 WHEN {_runs(5, 4, 1.0)} THEN 3 WHEN {_runs(8, 8, 0.0)} THEN 4 END AS rule FROM zs)
- SELECT series, ord, round(z, 6) AS z, rule, CASE WHEN rule IS NOT NULL THEN 'out_of_control' WHEN abs(z) > 2 THEN 'warning' ELSE 'in_control' END AS kind FROM r""",
+ SELECT series, ord, round(z, 6) AS z, coalesce(rule, 0) AS rule, CASE WHEN rule IS NOT NULL THEN 'out_of_control' WHEN abs(z) > 2 THEN 'warning' ELSE 'in_control' END AS kind FROM r""",
     "spc_ewma": f"""{_LIM}, p AS (SELECT *, ord - 20 AS k FROM zs WHERE ord > 20), e AS (SELECT a.series, a.ord, a.k, any_value(a.mu) AS mu, any_value(a.sigma) AS sigma, sum(0.2::DOUBLE * 0.8::DOUBLE ** (a.k - b.k) * b.x) + any_value(a.mu) * 0.8::DOUBLE ** a.k AS z FROM p a JOIN p b ON a.series = b.series AND b.k <= a.k GROUP BY a.series, a.ord, a.k),
  l AS (SELECT *, 2.962::DOUBLE * sigma * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - 0.8::DOUBLE ** (2 * k))) AS lim FROM e) SELECT series, ord, round(z, 6) AS ewma, round(lim, 6) AS "limit", abs(z - mu) > lim AS signal FROM l""",
     "spc_combined": f"{_OBS} SELECT series, CASE WHEN abs(z) > 3.5 THEN 'shewhart' WHEN cp > 5 THEN 'upper' WHEN cm > 5 THEN 'lower' ELSE 'none' END AS signal, count(*) AS n, min(ord) AS first FROM c GROUP BY 1, 2",
-    "spc_first_signal": f"{_OBS} SELECT series, min(CASE WHEN cp > 4 OR cm > 4 THEN ord END) AS first_signal FROM c GROUP BY 1",
+    "spc_first_signal": f"{_OBS} SELECT series, coalesce(min(CASE WHEN cp > 4 OR cm > 4 THEN ord END), -1) AS first_signal FROM c GROUP BY 1",
     "spc_edetector": f"""{_LIM}, l AS (SELECT series, ord, -0.5 * ln(2) + z * z / 4 AS l FROM zs WHERE ord > 20), s AS (SELECT *, sum(l) {_W} AS s FROM l),
  g AS (SELECT series, ord, exp(s - least(0, min(s) {_W})) AS growing, exp(sum(l) OVER (PARTITION BY series ORDER BY ord ROWS 4 PRECEDING)) AS fixed FROM s)
  SELECT series, ord, round(growing, 6) AS growing, round(fixed, 6) AS fixed, fixed >= 20 AS signal FROM g""",

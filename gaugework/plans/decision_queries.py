@@ -35,7 +35,7 @@ def spc_windows(spark, sf):
 
 def analyze_spc(spark, sf):
     t = _trials(spark, sf).withColumn("agent_id", F.lit("all"))
-    return _r(decisions.analyze_spc(t), 4)
+    return _r(decisions.analyze_spc(t).withColumn("first", F.coalesce("first", F.lit(0).cast("long"))), 4)
 
 
 def analyze_irr(spark, sf):
@@ -115,7 +115,7 @@ def blast_prefix(spark, sf):
 
 
 def bisect(spark, sf):
-    return _r(change.first_bad(B.changes(spark, sf), "AFRICA", 250000.0), 4)
+    return _r(change.first_bad(B.changes(spark, sf), "AFRICA", 300000.0), 4)
 
 
 def _cells(spark, sf):
@@ -262,7 +262,7 @@ ORACLES = {
  lim AS (SELECT task_id, avg(x) FILTER (ord <= 20) AS mu, stddev_samp(x) FILTER (ord <= 20) AS sigma, count(*) AS windows FROM d GROUP BY 1), p AS (SELECT d.*, mu, sigma, ord - 20 AS k FROM d JOIN lim USING (task_id) WHERE ord > 20),
  e AS (SELECT a.task_id, a.ord, a.k, any_value(a.mu) AS mu, any_value(a.sigma) AS sigma, sum(0.2::DOUBLE * 0.8::DOUBLE ** (a.k - b.k) * b.x) + any_value(a.mu) * 0.8::DOUBLE ** a.k AS z FROM p a JOIN p b ON a.task_id = b.task_id AND b.k <= a.k GROUP BY 1, 2, 3),
  h AS (SELECT *, abs(z - mu) > 2.962::DOUBLE * sigma * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - 0.8::DOUBLE ** (2 * k))) AS hit FROM e), f AS (SELECT task_id, count(*) AS charted, count(*) FILTER (hit) AS regressions, min(ord) FILTER (hit) AS first FROM h GROUP BY 1)
- SELECT task_id, 'all' AS agent_id, windows, round(mu, 4) AS mu, round(sigma, 4) AS sigma, coalesce(charted, 0) AS charted, coalesce(regressions, 0) AS regressions, first, CASE WHEN regressions > 0 THEN 'regression' ELSE 'in_control' END AS kind FROM lim LEFT JOIN f USING (task_id)""",
+ SELECT task_id, 'all' AS agent_id, windows, round(mu, 4) AS mu, round(sigma, 4) AS sigma, coalesce(charted, 0) AS charted, coalesce(regressions, 0) AS regressions, coalesce(first, 0) AS first, CASE WHEN regressions > 0 THEN 'regression' ELSE 'in_control' END AS kind FROM lim LEFT JOIN f USING (task_id)""",
     "orch_irr": """WITH ratings AS (SELECT user_id % 3 AS subset, user_id AS item, event_type AS rater, least(3, floor(avg(value) / 15)) AS label FROM events GROUP BY 1, 2, 3), v AS (SELECT subset, item, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY subset, item) AS m FROM ratings GROUP BY 1, 2, 3),"""
     + " de AS (SELECT subset, (sum(nc) * sum(nc) - sum(nc * nc)) / 2.0::DOUBLE / (sum(nc) - 1) AS dexp FROM (SELECT subset, label, sum(c) AS nc FROM v GROUP BY 1, 2) GROUP BY 1), ob AS (SELECT subset, sum((m * m - s2) / (m - 1.0::DOUBLE)) / 2 AS dobs FROM (SELECT subset, item, any_value(m) AS m, sum(c * c) AS s2 FROM v GROUP BY 1, 2) GROUP BY 1)"
     + " SELECT subset AS task_id, 5::BIGINT AS raters, round(1 - dobs / dexp, 6) AS value, CASE WHEN 1 - dobs / dexp < 0.67 THEN 'low_agreement' END AS warning FROM de JOIN ob USING (subset)",
@@ -277,7 +277,7 @@ ORACLES = {
     "blast_history": f"{_C}, {_FILES}, past AS (SELECT DISTINCT sha FROM changes WHERE sha IN (SELECT sha FROM files WHERE path IN (SELECT path FROM changed))) SELECT task_id, count(*) AS hits, round(count(*) / (SELECT count(*) FROM past), 6) AS confidence FROM dl WHERE delta < -3000 AND sha IN (SELECT sha FROM past) GROUP BY 1",
     "blast_prefix": f"""{_C}, {_FILES}, px AS (SELECT unnest(['src', 'src/' || split_part(path, '/', 2)]) AS prefix FROM changed), own AS (SELECT DISTINCT 'src/' || c_mktsegment AS prefix, r_name AS task_id FROM customer, region WHERE length(c_mktsegment) % 3 = length(r_name) % 3),
  h AS (SELECT task_id FROM px JOIN own USING (prefix) UNION ALL SELECT task_id FROM dl WHERE delta < -3000), g AS (SELECT task_id, count(*) AS hits FROM h GROUP BY 1) SELECT task_id, hits, round(hits / (SELECT max(hits) FROM g), 6) AS confidence FROM g""",
-    "bisect": f"{_C}, n AS (SELECT *, row_number() OVER (ORDER BY sha) AS n FROM changes WHERE task_id = 'AFRICA'), g AS (SELECT coalesce(max(n) FILTER (after >= 250000), 0) AS good FROM n) SELECT task_id, sha, round(after, 4) AS after FROM n, g WHERE n = good + 1",
+    "bisect": f"{_C}, n AS (SELECT *, row_number() OVER (ORDER BY sha) AS n FROM changes WHERE task_id = 'AFRICA'), g AS (SELECT coalesce(max(n) FILTER (after >= 300000), 0) AS good FROM n) SELECT task_id, sha, round(after, 4) AS after FROM n, g WHERE n = good + 1",
     "rep_wilson": f"{_T}, s AS (SELECT task_id, count(*) FILTER (passed) AS k, count(*)::DOUBLE AS n FROM trials GROUP BY 1) SELECT task_id, CAST(n AS BIGINT) AS n, {_wilson('k', 'n')} FROM s",
     "rep_cell_wilson": f"{_CELLS}, c AS (SELECT task_id, agent_id, run_id, round_even(accuracy * n, 0) AS k, n::DOUBLE AS n FROM cells) SELECT task_id, agent_id, run_id, {_wilson('k', 'n')} FROM c",
     "rep_eval_summary": f"{_CELLS} SELECT task_id, round(sum(accuracy * n) / sum(n), 6) AS pooled, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS sd, round(min(accuracy), 6) AS min, round(max(accuracy), 6) AS max, round(max(accuracy) - min(accuracy), 6) AS spread FROM cells GROUP BY 1",
