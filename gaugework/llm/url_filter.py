@@ -87,7 +87,7 @@ class Model:
             first = "/" + path.lstrip("/").partition("/")[0]
             tld, domain = _suffixes(host)
             rows.append(lexical(url or "", host, path) + [self.shares.get(k, self.prior) for k in (tld, domain, first, tld + first)])
-        return np.array(rows, float).reshape(len(rows), -1)
+        return np.array(rows, float) if rows else np.zeros((0, 1))
 
 
 def fit(labelled) -> Model:
@@ -103,7 +103,7 @@ def fit(labelled) -> Model:
             sums[key][1] += 1
     model = Model(Boosted(0.0, 0), {k: (a + 5 * prior) / (n + 5) for k, (a, n) in sums.items()}, prior)
     x = model.features([r[0] for r in labelled], [r[1] for r in labelled], [r[2] for r in labelled])
-    model.trees = boost(x if len(labelled) else np.zeros((0, 1)), y)
+    model.trees = boost(x, y)
     return model
 
 
