@@ -8,11 +8,11 @@ Skipping in a list: entries stand by set size and then by position, so each size
 entry's position and size follows the last position of a block that can still reach the threshold, and the
 rest of the block is skipped. A parity sketch of the sets bounds their difference from below.
 
-Skipping of answers: sets are first joined with a few leaders of each list, those nearest to what the list
-has in common. A set that is linked with a leader takes over its answers, as the question is what can
-be reached: a candidate is looked at only where it is not yet in the same component. Two more rounds do
-that, the first with the nearest candidates of each component, the last with all that are left. No candidate
-is dropped otherwise, and every pair is verified on the whole sets.
+Skipping of answers: a short list gives all its pairs. In a long one, sets are first joined with a few
+leaders, those nearest to what the list has in common. A set that is linked with a leader takes over its
+answers, as the question is what can be reached: a candidate is looked at only where it is not yet in the same
+component. Two more rounds do that, the first with the nearest candidates of each component, the last with
+all that are left. No candidate is dropped otherwise, and every pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from .shared import Bloom, Rolling, blocks, components, materialize, mix64, salt
 BLOCK = 1 << 20
 #: Counters of the sketch that tells frequent shingles, the share of counters called frequent, segments it is summed in.
 COUNTERS, FREQUENT, SEGMENTS = 1 << 19, 0.05, 16
-LEADERS, NEAREST = 4, 3
+#: A list of at most SHORT entries gives all its pairs; LEADERS of a longer one, NEAREST candidates in its second round.
+SHORT, LEADERS, NEAREST = 32, 4, 3
+#: Stands for a null doc_id.
+NULL_ID = -(2**63)
 #: Pairs that a task holds at once.
 PAIRS = 1 << 20
 SKETCH = 4  # words of 64 bits
@@ -107,7 +110,7 @@ def _scan(k: int):
     width = COUNTERS // SEGMENTS
 
     def run(batches):
-        counts, seen, rows = np.zeros(COUNTERS, np.uint32), set(), []
+        counts, seen, rows, slots, held = np.zeros(COUNTERS, np.int64), set(), [], [], 0
 
         def flush():
             cols = list(zip(*rows))
@@ -126,14 +129,20 @@ def _scan(k: int):
                 seen.add(node)
                 if len(seen) > 500_000:
                     seen.clear()
-                counts += np.bincount((s >> np.uint64(45)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                slots.append((s >> np.uint64(45)).astype(np.int32))
+                held += len(s)
+                if held >= 1 << 20:
+                    counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
+                    slots, held = [], 0
             if len(rows) >= 4096:
                 yield flush()
                 rows = []
         if rows:
             yield flush()
+        if slots:
+            counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
         for g in range(SEGMENTS):
-            part = counts[g * width : (g + 1) * width]
+            part = counts[g * width : (g + 1) * width].astype(np.uint32)
             if part.any():
                 empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * SKETCH)]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array([g], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
@@ -214,9 +223,10 @@ def _shared_entries(batches):
         head = np.ones(len(cols[0]), bool)
         head[1:] = cols[0][1:] != cols[0][:-1]
         group = np.cumsum(head) - 1
-        keep = np.bincount(group)[group] > 1
+        size = np.bincount(group)[group].astype(np.int32)
+        keep = size > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*cols, size]], [*names, "size"])
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray):
@@ -228,7 +238,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], ["a", "b"])
 
 
-ENTRY = ["shingle", "node", "n", "pos", "score", "root", *(f"s{j}" for j in range(SKETCH))]
+ENTRY = ["shingle", "node", "n", "pos", "score", "root", *(f"s{j}" for j in range(SKETCH)), "size"]
 
 
 def _possible(t: Threshold, x, y):
@@ -242,13 +252,32 @@ def _possible(t: Threshold, x, y):
     return ok & (differ <= n + m - 2 * need), differ
 
 
-def _leaders(t: Threshold):
-    """Pairs of each entry with the leaders of its list: half by score, half by hash."""
+def _leaders(t: Threshold, most: int):
+    """Pairs of each entry: with all of a short list, and with the leaders of a long one, half by score, half by hash."""
+
+    def short(cols):
+        shingle, node, sketch = cols[0], cols[1], cols[6:-1]
+        n, pos = cols[2].astype(np.int64), cols[3].astype(np.int64)
+        for d in range(1, most):
+            i = np.flatnonzero(shingle[:-d] == shingle[d:])
+            if not len(i):
+                return
+            j = i + d
+            ok, _ = _possible(t, (n[i], pos[i], [w[i] for w in sketch]), (n[j], pos[j], [w[j] for w in sketch]))
+            if ok.any():
+                yield node[i[ok]], node[j[ok]]
 
     def run(batches):
         for cols in _groups(batches, ENTRY):
+            few = cols[-1] <= most
+            found = list(short([c[few] for c in cols]))
+            if found:
+                yield _pair_batch(*(np.concatenate(c) for c in zip(*found)))
+            cols = [c[~few] for c in cols]
+            if not len(cols[0]):
+                continue
             shingle, node, n, pos, score = cols[:5]
-            n, pos, sketch = n.astype(np.int64), pos.astype(np.int64), cols[6:]
+            n, pos, sketch = n.astype(np.int64), pos.astype(np.int64), cols[6:-1]
             head = np.ones(len(shingle), bool)
             head[1:] = shingle[1:] != shingle[:-1]
             group = np.cumsum(head) - 1
@@ -277,7 +306,7 @@ def _outside(t: Threshold, nearest: int | None):
         kinds, kind, size = np.unique(root, return_inverse=True, return_counts=True)
         if len(kinds) == 1:
             return
-        node, n, pos, sketch = cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[6:]
+        node, n, pos, sketch = cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[6:-1]
         order = np.lexsort((pos, n))
         node, n, pos, kind = node[order], n[order], pos[order], kind[order]
         sketch = [w[order] for w in sketch]
@@ -328,6 +357,12 @@ def _outside(t: Threshold, nearest: int | None):
     def run(batches):
         for cols in _groups(batches, ENTRY):
             head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+            low, high = np.minimum.reduceat(cols[5], head), np.maximum.reduceat(cols[5], head)
+            mixed = np.repeat(low != high, np.diff(np.append(head, len(cols[0]))))
+            cols = [c[mixed] for c in cols]  # lists within one component have nothing to add
+            if not len(cols[0]):
+                continue
+            head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             found, size = [], 0
             for a, b in zip(head, np.append(head[1:], len(cols[0]))):
                 for pair in one([c[a:b] for c in cols]):
@@ -342,11 +377,11 @@ def _outside(t: Threshold, nearest: int | None):
     return run
 
 
-def _sets(k: int, bloom):
-    """(node, members) of the texts whose class may be asked for."""
+def _sets(k: int):
+    """(node, members) of every text."""
 
     def run(batches):
-        seen, rows, size = set(), [], 0
+        rows, size = [], 0
 
         def flush():
             sizes = np.array([len(s) for _, s in rows], np.int64)
@@ -354,11 +389,9 @@ def _sets(k: int, bloom):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], ["node", "members"])
 
         for _, _, s in _each(batches, k):
-            if not len(s) or (node := class_of(s)) in seen or node not in bloom.value:
-                continue
-            seen.add(node)
-            rows.append((node, s))
-            size += len(s)
+            if len(s):
+                rows.append((class_of(s), s))
+                size += len(s)
             if size >= 1 << 17:
                 yield flush()
                 rows, size = [], 0
@@ -368,7 +401,7 @@ def _sets(k: int, bloom):
     return run
 
 
-def join_sets(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
+def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row per row of docs.
 
     A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
@@ -395,39 +428,43 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
     frequent = spark.sparkContext.broadcast(bits)
 
     rows = scanned.where("segment IS NULL").select("doc_id", "n", "node")
+    known = scanned.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.max(w).alias(w) for w in words])
+    known = materialize(known, "classes")
     schema = "shingle bigint, node bigint, n int, pos int, score smallint"
     index = docs.select("text").mapInArrow(_index(k, t, frequent), schema)
-    index = index.repartition(parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared_entries, schema)
-    index = materialize(index, "prefix-entries")
-    nodes = index.select("node").distinct()
-    sketches = scanned.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(*[F.max(w).alias(w) for w in words])
-    entries = materialize(index.join(sketches, "node"), "entries")
-    bloom = spark.sparkContext.broadcast(Bloom.of(nodes))
-    sets = docs.select("text").mapInArrow(_sets(k, bloom), "node bigint, members array<bigint>").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    index = index.repartition(parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared_entries, schema + ", size int")
+    entries = materialize(materialize(index, "prefix-entries").join(known.drop("least"), "node"), "entries")
+
+    def candidates(entries: DataFrame, find) -> DataFrame:
+        dealt = entries.select(*ENTRY).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "pos", "node")
+        return materialize(dealt.mapInArrow(find, "a bigint, b bigint").distinct(), "candidates")
+
+    first = candidates(entries.withColumn("root", F.col("node")), _leaders(t, short))
+    long_ = entries.where(F.col("size") > short)
+    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(long_.select("node")).distinct()
+    nodes = materialize(known.select("node", F.coalesce("least", F.lit(NULL_ID)).alias("id")).join(nodes, "node", "left_semi"), "candidate-texts")
+    # one text of each class that is asked for: other texts are not looked at again
+    asked = Bloom.of(nodes.select("id")).filter(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), "id")
+    sets = materialize(asked.mapInArrow(_sets(k), "node bigint, members array<bigint>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
         left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("s"))
-        return both.where(F.lit(den) * F.col("s") >= F.lit(num) * (F.col("n") + F.col("m") - F.col("s"))).select("a", "b")
-
-    def candidates(roots: DataFrame | None, find) -> DataFrame:
-        known = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        known = known.select(*ENTRY).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "pos", "node")
-        return known.mapInArrow(find, "a bigint, b bigint")
+        linked = both.where(F.lit(den) * F.col("s") >= F.lit(num) * (F.col("n") + F.col("m") - F.col("s"))).select("a", "b")
+        return materialize(linked.distinct(), "links")
 
-    links = materialize(verified(candidates(None, _leaders(t))), "links")
+    links = verified(first)
     roots = components(links)
-    for nearest in (NEAREST, None):
-        more = materialize(verified(candidates(roots, _outside(t, nearest))), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+    if not long_.isEmpty():
+        for nearest in (NEAREST, None):
+            with_roots = long_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            more = candidates(with_roots, _outside(t, nearest))
+            if not more.isEmpty():
+                links = links.unionByName(verified(more))
+                roots = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = known.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(salted_join(classes, "root", least).select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
     full = salted_join(rows, "node", classes)

@@ -24,11 +24,11 @@ def rows():
     return out + [(2, None), (1, ""), (3, "  \n"), (9001, "one two"), (9000, "One  two"), (9003, "one"), (9004, "É one"), (9005, "é one"), (9006, "a " * 20000)]
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
-def test_components_equal_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "short"), [(3, 90, 32), (5, 80, 2)])
+def test_components_equal_brute_force(spark, k, num, short):
     data = rows()
     df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, k, num).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, k, num, short=short).collect()}
     assert got == near(data, k, num)
 
 
