@@ -26,7 +26,7 @@ MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: n-gram lengths in bytes and the bits of a bucket; WINDOW and STEP in bytes.
 ORDERS, BITS = (4, 5), 18
 WINDOW, STEP = 2048, 1024
-BLOCK = 1 << 20
+BLOCK, PART = 1 << 20, 1 << 19
 
 
 @dataclass
@@ -87,27 +87,34 @@ def fit_model(labels: np.ndarray, rows: list[np.ndarray], share: float, rounds:
     if len(labels) == 0 or labels.min() == labels.max():
         p = 0.5 if len(labels) == 0 else float(labels[0] * 0.98 + 0.01)
         return Model(np.zeros(m, np.float32), float(np.log(p / (1 - p))))
-    sizes = np.array([len(r) for r in rows])
-    idx = np.concatenate(rows)
     y = labels.astype(float)
     share = min(max(share, 0.01), 0.99)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    per = np.repeat(y, sizes)
-    p, q = 1 + np.bincount(idx, per, m), 1 + np.bincount(idx, 1 - per, m)
-    ratio = np.log(p / p.sum() * q.sum() / q)
-    used = np.bincount(idx, minlength=m) >= 3
-    keep = used[idx]
-    owner = np.repeat(np.arange(len(rows)), sizes)[keep]
-    idx = idx[keep]
-    scale = ratio[idx] / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(rows))))[owner] * 8
-    n = len(y)
+    p, q, seen = np.ones(m), np.ones(m), np.zeros(m, np.int32)
+    for label, row in zip(labels, rows):
+        (p if label else q)[row] += 1  # a row has a bucket once
+        seen[row] += 1
+    ratio = np.where(seen >= 3, np.log(p / p.sum() * q.sum() / q), 0.0)
+    norm = 8 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
+    parts, start = [], 0  # the rows in parts of about PART buckets, so that no array is as long as all of them
+    ends = np.cumsum([len(r) for r in rows])
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, "right")))
+        sizes = np.array([len(r) for r in rows[start:stop]])
+        parts.append((start, stop, np.concatenate(rows[start:stop]), np.cumsum(sizes) - sizes, sizes))
+        start = stop
 
     def loss(v):
-        z = np.bincount(owner, v[idx] * scale, n) + v[m]
-        s = np.where(y == 1, -z, z)
-        value = (weight * np.logaddexp(0, s)).sum() + ridge / 2 * (v[:m] ** 2).sum()
+        u, z, grad = v[:m] * ratio, np.empty(len(y)), np.zeros(m)
+        for a, b, idx, first, sizes in parts:
+            sums = np.concatenate([[0.0], np.cumsum(u[idx])])
+            z[a:b] = (sums[first + sizes] - sums[first]) * norm[a:b]
+        z += v[m]
+        value = (weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + ridge / 2 * (v[:m] ** 2).sum()
         err = weight * (1 / (1 + np.exp(-z)) - y)
-        return value, np.append(np.bincount(idx, err[owner] * scale, m) + ridge * v[:m], err.sum())
+        for a, b, idx, _, sizes in parts:
+            grad += np.bincount(idx, np.repeat((err * norm)[a:b], sizes), m)
+        return value, np.append(grad * ratio + ridge * v[:m], err.sum())
 
     v = _lbfgs(loss, np.append(np.zeros(m), np.log(share / (1 - share))), rounds)
     return Model((v[:m] * ratio * 8).astype(np.float32), float(v[m]))
