@@ -233,7 +233,8 @@ def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 30, tol: f
 
 def family_stratification(ratings: DataFrame, families: DataFrame, level: str = "nominal") -> DataFrame:
     """Alpha overall, within families and across pairs of raters of two families; one plan keyed by subset."""
-    known = ratings.join(families, "rater", "left").withColumn("family", F.when(F.col("family").isNull(), F.raise_error("a rater has no family")).otherwise(F.col("family")))
+    known = ratings.join(families, "rater", "left")
+    known = known.where(F.when(F.col("family").isNull(), F.raise_error(F.lit("a rater has no family"))).otherwise(F.lit(True)))
     f = families.select("rater", "family").distinct()
     a, b = f.select(F.col("rater").alias("ra"), F.col("family").alias("fa")), f.select(F.col("rater").alias("rb"), F.col("family").alias("fb"))
     pairs = a.crossJoin(b).where("fa < fb")
