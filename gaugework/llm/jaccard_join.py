@@ -29,6 +29,8 @@ BLOCK = 1 << 20
 COUNTERS, FREQUENT, SEGMENTS = 1 << 19, 0.05, 16
 #: A list of at most SHORT entries gives all its pairs; LEADERS of a longer one, NEAREST candidates in its second round.
 SHORT, LEADERS, NEAREST = 32, 4, 3
+#: Pairs of a group of copies that are verified in one place.
+DEAL = 5000
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: Pairs that a task holds at once.
@@ -385,12 +387,12 @@ def _sets(k: int):
 
         def flush():
             sizes = np.array([len(s) for _, s in rows], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([s for _, s in rows]).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([s for _, s in rows])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], ["node", "members"])
 
         for _, _, s in _each(batches, k):
             if len(s):
-                rows.append((class_of(s), s))
+                rows.append((class_of(s), np.sort(s.view(np.int64))))
                 size += len(s)
             if size >= 1 << 17:
                 yield flush()
@@ -401,6 +403,55 @@ def _sets(k: int):
     return run
 
 
+def _count(num: int, den: int):
+    """Rows sorted by deal: first the sets of a deal (b null), then its pairs; gives the pairs that are similar enough."""
+
+    def run(batches):
+        deal, sets = None, {}
+        for batch in batches:
+            found = []
+            members = batch.column("members")
+            offsets, values = members.offsets.to_numpy(), members.flatten().to_numpy(zero_copy_only=False)
+            for k, (d, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("deal", "a", "b")))):
+                if d != deal:
+                    deal, sets = d, {}
+                if b is None:
+                    sets[a] = values[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]].copy()
+                    continue
+                x, y = sets[a], sets[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                s = int((y[at] == x).sum())
+                if den * s >= num * (len(x) + len(y) - s):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar.
+
+    Pairs are dealt by the least neighbour of a, so that a group of copies meets in one place and each of its
+    sets goes there once, not once a pair. A group with more than DEAL pairs is dealt on by a.
+    """
+    sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = sides.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("key"))
+    keyed = pairs.join(least.withColumnRenamed("node", "a"), "a")
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"))
+    split = F.when(F.col("pairs") > DEAL, F.pmod(F.xxhash64("a"), F.ceil(F.col("pairs") / DEAL))).otherwise(0)
+    dealt = materialize(salted_join(keyed, "key", many).select(F.xxhash64("key", split).alias("deal"), "a", "b"), "dealt-pairs")
+    needs = dealt.select("deal", F.col("a").alias("node")).unionByName(dealt.select("deal", F.col("b").alias("node"))).distinct()
+    # repeated rows of a doc_id may give a set twice; one is enough
+    carried = needs.join(sets, "node").select("deal", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "members")
+    rows = carried.unionByName(dealt.select("deal", "a", "b", F.array().cast("array<bigint>").alias("members")))
+    met = rows.repartition(parts, "deal").sortWithinPartitions("deal", F.col("b").asc_nulls_first())
+    return met.mapInArrow(_count(num, den), "a bigint, b bigint").distinct()
+
+
 def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row per row of docs.
 
@@ -448,10 +499,7 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
     sets = materialize(asked.mapInArrow(_sets(k), "node bigint, members array<bigint>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("s"))
-        linked = both.where(F.lit(den) * F.col("s") >= F.lit(num) * (F.col("n") + F.col("m") - F.col("s"))).select("a", "b")
-        return materialize(linked.distinct(), "links")
+        return materialize(_verify(pairs, sets, parts, num, den), "links")
 
     links = verified(first)
     roots = components(links)

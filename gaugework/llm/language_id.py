@@ -51,20 +51,28 @@ def train(docs: DataFrame) -> Model:
     top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     languages = sorted(r["lang"] for r in top.collect())
     counts = np.full((1 << BITS, max(1, len(languages))), 0.5)
+    ids = None  # at most MOST_TEXTS of each language, so they may be broadcast
     for k, lang in enumerate(languages):
-        some = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(MOST_TEXTS)
-
-        def run(batches):
-            for batch in batches:
-                data, at = utf8(batch.column("text"))
-                found = np.zeros(1 << BITS)
-                for i in range(len(at) - 1):
-                    found += np.bincount(_buckets(data[at[i] : at[i + 1]].tobytes()), minlength=1 << BITS)
-                used = np.flatnonzero(found)
-                yield pa.RecordBatch.from_pydict({"b": pa.array(used), "n": pa.array(found[used])})
-
-        part = some.select("text").mapInArrow(run, "b bigint, n double").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-        counts[part.column("b").to_numpy(), k] += part.column("n").to_numpy()
+        one = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TEXTS)
+        one = one.select(F.col("doc_id").alias("_id"), F.lit(lang).alias("_lang"), F.lit(k).alias("k"))
+        ids = one if ids is None else ids.unionByName(one)
+    if ids is None:
+        return Model(languages, np.log(counts / counts.sum(0)))
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, k in enumerate(batch.column("k").to_pylist()):
+                own = found.setdefault(k, np.zeros(1 << BITS))
+                own += np.bincount(_buckets(data[at[i] : at[i + 1]].tobytes()), minlength=1 << BITS)
+        for k, own in found.items():
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(used), k, np.int32)), "b": pa.array(used), "n": pa.array(own[used])})
+
+    texts = known.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "k")
+    part = texts.mapInArrow(run, "k int, b bigint, n double").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts[part.column("b").to_numpy(), part.column("k").to_numpy()] += part.column("n").to_numpy()
     return Model(languages, np.log(counts / counts.sum(0)))
 
 

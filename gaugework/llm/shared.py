@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gaugework/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    gc.collect()  # what is not referred to any more lets Spark drop the shuffle files of finished steps
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
