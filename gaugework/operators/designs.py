@@ -71,6 +71,16 @@ def saltelli(base: DataFrame, k: int, second_order: bool = False) -> DataFrame:
     return base.select(F.col("id").alias("base_row"), rows.alias("r")).select("base_row", "r.*")
 
 
+def owen(base: DataFrame, k: int) -> DataFrame:
+    """base (id, x0..x(3k-1)) of three independent samples to blocks A, B, CA0.. (A with one factor of the third) and BA0.. (B with one of A)."""
+    blocks = {"A": list(range(k)), "B": list(range(k, 2 * k))}
+    for j in range(k):
+        blocks[f"CA{j}"] = [2 * k + i if i == j else i for i in range(k)]
+        blocks[f"BA{j}"] = [i if i == j else k + i for i in range(k)]
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), *[F.col(f"x{c}").alias(f"x{j}") for j, c in enumerate(cols)]) for b, cols in blocks.items()]))
+    return base.select(F.col("id").alias("base_row"), rows.alias("r")).select("base_row", "r.*")
+
+
 def manifest(points: DataFrame, n: int, axes: list[tuple[str, list]]) -> DataFrame:
     """Cells in the order A, B, AB0, ...: cell_id, saltelli_index and each axis's level, level = min(floor(u L), L - 1)."""
     index = F.col("pos") * n + F.col("base_row")

@@ -68,6 +68,11 @@ def estimators(spark, sf):
     return _r(S.sobol_indices(w, K, kind="jansen").withColumn("kind", F.lit("jansen")).unionByName(S.sobol_indices(w, K, kind="janon").withColumn("kind", F.lit("janon"))))
 
 
+def owen(spark, sf):
+    d = D.owen(_base(spark, 3 * K), K).withColumn("y", S.ishigami(_xs()))
+    return _r(S.owen_indices(d, K))
+
+
 def sobol_s2(spark, sf):
     return _r(S.second_order(_wide(spark, True), K))
 
@@ -217,7 +222,7 @@ def anova(spark, sf):
 
 
 QUERIES = {
-    "gsa_sobol_seq": sobol_seq, "gsa_lhs": lhs, "gsa_saltelli": saltelli, "gsa_manifest": manifest, "gsa_sobol_si": sobol_si, "gsa_jansen_janon": estimators,
+    "gsa_sobol_seq": sobol_seq, "gsa_lhs": lhs, "gsa_saltelli": saltelli, "gsa_manifest": manifest, "gsa_sobol_si": sobol_si, "gsa_jansen_janon": estimators, "gsa_owen": owen,
     "gsa_sobol_s2": sobol_s2, "gsa_sobol_ci": sobol_ci, "gsa_analyze": analyze, "gsa_diag": diag, "gsa_gates": gates, "gsa_borgonovo": borgonovo, "gsa_morris": morris,
     "gsa_fast": fast, "gsa_rbd_fast": rbd_fast, "gsa_given_data": given_data, "gsa_pawn": pawn, "gsa_dgsm": dgsm, "gsa_regression": regression, "gsa_qosa": qosa,
     "gsa_shapley": shapley, "gsa_pce": pce, "gsa_sparse_pce": sparse_pce, "gsa_hdmr": hdmr, "gsa_active_subspace": active_subspace, "gsa_discrepancy": discrepancy,
@@ -290,7 +295,17 @@ def _grid_effects():
  a AS (SELECT effect, CASE effect WHEN 'p' THEN np WHEN 'i' THEN ni WHEN 'r' THEN nr WHEN 'ixp' THEN np * ni WHEN 'pxr' THEN np * nr WHEN 'ixr' THEN ni * nr ELSE np * ni * nr END AS df, ss FROM e, n)"""
 
 
+def _owen_sql():
+    a, b, c = (["x0", "x1", "x2"], ["x3", "x4", "x5"], ["x6", "x7", "x8"])
+    cols = [f"{_ish(*a)} AS fa", f"{_ish(*b)} AS fb"]
+    for j in range(K):
+        cols.append(f"{_ish(*[c[i] if i == j else a[i] for i in range(K)])} AS ca{j}")
+        cols.append(f"{_ish(*[a[i] if i == j else b[i] for i in range(K)])} AS ba{j}")
+    return f"WITH {_pts(N, 3 * K)}, w AS (SELECT {', '.join(cols)} FROM b) " + _union(lambda j: f"SELECT {j} AS factor, round(avg((fa - ca{j}) * (ba{j} - fb)) / var_pop(fa), 6) AS s1 FROM w")
+
+
 ORACLES = {
+    "gsa_owen": _owen_sql(),
     "gsa_sobol_seq": f"""WITH v(d, b, v) AS (VALUES {_DIRECTIONS}), x AS (SELECT id, d, bit_xor(CASE WHEN (xor(id, id >> 1) >> b) & 1 = 1 THEN v ELSE 0 END) / 1073741824.0::DOUBLE AS x FROM range(256) t(id), v GROUP BY 1, 2)
  SELECT id, {", ".join(f"max(x) FILTER (d = {d}) AS x{d}" for d in range(6))} FROM x GROUP BY 1""",
     "gsa_lhs": f"WITH {_LHS}, x AS (SELECT id, d, (r + {duck_uniform("'42:u:' || d || ':' || id")}) / 200 AS x FROM rk) SELECT id, {', '.join(f'round(max(x) FILTER (d = {d}), 6) AS x{d}' for d in range(3))} FROM x GROUP BY 1",
