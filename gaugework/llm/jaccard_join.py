@@ -492,13 +492,14 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
 
     first = candidates(entries.withColumn("root", F.col("node")), _leaders(t, short))
     long_ = entries.where(F.col("size") > short)
-    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(long_.select("node")).distinct()
-    nodes = materialize(known.select("node", F.coalesce("least", F.lit(NULL_ID)).alias("id")).join(nodes, "node", "left_semi"), "candidate-texts")
-    # one text of each class that is asked for: other texts are not looked at again
-    asked = Bloom.of(nodes.select("id")).filter(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), "id")
-    sets = materialize(asked.mapInArrow(_sets(k), "node bigint, members array<bigint>"), "sets")
+    ids = known.select("node", F.coalesce("least", F.lit(NULL_ID)).alias("id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """One text of each class in the pairs is looked at again; others are not."""
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = Bloom.of(ids.join(nodes, "node", "left_semi").select("id"))
+        again = asked.filter(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), "id")
+        sets = again.mapInArrow(_sets(k), "node bigint, members array<bigint>")
         return materialize(_verify(pairs, sets, parts, num, den), "links")
 
     links = verified(first)
@@ -507,8 +508,8 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
         for nearest in (NEAREST, None):
             with_roots = long_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             more = candidates(with_roots, _outside(t, nearest))
-            if not more.isEmpty():
-                links = links.unionByName(verified(more))
+            if not more.isEmpty() and not (more := verified(more)).isEmpty():
+                links = links.unionByName(more)
                 roots = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
