@@ -148,6 +148,17 @@ def test_url_rules_and_trees(spark):
     assert url_filter.filter_urls(df.limit(0)).collect() == []
 
 
+def test_url_rules_written_out(spark):
+    """The five rules without a look at url_filter.RULES; the longest that fits decides."""
+    cases = [
+        ("http://www.shop.com/en/1", "com/en/", "block"), ("http://m.example.com/en/71", "example.com/en/7", "allow"), ("http://www.shop.net/de/1", "net/de/", "allow"),
+        ("http://example.net/de/7", "net/de/", "allow"), ("http://m.example.net/de/81", "example.net/de/8", "block"), ("http://shop.org/es/1", "org/es/", "block"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
 
