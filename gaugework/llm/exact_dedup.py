@@ -77,7 +77,11 @@ def _with_ranks(cut, recipes, distinct, shared, ident):
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    some = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return some.dropDuplicates(["doc_id"])
+    """docs with one row of each group of equal texts, all columns as they were.
+
+    A row is told by doc_id and text together: rows without a doc_id, or that repeat one, stay if their texts differ.
+    """
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    told = docs.withColumn("_text", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    same = told["doc_id"].eqNullSafe(kept["_kept_id"]) & (told["_text"] == kept["_kept_text"])
+    return told.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -108,7 +108,7 @@ class Threshold:
 
 
 def _scan(k: int):
-    """Per text: doc_id, n, node, sketch; per task: its counts of shingles, in segments."""
+    """Per text: doc_id, its own mark, n, node, sketch; per task: its counts of shingles, in segments."""
     width = COUNTERS // SEGMENTS
 
     def run(batches):
@@ -117,16 +117,16 @@ def _scan(k: int):
         def flush():
             cols = list(zip(*rows))
             sketch = np.array(cols[3]).reshape(len(rows), SKETCH)
-            arrays = [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *(pa.array(sketch[:, j]) for j in range(SKETCH)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+            arrays = [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *(pa.array(sketch[:, j]) for j in range(SKETCH)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array(cols[4], pa.binary())]
             return pa.RecordBatch.from_arrays([arrays[0].cast(pa.int64()), *arrays[1:]], names)
 
-        names = ["doc_id", "n", "node", *(f"s{j}" for j in range(SKETCH)), "segment", "counts"]
-        ids, last = [], None
+        names = ["doc_id", "n", "node", *(f"s{j}" for j in range(SKETCH)), "segment", "counts", "mark"]
+        ids, marks, last = [], [], None
         for batch, i, s in _each(batches, k):
             if batch is not last:
-                ids, last = batch.column("doc_id").to_pylist(), batch
+                ids, marks, last = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch
             node = class_of(s)
-            rows.append((ids[i], len(s), node, parity(s)))
+            rows.append((ids[i], len(s), node, parity(s), marks[i]))
             if node not in seen:
                 seen.add(node)
                 if len(seen) > 500_000:
@@ -147,7 +147,7 @@ def _scan(k: int):
             part = counts[g * width : (g + 1) * width].astype(np.uint32)
             if part.any():
                 empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * SKETCH)]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([g], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([g], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names)
 
     return run
 
@@ -452,24 +452,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -
     return met.mapInArrow(_count(num, den), "a bigint, b bigint").distinct()
 
 
-def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SHORT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row per row of docs.
-
-    A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
-    distinct k-word shingles, or, with fewer words, all of them as one. Texts without words have an empty
-    set, and their component is themselves. Two sets link when den * shared >= num * union. component_id is
-    the smallest doc_id that links reach; texts with equal sets are linked. n_links counts the verified
-    links of the text's class with other classes that were needed to connect the component; it is not the
-    number of all links. Null text counts as empty. A null doc_id is never the smallest; rows that repeat a
-    doc_id are each answered from their own text. An empty table gives an empty result; other columns are
-    not looked at.
-    """
+def _joined(docs: DataFrame, k: int, num: int, den: int, short: int, mark=None) -> DataFrame:
+    """doc_id, n, node, root, component_id, n_links of every row, and the binary column ``mark`` where it is given."""
+    marked, mark = ([] if mark is None else ["mark"]), F.lit(None).cast("binary") if mark is None else mark
     t = Threshold(num, den)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
     words = [f"s{j}" for j in range(SKETCH)]
-    schema = "doc_id bigint, n int, node bigint, " + ", ".join(f"{w} bigint" for w in words) + ", segment int, counts binary"
+    schema = "doc_id bigint, n int, node bigint, " + ", ".join(f"{w} bigint" for w in words) + ", segment int, counts binary, mark binary"
     scanned = materialize(texts.mapInArrow(_scan(k), schema), "shingle-scan")
     sums = scanned.where("segment IS NOT NULL").select("segment", "counts").repartition(SEGMENTS, "segment")
     bits = np.zeros(COUNTERS // 8, np.uint8)
@@ -478,7 +469,7 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
         bits[g * len(part) : (g + 1) * len(part)] = part
     frequent = spark.sparkContext.broadcast(bits)
 
-    rows = scanned.where("segment IS NULL").select("doc_id", "n", "node")
+    rows = scanned.where("segment IS NULL").select("doc_id", "n", "node", *marked)
     known = scanned.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.max(w).alias(w) for w in words])
     known = materialize(known, "classes")
     schema = "shingle bigint, node bigint, n int, pos int, score smallint"
@@ -515,8 +506,23 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = known.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(salted_join(classes, "root", least).select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    full = salted_join(rows, "node", classes)
+    classes = materialize(salted_join(classes, "root", least).select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    return salted_join(rows, "node", classes)
+
+
+def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SHORT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: one row per row of docs.
+
+    A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
+    distinct k-word shingles, or, with fewer words, all of them as one. Texts without words have an empty
+    set, and their component is themselves. Two sets link when den * shared >= num * union. component_id is
+    the smallest doc_id that links reach; texts with equal sets are linked. n_links counts the verified
+    links of the text's class with other classes that were needed to connect the component; it is not the
+    number of all links. Null text counts as empty. A null doc_id is never the smallest; rows that repeat a
+    doc_id are each answered from their own text. An empty table gives an empty result; other columns are
+    not looked at.
+    """
+    full = _joined(docs, k, num, den, short)
     return full.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -525,6 +531,15 @@ def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SH
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with the smallest doc_id of each component, all columns as they were; a repeated doc_id stays once."""
-    found = join_sets(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component, that of the smallest doc_id, all columns as they were.
+
+    A row is told by doc_id and text together: rows without a doc_id, or that repeat one, stay if no links join
+    their texts. Texts without words all stay; a row that repeats both stays once.
+    """
+    mark = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    told, rows = docs.withColumn("_text", mark), _joined(docs, k, num, den, SHORT, mark)
+    least = rows.where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("n") == 0, F.col("mark")).alias("alone")
+    kept = least.groupBy("root", F.col("doc_id").alias("_kept_id"), alone).agg(F.min("mark").alias("_kept_text")).select("_kept_id", "_kept_text").distinct()
+    same = told["doc_id"].eqNullSafe(kept["_kept_id"]) & (told["_text"] == kept["_kept_text"])
+    return told.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -48,3 +48,12 @@ def test_hot_group_and_empty_table(spark):
     kept = drop_exact_copies(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [299, *range(300, 400)]
+
+
+def test_texts_without_an_id_of_their_own_stay(spark):
+    data = [(None, "one"), (None, "ONE"), (None, "two"), (None, "three"), (3, "Three"), (7, "four"), (7, "five"), (7, "six"), (9, "SIX"), (7, "five"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in data], SCHEMA)
+    got = drop_exact_copies(df)
+    assert got.columns == df.columns
+    left = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got.collect()), key=str)
+    assert left == sorted([(None, "one"), (None, "two"), (3, "three"), (7, "four"), (7, "five"), (9, "six"), (None, "")], key=str)

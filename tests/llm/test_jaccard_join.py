@@ -39,6 +39,15 @@ def test_empty_table_repeats_and_dropping(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [4, 9]
 
 
+def test_texts_without_an_id_of_their_own_stay(spark):
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    data = [(None, a), (None, a.upper()), (None, b), (None, c), (4, c + " "), (7, d), (7, d + " "), (7, b + " z y"), (7, "x y z q q q q"), (2, "x y z q q q  q"), (None, ""), (None, " "), (8, None), (8, "")]
+    df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
+    got = [(r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in J.drop_near_copies(df, 3, 90).collect()]
+    want = [(None, a), (None, b), (4, c), (7, d), (7, b + " z y"), (2, "x y z q q q q"), (None, ""), (None, ""), (8, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
