@@ -195,12 +195,13 @@ def bootstrap(items: DataFrame, statistic: Callable[[DataFrame, list[str]], Data
     return percentile_interval(statistic(resample_items(items, reps, seed, columns), ["rep"]), reps, alpha)
 
 
-def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 30, tol: float = 1e-6, every: int = 5) -> tuple[DataFrame, DataFrame]:
+def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 100, tol: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Latent classes by EM. Returns (item, p: array of class probabilities, label) and (class, prior).
 
     Repeated ratings of an item by a rater all count. Ties of the argmax go to the last class. Counts by
-    (item, rater, label) are made once; parameters are small tables that are joined in. The lineage is cut
-    every few rounds in the checkpoint folder.
+    (item, rater, label) are made once; parameters are small tables that are joined in. EM ends when a round
+    changes the log likelihood by less than tol, or after ``rounds``. The lineage is cut in the checkpoint
+    folder every round.
     """
     k = len(classes)
     scratch(ratings.sparkSession, "classes")  # sets a checkpoint folder where there is none
@@ -208,7 +209,7 @@ def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 30, tol: f
     share = n.groupBy("item").agg(*[(F.sum(F.when(F.col("label") == c, F.col("c")).otherwise(0.0)) / F.sum("c")).alias(f"p{j}") for j, c in enumerate(classes)])
     post, last = share, None
     names = [f"p{j}" for j in range(k)]
-    for step in range(rounds):
+    for _ in range(rounds):
         prior = post.agg(*[F.avg(p).alias(p) for p in names]).first()
         cell = n.join(post, "item").groupBy("rater", "label").agg(*[F.sum(F.col(p) * F.col("c")).alias(p) for p in names])
         whole = Window.partitionBy("rater")
@@ -219,12 +220,11 @@ def dawid_skene(ratings: DataFrame, classes: list[int], rounds: int = 30, tol: f
         score = score.withColumn("top", top)
         total = sum((F.exp(F.col(f"s{j}") - F.col("top")) for j in range(k)), F.lit(0.0))
         post = score.select("item", *[(F.exp(F.col(f"s{j}") - F.col("top")) / total).alias(f"p{j}") for j in range(k)], (F.col("top") + F.log(total)).alias("ll"))
-        if (step + 1) % every == 0:
-            post = post.checkpoint()
-            ll = post.agg(F.sum("ll")).first()[0]
-            if last is not None and abs(ll - last) < tol * every:
-                break
-            last = ll
+        post = post.checkpoint()
+        ll = post.agg(F.sum("ll")).first()[0]
+        if ll is None or (last is not None and abs(ll - last) < tol):
+            break
+        last = ll
     best = F.array_max(F.array(*[F.struct(F.col(f"p{j}").alias("v"), F.lit(j).alias("j"), F.lit(c).alias("label")) for j, c in enumerate(classes)]))
     out = post.select("item", F.array(*names).alias("p"), best["label"].alias("label"))
     priors = post.agg(*[F.avg(p).alias(p) for p in names]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(p).alias("prior")) for c, p in zip(classes, names)])).alias("r")).select("r.*")

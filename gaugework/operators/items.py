@@ -211,27 +211,31 @@ def record_exposure(pool: DataFrame, given: DataFrame) -> DataFrame:
     return pool.join(g, "id", "left").withColumn("exposure_count", F.col("exposure_count") + F.coalesce("_g", F.lit(0))).drop("_g")
 
 
-def calibrate_2pl(responses: DataFrame, rounds: int = 15, points: int = 21) -> DataFrame:
+def calibrate_2pl(responses: DataFrame, rounds: int = 100, points: int = 21, tol: float = 1e-6) -> DataFrame:
     """(item, discrimination, difficulty) by marginal maximum likelihood: EM over a grid of abilities.
 
     E step: each person's posterior on the grid, one aggregate. The expected counts by item and grid point
-    are a second aggregate; the M step is a few Newton steps on those (items x points) rows. Items with a
-    discrimination at or under 0 are dropped.
+    are a second aggregate; the M step is a few Newton steps on those (items x points) rows. EM ends when a round
+    changes the marginal log likelihood by less than tol, or after ``rounds``. Items with a discrimination at or
+    under 0 are dropped.
     """
     spark = responses.sparkSession
     n = responses.select("item", "person", F.col("y").cast("double").alias("y")).persist()
     ids = [r["item"] for r in n.select("item").distinct().orderBy("item").collect()]
     a, b = np.ones(len(ids)), np.zeros(len(ids))
     grid = np.linspace(-4, 4, points)
+    last = None
     for _ in range(rounds):
         items = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in zip(ids, a, b)], f"item {dict(n.dtypes)['item']}, a double, b double")
         met = n.join(items, "item").crossJoin(F.broadcast(theta_grid(spark, points)))
         p = probability(F.col("theta"), F.col("a"), F.col("b"))
         ll = met.groupBy("person", "theta").agg((F.sum(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)) - F.col("theta") ** 2 / 2).alias("l"))
         w = Window.partitionBy("person")
-        post = ll.withColumn("w", F.exp(F.col("l") - F.max("l").over(w)))
-        post = post.withColumn("w", F.col("w") / F.sum("w").over(w)).select("person", "theta", "w")
+        post = ll.withColumn("w", F.exp(F.col("l") - F.max("l").over(w))).withColumn("z", F.sum("w").over(w))
+        post = post.select("person", "theta", (F.col("w") / F.col("z")).alias("w"), (F.max("l").over(w) + F.log("z")).alias("ll")).persist()
+        total = post.agg(F.sum("ll")).first()[0]
         cells = n.join(post, "person").groupBy("item", "theta").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("r")).collect()
+        post.unpersist()
         place = {i: k for k, i in enumerate(ids)}
         at = {round(t, 9): k for k, t in enumerate(grid)}
         size, right = np.zeros((len(ids), points)), np.zeros((len(ids), points))
@@ -246,6 +250,9 @@ def calibrate_2pl(responses: DataFrame, rounds: int = 15, points: int = 21) -> D
             det = np.maximum(haa * hbb - hab**2, 1e-9)
             a = np.clip(a + np.clip((hbb * ga - hab * gb) / det, -0.5, 0.5), -4, 4)
             b = np.clip(b + np.clip((haa * gb - hab * ga) / det, -0.5, 0.5), -6, 6)
+        if total is None or (last is not None and abs(total - last) / points < tol):  # a person has one row a point
+            break
+        last = total
     n.unpersist()
     return spark.createDataFrame([(i, float(x), float(y)) for i, x, y in zip(ids, a, b)], f"item {dict(responses.dtypes)['item']}, discrimination double, difficulty double").where("discrimination > 0")
 

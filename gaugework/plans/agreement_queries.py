@@ -82,7 +82,7 @@ def with_ci(spark, sf):
 
 
 def dawid_skene(spark, sf):
-    post, _ = A.dawid_skene(B.ratings(spark, sf), [0, 1, 2, 3], rounds=10)
+    post, _ = A.dawid_skene(B.ratings(spark, sf), [0, 1, 2, 3])
     return post.select("item", "label", F.round(F.array_max("p"), 3).alias("top"))
 
 

@@ -97,7 +97,7 @@ def record_exposure(spark, sf):
 
 
 def cal_irt(spark, sf):
-    return _r(items.calibrate_2pl(B.responses(spark, sf), rounds=5), 3)
+    return _r(items.calibrate_2pl(B.responses(spark, sf)), 3)
 
 
 def cal_schema(spark, sf):
