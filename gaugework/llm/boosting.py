@@ -31,20 +31,21 @@ class Boosted:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Boosted:
-    """Fits trees one after another to gradient and curvature. One class only, or no rows: a constant."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, weight: np.ndarray | None = None) -> Boosted:
+    """Fits trees one after another to gradient and curvature, rows by weight. One class only, or no rows: a constant."""
     if len(y) == 0 or y.min() == y.max():
         p = 0.5 if len(y) == 0 else 0.01 + 0.98 * float(y[0])
         return Boosted(float(np.log(p / (1 - p))), depth)
     n, d = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], "left") for j in range(d)], axis=1)
-    share = y.mean()
+    weight = np.ones(n) if weight is None else weight
+    share = np.average(y, weights=weight)
     model = Boosted(float(np.log(share / (1 - share))), depth)
     margin, inner = np.full(n, model.bias), 2**depth - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, curve = y - p, p * (1 - p)
+        grad, curve = weight * (y - p), weight * p * (1 - p)
         feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugework.llm import decontaminate as D
 from gaugework.llm import language_id, sentencepiece_codec, toxicity, url_filter
@@ -159,6 +160,25 @@ def test_url_rules_written_out(spark):
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
 
 
+def test_url_trees_keep_the_share_of_verdicts_beyond_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_LABELLED", 20)
+    rules = (("block", "com", "/x/b"), ("allow", "com", "/x/a"))
+    urls = [f"http://h{i % 7}.site{i % 3}.com/x/{'a' if i % 10 == 0 else 'b'}/{i * 7919 % 1000:03d}" for i in range(600)]
+    urls += [f"http://rare{i}.com/x/b/1" for i in range(60)] + [f"http://new{i}.net/y/c/{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    cells = url_filter.with_cell(url_filter.judged(df, rules))
+    shares, total, blocked = url_filter.suffix_shares(cells)
+    got = {r["cell"]: r["shares"] for r in shares.collect()}
+    assert (total, blocked) == (660, 600)
+    prior = 600 / 660
+    assert got["rare7.com/x"] == pytest.approx([(600 + 5 * prior) / 665, (1 + 5 * prior) / 6, (600 + 5 * prior) / 665, (600 + 5 * prior) / 665])
+    assert got["new3.net/y"] == pytest.approx([prior] * 4)
+    monkeypatch.setattr(url_filter, "lexical", lambda url, host, path: [0.0])  # nothing but the share of verdicts to go by
+    monkeypatch.setattr(url_filter, "suffix_shares", lambda rows: (shares.withColumn("shares", F.array(*[F.lit(0.5)] * 4)), total, blocked))
+    score = {r["score"] for r in url_filter.filter_urls(df, rules).where("rule IS NULL").collect()}
+    assert max(score) == pytest.approx(prior, abs=0.01) and min(score) == max(score)
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
 
