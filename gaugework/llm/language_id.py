@@ -5,6 +5,9 @@ Text: character trigrams, naive Bayes, learned from at most MOST_TEXTS documents
 the lang attribute of the markup. Suffix: the last label of the host. Host prior: counts of the host shrunk
 towards those of its domain, and these towards all pages'; counts are sums of text posteriors over all
 pages, by grouped aggregation, and a page's own text is taken out of the counts it is judged with.
+
+Every language with a labelled document counts. Likelihoods are kept in parts of PART languages, of which a
+process holds one at a time; sums and priors are rows of (page, language).
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Rolling, materialize, salted_lookup, utf8
+from .shared import Bloom, Rolling, materialize, salted_lookup, utf8
 
-#: Bounds of the training sample and of the languages told apart (the most frequent ones).
-MOST_TEXTS, MOST_LANGUAGES = 300, 50
+#: Bound of the training sample of a language, and languages whose likelihoods are held at once.
+MOST_TEXTS, PART = 300, 50
 BITS, ORDER = 16, 3
 #: Weight of a parent's distribution, in pages; the share of a text's log likelihood that counts, for n-grams overlap.
 SHRINK, TEMPER = 5.0, 0.3
@@ -29,7 +32,7 @@ SHRINK, TEMPER = 5.0, 0.3
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # bucket x language
+    parts: list  # broadcasts of bucket x language, PART languages each
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
@@ -47,33 +50,48 @@ def _buckets(text: bytes) -> np.ndarray:
 
 def train(docs: DataFrame) -> Model:
     """Trigram likelihoods from documents (text, lang); none without languages."""
+    spark = docs.sparkSession
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r["lang"] for r in top.collect())
-    counts = np.full((1 << BITS, max(1, len(languages))), 0.5)
-    ids = None  # at most MOST_TEXTS of each language, so they may be broadcast
-    for k, lang in enumerate(languages):
-        one = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TEXTS)
-        one = one.select(F.col("doc_id").alias("_id"), F.lit(lang).alias("_lang"), F.lit(k).alias("k"))
-        ids = one if ids is None else ids.unionByName(one)
-    if ids is None:
-        return Model(languages, np.log(counts / counts.sum(0)))
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if not languages:
+        return Model([], [])
+    # the first texts of a language by hash: of each of 64 shares first, so that a frequent language is no single task's work
+    ids = known.where("doc_id IS NOT NULL").select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("nth") <= MOST_TEXTS)
+    ids = materialize(ids.select("lang", "doc_id", "h"), "language-sample")
+    asked = Bloom.of(ids.select("h"))
+    texts = asked.filter(known.withColumn("h", F.xxhash64("doc_id")), "h").join(ids.drop("h"), ["lang", "doc_id"]).select("lang", "text")
 
     def run(batches):
-        found: dict[int, np.ndarray] = {}
         for batch in batches:
+            found: dict[str, np.ndarray] = {}
             data, at = utf8(batch.column("text"))
-            for i, k in enumerate(batch.column("k").to_pylist()):
-                own = found.setdefault(k, np.zeros(1 << BITS))
-                own += np.bincount(_buckets(data[at[i] : at[i + 1]].tobytes()), minlength=1 << BITS)
-        for k, own in found.items():
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                b, n = np.unique(_buckets(data[at[i] : at[i + 1]].tobytes()), return_counts=True)
+                if lang not in found and len(found) == PART:
+                    yield from counted(found)
+                    found = {}
+                found.setdefault(lang, np.zeros(1 << BITS))[b] += n
+            yield from counted(found)
+
+    def counted(found):
+        for lang, own in found.items():
             used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(used), k, np.int32)), "b": pa.array(used), "n": pa.array(own[used])})
-
-    texts = known.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "k")
-    part = texts.mapInArrow(run, "k int, b bigint, n double").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
-    counts[part.column("b").to_numpy(), part.column("k").to_numpy()] += part.column("n").to_numpy()
-    return Model(languages, np.log(counts / counts.sum(0)))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used), pa.string()), "b": pa.array(used), "n": pa.array(own[used])})
+
+    counts = materialize(texts.mapInArrow(run, "lang string, b bigint, n double").groupBy("lang", "b").agg(F.sum("n").alias("n")), "language-counts")
+    parts = []
+    for first in range(0, len(languages), PART):
+        some = languages[first : first + PART]
+        own = np.full((1 << BITS, len(some)), 0.5)
+        part = counts.where((F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])).toArrow()
+        place = {lang: k for k, lang in enumerate(some)}
+        own[part.column("b").to_numpy(), [place[x] for x in part.column("lang").to_pylist()]] += part.column("n").to_numpy()
+        parts.append(spark.sparkContext.broadcast(np.log(own / own.sum(0))))
+        if len(languages) > PART:
+            vars(parts[-1]).pop("_value", None)  # what was sent lies on disk
+    return Model(languages, parts)
 
 
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;")
@@ -82,33 +100,39 @@ _HOST = re.compile(r"://([^/?#]*)")
 
 
 def evidence(pages: DataFrame, model: Model) -> DataFrame:
-    """page_id, host, domain, suffix, declared, logs (of the text, by language)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    size = len(model.languages)
+    """row (a number of its own), page_id, host, domain, suffix, declared, logs (of the text, by language)."""
+    names = pages.sparkSession.sparkContext.broadcast(frozenset(model.languages))
+    parts = model.parts
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            hosts, domains, suffixes, declared, logs = [], [], [], [], []
+            hosts, domains, suffixes, declared, texts = [], [], [], [], []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 found = _HOST.search(url or "")
                 host = found[1].lower() if found else ""
-                parts = host.split(".")
+                labels = host.split(".")
                 hosts.append(host)
-                domains.append(".".join(parts[-2:]))
-                suffixes.append(parts[-1])
+                domains.append(".".join(labels[-2:]))
+                suffixes.append(labels[-1])
                 said = _DECLARED.search(html or "")
                 said = said[1].lower() if said else ""
-                declared.append(said if said in m.languages else ("other" if said else "none"))
-                b = _buckets(_DROP.sub(" ", html or "").encode())
-                logs.append((m.logs[b].sum(0) * TEMPER).tolist()[:size])
+                declared.append(said if said in names.value else ("other" if said else "none"))
+                texts.append(_DROP.sub(" ", html or "").encode())
+            logs = [[] for _ in texts]
+            for part in parts:
+                own = part.value
+                for text, row in zip(texts, logs):
+                    row += (own[_buckets(text)].sum(0) * TEMPER).tolist()
+                if len(parts) > 1:
+                    vars(part).pop("_value", None)  # one part at a time is held
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), pa.array(hosts), pa.array(domains), pa.array(suffixes), pa.array(declared), pa.array(logs, pa.list_(pa.float64()))],
-                ["page_id", "host", "domain", "suffix", "declared", "logs"],
+                [batch.column("row"), batch.column("page_id"), pa.array(hosts), pa.array(domains), pa.array(suffixes), pa.array(declared), pa.array(logs, pa.list_(pa.float64()))],
+                ["row", "page_id", "host", "domain", "suffix", "declared", "logs"],
             )
 
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, host string, domain string, suffix string, declared string, logs array<double>")
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+    return numbered.mapInArrow(run, f"row bigint, page_id {kind}, host string, domain string, suffix string, declared string, logs array<double>")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,43 +146,35 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     languages = model.languages
     if not languages:
         none = F.lit(None).cast("string")
-        return evidence(pages, Model(["?"], model.logs)).select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), "declared", "host")
-    rows = materialize(evidence(pages, model), "page-evidence")
+        return evidence(pages, model).select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), "declared", "host")
+    spark = pages.sparkSession
+    pages_ = materialize(evidence(pages, model), "page-evidence")
     top = F.array_max("logs")
-    rows = rows.withColumn("p", F.transform("logs", lambda v: F.exp(v - top)))
-    total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
-    rows = rows.withColumn("p", F.transform("p", lambda v: F.round(v / total, 6)))
-    soft = [F.col("p")[k].alias(f"p{k}") for k in range(len(languages))]
-    rows = rows.select("page_id", "host", "domain", "suffix", "declared", "logs", *soft)
-    names = range(len(languages))
-
-    def summed(prefix: str):
-        return [(f"{prefix}{k}", F.round(F.sum(f"p{k}"), 6), F.sum) for k in names]
-
-    # bounded: at most MOST_LANGUAGES + 2 rows
-    told = rows.groupBy("declared").agg(*[F.sum(f"p{k}").alias(f"n{k}") for k in names]).collect()
-    whole = [sum(r[f"n{k}"] for r in told) + 1 for k in names]
-    for prefix, key in (("h", "host"), ("d", "domain"), ("s", "suffix")):
-        rows = salted_lookup(rows, [key], summed(prefix))
-    pages_ = sum(whole)
-
-    def shrunk(prefix: str, parent: list):
-        n = F.lit(0.0)
-        for k in names:
-            n = n + F.col(f"{prefix}{k}") - F.col(f"p{k}")
-        return [(F.greatest(F.col(f"{prefix}{k}") - F.col(f"p{k}"), F.lit(0.0)) + SHRINK * parent[k]) / (F.greatest(n, F.lit(0.0)) + SHRINK) for k in names]
-
-    prior = shrunk("h", shrunk("d", [F.lit(w / pages_) for w in whole]))
-    kinds = len(languages) + 2
-    score = []
-    for k, lang in enumerate(languages):
-        declared = F.lit(1.0 / (whole[k] + kinds))
-        for r in told:
-            declared = F.when(F.col("declared") == r["declared"], F.lit((r[f"n{k}"] + 1) / (whole[k] + kinds))).otherwise(declared)
-        suffix = (F.greatest(F.col(f"s{k}") - F.col(f"p{k}"), F.lit(0.0)) + 1) / (whole[k] + 1)
-        score.append(F.struct((F.log(prior[k]) + F.col("logs")[k] + F.log(declared) + F.log(suffix)).alias("v"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")))
-    rows = rows.withColumn("all", F.array(*score))
-    best = F.array_max("all")
-    total = F.aggregate("all", F.lit(0.0), lambda a, s: a + F.exp(s["v"] - best["v"]))
-    text = F.array_max(F.array(*[F.struct(F.col("logs")[k].alias("v"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, lang in enumerate(languages)]))
-    return rows.select("page_id", best["lang"].alias("lang"), F.round(1 / total, 6).alias("confidence"), text["lang"].alias("text_lang"), "declared", "host")
+    total = F.aggregate(F.transform("logs", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+    rows = pages_.select("row", "host", "domain", "suffix", "declared", top.alias("top"), total.alias("total"), F.posexplode("logs").alias("k", "log"))
+    rows = rows.withColumn("p", F.round(F.exp(F.col("log") - F.col("top")) / F.col("total"), 6)).drop("top", "total")
+    rows = materialize(rows, "page-language")
+    whole = rows.groupBy("k").agg((F.sum("p") + 1).alias("w")).collect()  # a row a language
+    all_w = sum(r["w"] for r in whole)
+    known = spark.createDataFrame([(r["k"], r["w"], languages[r["k"]]) for r in whole], "k int, w double, lang string")
+    for name, key in (("h", "host"), ("d", "domain"), ("s", "suffix"), ("said", "declared")):
+        rows = materialize(salted_lookup(rows, [key, "k"], [(name, F.round(F.sum("p"), 6), F.sum)]), f"page-{key}")  # a lookup reads its rows twice
+    rows = rows.join(F.broadcast(known.drop("lang")), "k")
+    own = Window.partitionBy("row")
+
+    def shrunk(name: str, parent):
+        rest = F.col(name) - F.col("p")
+        n = F.sum(rest).over(own)
+        return (F.greatest(rest, F.lit(0.0)) + SHRINK * parent) / (F.greatest(n, F.lit(0.0)) + SHRINK)
+
+    rows = rows.withColumn("prior", shrunk("d", F.col("w") / F.lit(all_w))).withColumn("prior", shrunk("h", F.col("prior")))
+    declared = (F.col("said") + 1) / (F.col("w") + len(languages) + 2)
+    suffix = (F.greatest(F.col("s") - F.col("p"), F.lit(0.0)) + 1) / (F.col("w") + 1)
+    rows = rows.select("row", "k", "log", (F.log("prior") + F.col("log") + F.log(declared) + F.log(suffix)).alias("v"))
+    rows = rows.withColumn("top", F.max("v").over(own))
+    best = rows.groupBy("row").agg(
+        F.max(F.struct("v", (-F.col("k")).alias("k"))).alias("best"), F.max(F.struct("log", (-F.col("k")).alias("k"))).alias("text"), (1 / F.sum(F.exp(F.col("v") - F.col("top")))).alias("sure"),
+    ).select("row", (-F.col("best.k")).alias("k"), (-F.col("text.k")).alias("text_k"), F.round("sure", 6).alias("confidence"))
+    names = known.select("k", "lang")
+    best = best.join(F.broadcast(names), "k").join(F.broadcast(names.toDF("text_k", "text_lang")), "text_k")
+    return pages_.join(best, "row").select("page_id", "lang", "confidence", "text_lang", "declared", "host")

@@ -208,3 +208,15 @@ def test_language_identification(spark):
     assert got[902]["lang"] == "fr" and got[903]["lang"] == "en" and got[900]["lang"] is not None
     assert language_id.identify(df.limit(0), docs).collect() == []
     assert language_id.identify(df, docs.limit(0)).where("lang IS NULL").count() == len(pages)
+
+
+def test_more_languages_than_are_held_at_once(spark):
+    rng = random.Random(4)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(53)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    docs = [(lang, text(lang, 40)) for k, lang in enumerate(words) for _ in range(2 if k < 51 else 1)]  # the last two are the rarest
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    pages = [(k, f"http://site{k % 5}.org/{k}", text(lang, 30)) for k, lang in enumerate(words)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["lang"] for r in language_id.identify(df, docs).collect()}
+    assert got == dict(enumerate(words))
