@@ -1,18 +1,26 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation is the one with the highest sum of piece scores, as the model file gives them. The
-lattice is walked once, left to right, with only the last ``longest`` positions alive, for no piece is longer.
-Backpointer paths of all live positions are followed back; as far as they agree, ids are committed and
-forgotten. Ties go to the longer last piece. Characters outside the vocabulary become byte pieces, as the
-model's byte fallback has it, at a score below every piece.
-
-Where no piece runs over the place before a space sign (checked for the model at hand), every path meets
-there. The stretch between two such places is committed as a whole, whatever stands around it, so stretches
-are kept in a bounded cache. The model file is read through Spark, and its path is a parameter.
+The best segmentation is the one with the highest sum of piece scores. Characters are read one by one. A
+boundary survives as long as what was read since it can still begin a piece; only surviving boundaries can
+stand on the best path, and none is older than the longest piece. Their backpointer paths are followed back, and
+what lies before the boundary at which all of them meet is committed as ids and forgotten: at once where a
+single boundary survives, else each time a window of the longest piece has been read. Ties go to the longer
+last piece. Characters outside the vocabulary become byte pieces, as the model's byte fallback has it, below
+every piece's score.
+
+Scores: a unigram model's log likelihoods as the file has them. A merge model has none, only the order in which
+its pieces were merged; by Zipf's law the piece of rank r of n has the likelihood 1 / (r H), where H is the sum of
+1 / r up to n, which leaves nothing to fit.
+
+Where no piece holds a space sign behind another character (checked for the model at hand), a space sign behind
+a word leaves a single boundary: what lies between two such places is committed as a whole, whatever
+stands around it. Ids of such stretches that Viterbi has found are remembered up to MEMORY bytes.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Below the score of any piece, for the bytes of a character that no piece spells.
+#: Below the score of any path of pieces, for each byte of a character that no piece spells.
 FALLBACK = -1e6
-#: Stretches kept by a worker, and the characters of one that is kept; longer ones are streamed.
-CACHE, KEPT = 400_000, 64
+#: Bytes of remembered stretches in a worker, about; ids in an Arrow batch that is given out.
+MEMORY, GIVEN = 12 << 20, 1 << 19
+_SHIFT = 21  # bits of a code point
 
 
 @dataclass
 class Pieces:
-    """What encoding needs of a model: ids and scores by piece, the ids of the 256 bytes, flags of its normalizer."""
+    """What encoding needs of a model: pieces with (score, id), the ids of the 256 bytes, flags of its normalizer."""
 
     score: dict[str, tuple[float, int]]
     byte_ids: list[int]
@@ -41,7 +50,6 @@ class Pieces:
 
     def __post_init__(self):
         self.longest = max((len(p) for p in self.score), default=1)
-        #: No piece holds a space sign behind another character: paths meet before each run of space signs.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.score)
 
 
@@ -54,153 +62,161 @@ def read_pieces(content: bytes) -> Pieces:
     spec = model.normalizer_spec
     if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
         raise ValueError("only models with an identity normalizer decode to the same text")
-    kinds = [p.type for p in model.pieces]
-    score = {p.piece: (p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
+    normal = [i for i, p in enumerate(model.pieces) if p.type == 1]
+    likely = model.trainer_spec.model_type == 1  # a unigram model: its scores are log likelihoods
+    whole = sum(1 / r for r in range(1, len(normal) + 1))
+    score = {model.pieces[i].piece: (model.pieces[i].score if likely else -math.log(rank * whole), i) for rank, i in enumerate(normal, 1)}
     bytes_ = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 6}
-    return Pieces(score, [bytes_[f"<0x{b:02X}>"] for b in range(256)], [p.piece for p in model.pieces], kinds, spec.add_dummy_prefix)
+    return Pieces(score, [bytes_[f"<0x{b:02X}>"] for b in range(256)], [p.piece for p in model.pieces], [p.type for p in model.pieces], spec.add_dummy_prefix)
 
 
-class Viterbi:
-    """Feeds characters in, takes committed ids out; memory is bounded by the longest piece and the uncommitted stretch."""
+class Trie:
+    """Pieces as paths of characters: ``step[node << 21 | code point]`` is the next node; a node's piece has score and id."""
 
     def __init__(self, pieces: Pieces):
-        self.p = pieces
-        self.begin = 0  # position of the first uncommitted boundary
-        self.chars = ""  # characters from begin on
-        self.best = [0.0]  # best score at each boundary from begin on
-        self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # boundary before, ids of the piece between
-
-    def feed(self, text: str) -> list[int]:
-        out: list[int] = []
+        self.step: dict[int, int] = {}
+        self.score: list[float | None] = [None]
+        self.id: list[int] = [-1]
+        for piece, (score, id_) in pieces.score.items():
+            node = 0
+            for ch in piece:
+                key = node << _SHIFT | ord(ch)
+                node = self.step.get(key, 0)
+                if not node:
+                    node = self.step[key] = len(self.score)
+                    self.score.append(None)
+                    self.id.append(-1)
+            self.score[node], self.id[node] = score, id_
+
+
+class Viterbi:
+    """Takes characters, gives committed ids.
+
+    best and back hold the boundaries since the last commit: their score, and the boundary and the id (or the
+    character, for byte pieces) of the step that leads there. live: (trie node, boundary) of what may still become a piece.
+    """
+
+    def __init__(self, pieces: Pieces, trie: Trie | None = None):
+        self.p, self.trie = pieces, trie or Trie(pieces)
+        self._restart()
+
+    def _restart(self) -> None:
+        self.best, self.back, self.live, self.due = [0.0], [(0, -1)], [], 2 * self.p.longest
+
+    def feed(self, text: str) -> array:
+        out = array("i")
+        step, score, id_ = self.trie.step, self.trie.score, self.trie.id
+        best, back, live, n = self.best, self.back, self.live, len(self.best) - 1
         for ch in text:
-            self.chars += ch
-            self._step()
-            if len(self.best) > 2 * self.p.longest:
-                out += self._commit()
+            cp, top, link, grown = ord(ch), -math.inf, None, []
+            live.append((0, n))
+            for node, start in live:  # older boundaries first: of equal scores the longer piece wins
+                node = step.get(node << _SHIFT | cp)
+                if node is not None:
+                    grown.append((node, start))
+                    s = score[node]
+                    if s is not None and best[start] + s > top:
+                        top, link = best[start] + s, (start, id_[node])
+            if not grown or grown[-1][1] != n or score[grown[-1][0]] is None:  # the character is no piece
+                s = best[n] + FALLBACK * len(ch.encode())
+                if s > top:
+                    top, link = s, (n, ch)
+            best.append(top)
+            back.append(link)
+            live, n = grown, n + 1
+            if not live:  # only the new boundary survives
+                self._path(n, out)
+                del best[:n], back[:n]
+                best[0], back[0], n = 0.0, (0, -1), 0
+            elif n >= self.due:
+                n, live = self._commit(n, live, out)
+        self.live = live
         return out
 
-    def _step(self) -> None:
-        chars, n, score = self.chars, len(self.chars), self.p.score
-        top, link = -np.inf, None
-        for size in range(min(n, self.p.longest), 0, -1):
-            hit = score.get(chars[n - size :])
-            if hit is not None and (s := self.best[n - size] + hit[0]) > top:
-                top, link = s, (n - size, (hit[1],))
-        if chars[-1:] not in score:
-            raw = chars[-1].encode()
-            if (s := self.best[n - 1] + FALLBACK * len(raw)) > top:
-                top, link = s, (n - 1, tuple(self.p.byte_ids[b] for b in raw))
-        self.best.append(top)
-        self.back.append(link)
-
-    def _commit(self) -> list[int]:
-        """Ids up to the last boundary that the paths of all live positions share."""
-        last = len(self.best) - 1
-        live = set(range(max(0, last - self.p.longest + 1), last + 1))
-        while len(live) > 1:  # the farthest goes one piece back, until all are at one boundary
-            far = max(live)
-            live.remove(far)
-            live.add(self.back[far][0])
-        meet = live.pop()
-        out = self._path(meet)
+    def _commit(self, n: int, live: list, out: array) -> tuple[int, list]:
+        """Commits up to the last boundary that the paths of all survivors share."""
+        paths = {n, *(start for _, start in live)}
+        while len(paths) > 1:  # the farthest goes one piece back, until all are at one boundary
+            far = max(paths)
+            paths.remove(far)
+            paths.add(self.back[far][0])
+        meet = paths.pop()
         if meet:
-            self.chars, self.best = self.chars[meet:], [b - self.best[meet] for b in self.best[meet:]]
-            self.back = [(0, ())] + [(max(0, a - meet), ids) for a, ids in self.back[meet + 1 :]]
-            self.begin += meet
-        return out
-
-    def _path(self, at: int) -> list[int]:
-        parts = []
+            self._path(meet, out)
+            base = self.best[meet]
+            self.best[:] = [b - base for b in self.best[meet:]]
+            self.back[:] = [(0, -1)] + [(max(0, a - meet), what) for a, what in self.back[meet + 1 :]]
+        self.due = n - meet + self.p.longest
+        return n - meet, [(node, start - meet) for node, start in live]
+
+    def _path(self, at: int, out: array) -> None:
+        found = []
         while at > 0:
-            at, ids = self.back[at]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids]
-
-    def finish(self) -> list[int]:
-        out = self._path(len(self.best) - 1)
-        self.__init__(self.p)
+            at, what = self.back[at]
+            if isinstance(what, str):
+                found += [self.p.byte_ids[b] for b in reversed(what.encode())]
+            else:
+                found.append(what)
+        found.reverse()
+        out.extend(found)
+
+    def finish(self) -> array:
+        out = array("i")
+        self._path(len(self.best) - 1, out)
+        self._restart()
         return out
 
 
 class Codec:
-    def __init__(self, pieces: Pieces):
-        self.p, self.kept = pieces, {}
-        #: Every prefix of a piece: its (score, id) if it is one itself, else None.
-        self.prefixes = {p[:n]: None for p in pieces.score for n in range(1, len(p))} | pieces.score
-
-    def _stretch(self, text: str) -> list[int]:
-        found = self.kept.get(text)
+    def __init__(self, pieces: Pieces, memory: int = MEMORY):
+        self.p, self.viterbi, self.memory = pieces, Viterbi(pieces), memory
+        self.young: dict[str, bytes] = {}  # remembered stretches, in two generations: the older goes as a whole
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        first = {i: b for b, i in enumerate(pieces.byte_ids)}
+        self.raw = [bytes([first[i]]) if i in first else t.replace(SPACE, " ").encode() if k == 1 else b"" for i, (t, k) in enumerate(zip(pieces.text, pieces.kind))]
+
+    def _stretch(self, text: str) -> bytes:
+        """The ids, as int32 bytes, of a stretch whose ends no piece runs over."""
+        found = self.old.get(text)
         if found is None:
-            if len(text) > KEPT:
-                v = Viterbi(self.p)
-                return v.feed(text) + v.finish()
-            found = self._short(text)
-            if len(self.kept) >= CACHE:
-                self.kept.clear()
-            self.kept[text] = found
+            out = self.viterbi.feed(text)
+            out.extend(self.viterbi.finish())
+            found = out.tobytes()
+        size = 200 + 2 * len(text) + len(found)
+        if size <= self.memory >> 6:
+            if self.held + size > self.memory >> 1:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[text] = found
+            self.held += size
         return found
 
-    def _short(self, text: str) -> list[int]:
-        """What Viterbi gives for a stretch within the window, walked from each start along the pieces' prefixes."""
-        n, prefixes, score = len(text), self.prefixes, self.p.score
-        best, back = [-1e300] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            base, j = best[i], i + 1
-            while j <= n:
-                hit = prefixes.get(text[i:j], 0)
-                if hit == 0:
-                    break
-                if hit is not None and base + hit[0] > best[j]:
-                    best[j], back[j] = base + hit[0], (i, hit[1])
-                j += 1
-            if text[i] not in score:
-                raw = text[i].encode()
-                if base + FALLBACK * len(raw) > best[i + 1]:
-                    best[i + 1], back[i + 1] = base + FALLBACK * len(raw), (i, raw)
-        out: list[int] = []
-        while n:
-            n, what = back[n]
-            if isinstance(what, bytes):
-                out += [self.p.byte_ids[b] for b in reversed(what)]
-            else:
-                out.append(what)
-        out.reverse()
-        return out
-
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         marked = (SPACE if self.p.dummy_prefix else "") + text.replace(" ", SPACE)
         if not self.p.splits:
-            v = Viterbi(self.p)
-            return v.feed(marked) + v.finish()
-        out: list[int] = []
-        kept, stretch = self.kept, self._stretch
+            return np.frombuffer(self._stretch(marked), np.int32)
+        parts, known = [], self.young.get
         head, *words = marked.split(SPACE)
         if head:
-            out += stretch(head)
+            parts.append(known(head) or self._stretch(head))
         run = SPACE
         for word in words:  # each word has one space sign before it; an empty one lengthens the run
             if word:
-                found = kept.get(run + word)
-                out += stretch(run + word) if found is None else found
+                word = run + word
+                parts.append(known(word) or self._stretch(word))
                 run = SPACE
+                known = self.young.get
             else:
                 run += SPACE
         if len(run) > 1:
-            out += stretch(run[1:])
-        return out
+            parts.append(self._stretch(run[1:]))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids) -> str:
-        raw = bytearray()
-        text, kind, first = self.p.text, self.p.kind, self.p.byte_ids[0]
-        for i in ids:
-            if kind[i] == 6:
-                raw.append(i - first if self.p.byte_ids[i - first] == i else self.p.byte_ids.index(i))
-            elif kind[i] == 1:
-                raw += text[i].encode()
-        out = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        out = raw.decode("utf-8", "replace")
         return out[1:] if self.p.dummy_prefix and out[:1] == " " else out
 
 
@@ -208,50 +224,59 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    """One codec a Python worker and model, so that the cache outlives a task."""
+    """One codec a Python worker and model, so that what is remembered outlives a task."""
     if shared.id not in _codecs:
         _codecs.clear()
-        _codecs[shared.id] = Codec(read_pieces(shared.content))
+        _codecs[shared.id] = Codec(shared.pieces)
     return _codecs[shared.id]
 
 
 @dataclass
 class _Model:
     id: int
-    content: bytes
+    pieces: Pieces
 
 
 def _share(docs: DataFrame, model_path: str):
-    """The model file as a broadcast value; it has a few hundred kB and does not grow with the data."""
-    spark = docs.sparkSession
+    """The model as a broadcast value; it has a few hundred kB and does not grow with the data."""
     import zlib
 
     with open(model_path, "rb") as f:  # a file of the installation, not an input
         content = f.read()
-    return spark.sparkContext.broadcast(_Model(zlib.crc32(content), content))
+    return docs.sparkSession.sparkContext.broadcast(_Model(zlib.crc32(content), read_pieces(content)))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (array<int>), n_ids, round_trip: one row per row of docs.
 
     Null text counts as empty and has no ids. round_trip tells whether decoding gave the text back, which
-    holds for every text without the space sign U+2581 itself: that decodes to a space.
+    holds for every text without the space sign U+2581 itself: that decodes to a space. Rows that repeat are encoded
+    alike, ties as said above; an empty table gives an empty result; columns other than doc_id and text are
+    not looked at. A text of any length is encoded whole, in memory of its own size and that of its ids.
     """
     shared = _share(docs, model_path)
 
     def run(batches):
         codec = _codec(shared.value)
         for batch in batches:
-            lists, same = [], []
+            first, lists, same, size = 0, [], [], 0
+
+            def out():
+                sizes = np.array([len(x) for x in lists], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(lists)), ids, pa.array(sizes), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 ids = codec.encode(text)
-                lists.append(np.array(ids, np.int32))
-                same.append(codec.decode(ids) == text.replace(SPACE, " "))
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(sizes), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
+                lists.append(ids)
+                same.append(codec.decode(ids) == (text.replace(SPACE, " ") if SPACE in text else text))
+                size += len(ids)
+                if size >= GIVEN:
+                    yield out()
+                    first, lists, same, size = first + len(lists), [], [], 0
+            if lists:
+                yield out()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean")

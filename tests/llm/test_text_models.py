@@ -108,7 +108,7 @@ def test_sentencepiece_round_trip_and_optimum(spark):
         return top[-1]
 
     for text in texts:
-        ids = codec.encode(text)
+        ids = codec.encode(text).tolist()
         assert codec.decode(ids) == text
         value = sum(pieces.score[pieces.text[i]][0] if pieces.kind[i] == 1 else FALLBACK for i in ids)
         assert value == pytest.approx(best(text))
@@ -117,18 +117,37 @@ def test_sentencepiece_round_trip_and_optimum(spark):
         out = []
         for i in range(0, len(marked), 7):
             out += v.feed(marked[i : i + 7])
-        assert out + v.finish() == ids
-    v = Viterbi(pieces)
-    v.feed(SPACE + "the and of a word " * 500)
-    assert len(v.best) < 8 * pieces.longest  # only the window stays
-    df = spark.createDataFrame([*enumerate(texts), (None, None), (99, "▁ x")], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS n_ids")
+        assert out + list(v.finish()) == ids
+    for fed in (SPACE + "the and of a word " * 500, "abcdefghij" * 300):
+        v = Viterbi(pieces)
+        v.feed(fed)
+        assert len(v.best) <= 3 * pieces.longest  # only the window stays
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (99, "▁ x"), (0, texts[5]), (0, texts[5])], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS n_ids")
     got = encode(df, TOKENIZER)
-    assert all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in got.collect())
-    back = {r["doc_id"]: r["text"] for r in decode(got, TOKENIZER).collect()}
-    assert [back[i] for i in range(len(texts))] == texts and back[None] == ""
+    rows = got.collect()
+    assert len(rows) == df.count() and all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in rows)
+    same = [r["ids"] for r in rows if r["doc_id"] in (0, 5) and r["ids"]]
+    assert len(same) == 3 and same[0] == same[1] == same[2]
+    back = {r["doc_id"]: r["text"] for r in decode(got, TOKENIZER).collect() if r["doc_id"] != 0}
+    assert [back[i] for i in range(1, len(texts))] == texts[1:] and back[None] == ""
     assert encode(df.limit(0), TOKENIZER).collect() == []
 
 
+def test_sentencepiece_long_texts_and_length(spark):
+    sp = pytest.importorskip("sentencepiece")
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_pieces(open(TOKENIZER, "rb").read()), memory=1 << 14)
+    long_ = ["q7" * 1_000_000, "the river and " * 200_000, "日本" * 50_000 + "\U0001f600" * 1000]
+    df = spark.createDataFrame(list(enumerate(long_)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(df, TOKENIZER).collect()}
+    for i, text in enumerate(long_):
+        assert got[i]["round_trip"]
+        assert codec.encode(text).tolist() == got[i]["ids"]  # whatever is remembered
+    lib = sp.SentencePieceProcessor(model_file=TOKENIZER)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sum(len(codec.encode(t)) for t in texts) <= 1.03 * sum(len(lib.encode(t)) for t in texts)
+    assert len(codec.young) + len(codec.old) < 200
+
+
 def test_url_rules_and_trees(spark):
     urls = [f"https://{h}.example.{t}/{p}/{i}" for i, (h, t, p) in enumerate((h, t, p) for h in ("www", "m", "shop") for t in ("com", "net", "org") for p in ("en", "de", "fr", "es"))] * 4
     urls += ["http://EXAMPLE.com/en/77?x=1", "https://example.net/de/81#f", "noscheme.com/en/", None, "", "x://", "x://com", "http://notcom/en/", "a://b.net/de/?q", "https://h.com/en/" + "y" * 5000, "http://a.com?b=/en/", "x://u@h:80/p"]
