@@ -1,41 +1,46 @@
 """Exact self-join of word-shingle sets by Jaccard similarity, with set-relation skipping.
 
-Sets with equal members are one class. Shingles are ordered by (frequent, hash), where a shingle is called
-frequent by a count sketch over all texts; the least of them, as many as two similar sets cannot both miss,
-are a set's prefix and go into an inverted index.
-
-Skipping in a list: entries stand by set size and then by position, so each size is a block; from an
-entry's position and size follows the last position of a block that can still reach the threshold, and the
-rest of the block is skipped. A parity sketch of the sets bounds their difference from below.
-
-Skipping of answers: a short list gives all its pairs. In a long one, sets are first joined with a few
-leaders, those nearest to what the list has in common. A set that is linked with a leader takes over its
-answers, as the question is what can be reached: a candidate is looked at only where it is not yet in the same
-component. Two more rounds do that, the first with the nearest candidates of each component, the last with
-all that are left. No candidate is dropped otherwise, and every pair is verified on the whole sets.
+Sets with equal members are one class. Two similar sets share one of the first members of each, in any order that
+all sets follow; the order here is rarest first. Counting every shingle would move more than the texts, so a part of
+the shingles, chosen by hash and larger than a prefix, comes first and is counted exactly; behind it come the
+others by hash, and last those that a count sketch over all texts calls hot. What one set has alone is in no list
+and only moves the positions of the rest.
+
+Index-level skipping: the entries of a list stand by set size and then by position, so each size is a block. From
+an entry's position and size follows the last position of a block that can still reach the threshold, and the rest of
+the block is skipped.
+
+Answer-level skipping: of each list, every set is first compared with a leader. Similar sets join its component,
+and their differences from the leader are kept. What a leader has answered for two sets is then derived for the pair:
+their distances from it bound the distance between them from both sides, and where the bounds leave it open,
+the symmetric difference of the two short differences is that of the sets, so the sets are not fetched again.
+The question is what links reach, so a list whose sets are all in one component is done, and of the others only
+pairs between components are looked at. No candidate is dropped otherwise, and every link is exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Bloom, Rolling, blocks, components, materialize, mix64, salted_join, utf8
+from .shared import Bloom, Rolling, blocks, components, materialize, mix64, salted_join, salted_lookup, utf8
 
 BLOCK = 1 << 20
-#: Counters of the sketch that tells frequent shingles, the share of counters called frequent, segments it is summed in.
-COUNTERS, FREQUENT, SEGMENTS = 1 << 19, 0.05, 16
-#: A list of at most SHORT entries gives all its pairs; LEADERS of a longer one, NEAREST candidates in its second round.
-SHORT, LEADERS, NEAREST = 32, 4, 3
-#: Pairs of a group of copies that are verified in one place.
-DEAL = 5000
+#: Counters of the sketch that tells hot shingles and the segments it is summed in; hot: over WELL + TIMES the mean counter.
+COUNTERS, SEGMENTS, WELL, TIMES = 1 << 19, 16, 64, 8
+#: The share of shingles that is counted exactly, as a multiple of a prefix's share; counts above MANY are alike.
+COUNTED, MANY = 2.5, 4096
+#: Entries of a list that are compared in one place, members of sets that are verified in one place, pairs held at once.
+CHUNK, LOAD, PAIRS = 4096, 1 << 20, 1 << 20
+#: Rounds in which sets are compared with their lists' leaders; a difference kept has at most this share of both sets.
+ROUNDS, KEPT = 2, 0.25
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
-#: Pairs that a task holds at once.
-PAIRS = 1 << 20
-SKETCH = 4  # words of 64 bits
+#: Words longer than this are hashed on their own: a polynomial modulo 2**64 has known collisions from 1024 bytes on.
+LONG_WORD = 256
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -55,6 +60,8 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int):
     start = np.flatnonzero(word[:-1] & (np.append(True, edge[:-2]) | cut[:-1])) if len(data) else np.zeros(0, np.int64)
     end = np.flatnonzero(word[:-1] & (edge[1:] | cut[1:])) + 1 if len(data) else start
     hashes = Rolling(data)(start, end) if len(start) else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
     bound = np.searchsorted(start, at)
     sums = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
     for j in range(k):
@@ -74,7 +81,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int):
 
 
 def _each(batches, k: int):
-    """(row of a batch, text number, set) for all texts, block by block."""
+    """(batch, text number, set) for all texts, block by block."""
     for batch in batches:
         data, at = utf8(batch.column("text"))
         for first, last in blocks(at, BLOCK):
@@ -82,16 +89,20 @@ def _each(batches, k: int):
                 yield batch, first + i, s
 
 
-def class_of(s: np.ndarray) -> int:
+def class_of(s: np.ndarray, seed: int = 0) -> int:
     """A set's class: a 64-bit sum over its members."""
-    return int((mix64(s ^ _odd[0]).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64))
+    return int((mix64(s ^ _odd[0] ^ np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """SKETCH words; the members of an odd count at a bit set it, so bits that differ are at most the members that differ."""
-    bit = (mix64(s ^ _odd[1]) >> np.uint64(56)).astype(np.int64)
-    odd = np.bincount(bit, minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _fresh(batches, k: int, seed: int):
+    """(class, set) of the non-empty texts, mostly without classes that the task has seen."""
+    seen: set[int] = set()
+    for _, _, s in _each(batches, k):
+        if len(s) and (node := class_of(s, seed)) not in seen:
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.add(node)
+            yield node, s
 
 
 class Threshold:
@@ -106,97 +117,159 @@ class Threshold:
         """Members that sets of n and m must share."""
         return -(-self.num * (n + m) // (self.num + self.den))
 
+    def counted(self) -> int:
+        """Of 1024 values of a shingle's last bits, those that are counted exactly."""
+        return min(1024, int(1024 * COUNTED * (1 - self.num / self.den)) + 1)
+
 
-def _scan(k: int):
-    """Per text: doc_id, its own mark, n, node, sketch; per task: its counts of shingles, in segments."""
+def _sketch(k: int):
+    """Per task the counts of its shingles, in segments."""
     width = COUNTERS // SEGMENTS
 
     def run(batches):
-        counts, seen, rows, slots, held = np.zeros(COUNTERS, np.int64), set(), [], [], 0
-
-        def flush():
-            cols = list(zip(*rows))
-            sketch = np.array(cols[3]).reshape(len(rows), SKETCH)
-            arrays = [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *(pa.array(sketch[:, j]) for j in range(SKETCH)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array(cols[4], pa.binary())]
-            return pa.RecordBatch.from_arrays([arrays[0].cast(pa.int64()), *arrays[1:]], names)
-
-        names = ["doc_id", "n", "node", *(f"s{j}" for j in range(SKETCH)), "segment", "counts", "mark"]
-        ids, marks, last = [], [], None
-        for batch, i, s in _each(batches, k):
-            if batch is not last:
-                ids, marks, last = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch
-            node = class_of(s)
-            rows.append((ids[i], len(s), node, parity(s), marks[i]))
-            if node not in seen:
-                seen.add(node)
-                if len(seen) > 500_000:
-                    seen.clear()
-                slots.append((s >> np.uint64(45)).astype(np.int32))
-                held += len(s)
-                if held >= 1 << 20:
-                    counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
-                    slots, held = [], 0
-            if len(rows) >= 4096:
-                yield flush()
-                rows = []
-        if rows:
-            yield flush()
+        counts, slots, held = np.zeros(COUNTERS, np.int64), [], 0
+        for _, s in _fresh(batches, k, 0):
+            slots.append((s >> np.uint64(45)).astype(np.int32))
+            held += len(s)
+            if held >= 1 << 20:
+                counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
+                slots, held = [], 0
         if slots:
             counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
         for g in range(SEGMENTS):
-            part = counts[g * width : (g + 1) * width].astype(np.uint32)
+            part = np.minimum(counts[g * width : (g + 1) * width], 2**32 - 1).astype(np.uint32)
             if part.any():
-                empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * SKETCH)]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([g], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names)
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([g], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
     return run
 
 
-def _frequent(batches):
-    """Sums a segment's counts over the tasks; gives one bit a counter, set where it is among the FREQUENT largest."""
+def _hot_bits(batches):
+    """Sums a segment's counts over the tasks; one bit a counter, set where it is hot."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for g, raw in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
             part = np.frombuffer(raw, np.uint32).astype(np.int64)
             sums[g] = sums[g] + part if g in sums else part
     for g, part in sums.items():
-        top = np.quantile(part, 1 - FREQUENT)
-        bits = np.packbits(part > max(top, 2)).tobytes()
+        bits = np.packbits(part > WELL + TIMES * part.mean()).tobytes()
         yield pa.RecordBatch.from_pydict({"segment": pa.array([g], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
 
-def _index(k: int, t: Threshold, frequent):
-    """Prefix entries: shingle, node, n, pos, score (thousandths of the set's shingles that are frequent)."""
-    names = ["shingle", "node", "n", "pos", "score"]
+class Order:
+    """The order of a set's members: the counted ones, the others by hash, the hot ones by hash."""
+
+    def __init__(self, hot: np.ndarray, counted: int):
+        self.hot, self.counted = hot, counted
+
+    def split(self, s: np.ndarray):
+        """(the counted members, the rest in order)."""
+        slot = s >> np.uint64(45)
+        hot = (self.hot[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        first = ~hot & ((s & np.uint64(1023)) < self.counted)
+        return s[first], np.concatenate([s[~first & ~hot], s[hot]])
+
+
+FACTS = "doc_id bigint, n int, node bigint, twin bigint, counted int, rest array<bigint>, mark binary"
+
+
+def _facts(k: int, t: Threshold, order, seed: int):
+    """Per text: doc_id, set size, class, a second hash of the set, its counted members, and what a prefix needs besides them."""
 
     def run(batches):
-        bits, seen, parts, size = np.unpackbits(frequent.value).astype(bool), set(), [], 0
+        rows: list[tuple] = []
+        ids, marks, last = [], [], None
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*parts)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names)
+            cols = list(zip(*rows))
+            sizes = np.array([len(r) for r in cols[5]])
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(cols[5]).view(np.int64)))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(cols, types)), rest, pa.array(cols[6], pa.binary())], [x.split()[0] for x in FACTS.split(", ")])
 
-        for _, _, s in _each(batches, k):
-            n = len(s)
-            if not n or (node := class_of(s)) in seen:
-                continue
-            seen.add(node)
-            if len(seen) > 500_000:
-                seen.clear()
-            often = bits[(s >> np.uint64(45)).astype(np.int64)]
-            p = n - int(t.least(n)) + 1
-            order = np.sort((s >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63)))[:p]
-            parts.append((order.view(np.int64), np.full(p, node), np.full(p, n, np.int32), np.arange(p, dtype=np.int32), np.full(p, int(often.sum()) * 1000 // n, np.int16)))
-            size += p
-            if size >= 1 << 16:
+        for batch, i, s in _each(batches, k):
+            if batch is not last:
+                ids, marks, last = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch
+            first, rest = order.value.split(s)
+            need = len(s) - int(t.least(len(s))) + 1 if len(s) else 0
+            rows.append((ids[i], len(s), class_of(s, seed), class_of(s, seed + 0x5BD1E995), len(first), rest[: max(0, need - len(first))], marks[i]))
+            if len(rows) >= 4096:
                 yield flush()
-                parts, size = [], 0
-        if parts:
+                rows.clear()
+        if rows:
             yield flush()
 
     return run
 
 
+def _counted(k: int, order, seed: int):
+    """(shingle, class) of every counted member."""
+
+    def run(batches):
+        parts, size = [], 0
+        for node, s in _fresh(batches, k, seed):
+            first, _ = order.value.split(s)
+            parts.append((first.view(np.int64), np.full(len(first), node)))
+            size += len(first)
+            if size >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "node"])
+                parts, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "node"])
+
+    return run
+
+
+def _shared(batches):
+    """(shingle, class) by shingle and class, to those that several classes have, with their number, MANY at most.
+
+    At most MANY rows of a shingle are held: from then on its number is known.
+    """
+    names = ["shingle", "node", "classes"]
+    held, full, last = [np.zeros(0, np.int64)] * 2, None, None  # rows of the last shingle; it, once it has MANY; the row before
+
+    def out(shingle, node, classes):
+        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.array(classes.astype(np.int32))], names)
+
+    for batch in batches:
+        shingle, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node"))
+        if not len(shingle):
+            continue
+        new = np.ones(len(shingle), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
+        new[0] = last != (shingle[0], node[0])
+        last = (shingle[-1], node[-1])
+        shingle, node = shingle[new], node[new]
+        if full is not None:
+            more = int(np.searchsorted(shingle, full, "right"))
+            if more:
+                yield out(shingle[:more], node[:more], np.full(more, MANY))
+                shingle, node = shingle[more:], node[more:]
+            if len(shingle):
+                full = None
+        shingle, node = np.concatenate([held[0], shingle]), np.concatenate([held[1], node])
+        if not len(shingle):
+            continue
+        cut = int(np.searchsorted(shingle, shingle[-1]))
+        if len(shingle) - cut >= MANY:
+            full, cut = shingle[-1], len(shingle)
+        held = [shingle[cut:], node[cut:]]
+        if cut:
+            yield from several(shingle[:cut], node[:cut], out)
+    if len(held[0]):
+        yield from several(*held, out)
+
+
+def several(shingle, node, out):
+    head = np.ones(len(shingle), bool)
+    head[1:] = shingle[1:] != shingle[:-1]
+    group = np.cumsum(head) - 1
+    size = np.minimum(np.bincount(group)[group], MANY)
+    keep = size > 1
+    if keep.any():
+        yield out(shingle[keep], node[keep], size[keep])
+
+
 def _groups(batches, names: list[str]):
     """Rows sorted by the first column, regrouped so that no value of it is split over two yields."""
     held = None
@@ -214,172 +287,76 @@ def _groups(batches, names: list[str]):
         yield held
 
 
-def _shared_entries(batches):
-    """Sorted entries without repeats and without shingles that one node has alone."""
-    names = ["shingle", "node", "n", "pos", "score"]
-    for cols in _groups(batches, names):
-        shingle, node = cols[0], cols[1]
-        new = np.ones(len(shingle), bool)
-        new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
-        cols = [c[new] for c in cols]
-        head = np.ones(len(cols[0]), bool)
-        head[1:] = cols[0][1:] != cols[0][:-1]
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)[group].astype(np.int32)
-        keep = size > 1
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*cols, size]], [*names, "size"])
-
-
-def _pair_batch(a: np.ndarray, b: np.ndarray):
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], ["a", "b"])
-
-
-ENTRY = ["shingle", "node", "n", "pos", "score", "root", *(f"s{j}" for j in range(SKETCH)), "size"]
-
-
-def _possible(t: Threshold, x, y):
-    """Whether entries may belong to similar sets: by sizes, positions and sketches. x, y: n, pos, sketch."""
-    (n, i, a), (m, j, b) = x, y
-    need = t.shared(n, m)
-    ok = (t.den * np.minimum(n, m) >= t.num * np.maximum(n, m)) & (1 + np.minimum(n - 1 - i, m - 1 - j) >= need)
-    differ = np.zeros(len(n), np.int64)
-    for w in range(SKETCH):
-        differ += np.bitwise_count((a[w] ^ b[w]).view(np.uint64))
-    return ok & (differ <= n + m - 2 * need), differ
-
-
-def _leaders(t: Threshold, most: int):
-    """Pairs of each entry: with all of a short list, and with the leaders of a long one, half by score, half by hash."""
-
-    def short(cols):
-        shingle, node, sketch = cols[0], cols[1], cols[6:-1]
-        n, pos = cols[2].astype(np.int64), cols[3].astype(np.int64)
-        for d in range(1, most):
-            i = np.flatnonzero(shingle[:-d] == shingle[d:])
-            if not len(i):
-                return
-            j = i + d
-            ok, _ = _possible(t, (n[i], pos[i], [w[i] for w in sketch]), (n[j], pos[j], [w[j] for w in sketch]))
-            if ok.any():
-                yield node[i[ok]], node[j[ok]]
-
-    def run(batches):
-        for cols in _groups(batches, ENTRY):
-            few = cols[-1] <= most
-            found = list(short([c[few] for c in cols]))
-            if found:
-                yield _pair_batch(*(np.concatenate(c) for c in zip(*found)))
-            cols = [c[~few] for c in cols]
-            if not len(cols[0]):
-                continue
-            shingle, node, n, pos, score = cols[:5]
-            n, pos, sketch = n.astype(np.int64), pos.astype(np.int64), cols[6:-1]
-            head = np.ones(len(shingle), bool)
-            head[1:] = shingle[1:] != shingle[:-1]
-            group = np.cumsum(head) - 1
-            start = np.flatnonzero(head)
-            found = []
-            for r in range(LEADERS):
-                by = mix64(node.view(np.uint64) ^ _odd[r])
-                order = np.lexsort((by, -score, group)) if r < LEADERS // 2 else np.lexsort((by, group))
-                place = np.minimum(start + (r if r < LEADERS // 2 else 0), np.append(start[1:], len(group)) - 1)
-                lead = order[place][group]
-                ok, _ = _possible(t, (n, pos, sketch), (n[lead], pos[lead], [w[lead] for w in sketch]))
-                ok &= node != node[lead]
-                found.append((node[ok], node[lead[ok]]))
-            a, b = (np.concatenate(c) for c in zip(*found))
-            if len(a):
-                yield _pair_batch(a, b)
+ENTRY = ["deal", "node", "n", "pos", "root", "probe"]
+PAIR = "a bigint, na int, b bigint, nb int"
 
-    return run
 
+def _outside(t: Threshold):
+    """Pairs (entry, probe) of a deal whose components differ, block by block. Probes are searched among the other rows."""
 
-def _outside(t: Threshold, nearest: int | None):
-    """Pairs within a list whose components differ; with ``nearest``, at most so many of an entry and component, by sketch."""
+    def out(found):
+        cols = [np.concatenate(c) for c in zip(*found)]
+        order = np.lexsort((cols[0], cols[2]))
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
+        return pa.RecordBatch.from_arrays([pa.array(c[new].astype(np.int32) if i % 2 else c[new]) for i, c in enumerate(cols)], ["a", "na", "b", "nb"])
 
     def one(cols):
-        root = cols[5]
-        kinds, kind, size = np.unique(root, return_inverse=True, return_counts=True)
-        if len(kinds) == 1:
+        probe = cols[5]
+        p_node, p_n, p_pos, p_root = (c[probe].astype(np.int64) for c in cols[1:5])
+        node, n, pos, root = (c[~probe].astype(np.int64) for c in cols[1:5])
+        if not len(p_node) or not len(node):
             return
-        node, n, pos, sketch = cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[6:-1]
         order = np.lexsort((pos, n))
-        node, n, pos, kind = node[order], n[order], pos[order], kind[order]
-        sketch = [w[order] for w in sketch]
-        probes = np.flatnonzero(kind != size.argmax())  # each pair outside a component has an end here
+        node, n, pos, root = node[order], n[order], pos[order], root[order]
         sizes, first = np.unique(n, return_index=True)
         far = 1 << 32
         place = n * far + pos
-        low = np.searchsorted(sizes, -(-t.num * n[probes] // t.den))
-        high = np.searchsorted(sizes, n[probes] * t.den // t.num, "right")
-        count = high - low
-        ends = np.cumsum(count)
-        at = 0
-        while at < len(probes):
-            # as many probes at once as have about PAIRS entries in reach
+        low = np.searchsorted(sizes, -(-t.num * p_n // t.den))
+        count = np.searchsorted(sizes, p_n * t.den // t.num, "right") - low
+        ends, at = np.cumsum(count), 0
+        while at < len(p_node):  # as many probes at once as have 4096 blocks in reach
             stop = at + max(1, int(np.searchsorted(ends[at:] - (ends[at - 1] if at else 0), 4096, "right")))
-            p = np.repeat(probes[at:stop], count[at:stop])
-            s = np.arange(len(p)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop]) + np.repeat(low[at:stop], count[at:stop])
+            c = count[at:stop]
+            p = np.repeat(np.arange(at, stop), c)
+            s = np.arange(len(p)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:stop], c)
             m = sizes[s]
-            last = m - t.shared(n[p], m)  # the last position of this block that can reach the threshold
-            begin = first[s]
-            until = np.searchsorted(place, m * far + last, "right")
-            until = np.where((n[p] - pos[p] >= t.shared(n[p], m)) & (last >= 0), until, begin)
+            need = t.shared(p_n[p], m)
+            begin = first[s]  # behind position m - need of a block nothing can reach the threshold
+            until = np.where((p_n[p] - p_pos[p] >= need) & (m >= need), np.searchsorted(place, m * far + m - need, "right"), begin)
             width = np.maximum(until - begin, 0)
-            done = 0
-            total = np.cumsum(width)
+            done, total = 0, np.cumsum(width)
             while done < len(p):
                 upto = done + max(1, int(np.searchsorted(total[done:] - (total[done - 1] if done else 0), PAIRS, "right")))
                 w = width[done:upto]
                 x = np.repeat(p[done:upto], w)
                 y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[done:upto], w)
-                other = kind[x] != kind[y]
+                other = p_root[x] != root[y]
                 x, y = x[other], y[other]
-                ok, differ = _possible(t, (n[x], pos[x], [v[x] for v in sketch]), (n[y], pos[y], [v[y] for v in sketch]))
-                x, y, differ = x[ok], y[ok], differ[ok]
-                if nearest and len(x):
-                    by = np.lexsort((differ, kind[y], x))
-                    x, y = x[by], y[by]
-                    new = np.ones(len(x), bool)
-                    new[1:] = (x[1:] != x[:-1]) | (kind[y][1:] != kind[y][:-1])
-                    begin_ = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-                    keep = np.arange(len(x)) - begin_ < nearest
-                    x, y = x[keep], y[keep]
                 if len(x):
-                    yield node[x], node[y]
+                    yield node[y], n[y], p_node[x], p_n[x]
                 done = upto
             at = stop
 
     def run(batches):
         for cols in _groups(batches, ENTRY):
             head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-            low, high = np.minimum.reduceat(cols[5], head), np.maximum.reduceat(cols[5], head)
-            mixed = np.repeat(low != high, np.diff(np.append(head, len(cols[0]))))
-            cols = [c[mixed] for c in cols]  # lists within one component have nothing to add
-            if not len(cols[0]):
-                continue
-            head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             found, size = [], 0
             for a, b in zip(head, np.append(head[1:], len(cols[0]))):
-                for pair in one([c[a:b] for c in cols]):
-                    found.append(pair)
-                    size += len(pair[0])
+                for pairs in one([c[a:b] for c in cols]):
+                    found.append(pairs)
+                    size += len(pairs[0])
                     if size >= PAIRS:
-                        yield _pair_batch(*(np.concatenate(c) for c in zip(*found)))
+                        yield out(found)
                         found, size = [], 0
             if found:
-                yield _pair_batch(*(np.concatenate(c) for c in zip(*found)))
+                yield out(found)
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, seed: int):
     """(node, members) of every text."""
 
     def run(batches):
@@ -390,10 +367,9 @@ def _sets(k: int):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([s for _, s in rows])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], ["node", "members"])
 
-        for _, _, s in _each(batches, k):
-            if len(s):
-                rows.append((class_of(s), np.sort(s.view(np.int64))))
-                size += len(s)
+        for node, s in _fresh(batches, k, seed):
+            rows.append((node, np.sort(s.view(np.int64))))
+            size += len(s)
             if size >= 1 << 17:
                 yield flush()
                 rows, size = [], 0
@@ -403,8 +379,15 @@ def _sets(k: int):
     return run
 
 
-def _count(num: int, den: int):
-    """Rows sorted by deal: first the sets of a deal (b null), then its pairs; gives the pairs that are similar enough."""
+VERIFIED = PAIR + ", distance int, linked boolean, difference array<bigint>"
+
+
+def _measure(t: Threshold, differences: bool, keep: bool):
+    """Rows by deal, first the members of its sets (b null), then its pairs: distance (members that one of both has), linked.
+
+    differences: the members are the sets' differences from one leader, whose own difference is that of the sets.
+    keep: gives the difference of a pair as well, where it is short.
+    """
 
     def run(batches):
         deal, sets = None, {}
@@ -412,122 +395,199 @@ def _count(num: int, den: int):
             found = []
             members = batch.column("members")
             offsets, values = members.offsets.to_numpy(), members.flatten().to_numpy(zero_copy_only=False)
-            for k, (d, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("deal", "a", "b")))):
+            names = ("deal", "a", "na", "b", "nb")
+            for i, (d, a, na, b, nb) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
                 if d != deal:
                     deal, sets = d, {}
                 if b is None:
-                    sets[a] = values[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]].copy()
+                    sets[a] = values[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]].copy()
                     continue
                 x, y = sets[a], sets[b]
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                s = int((y[at] == x).sum())
-                if den * s >= num * (len(x) + len(y) - s):
-                    found.append((a, b))
+                same = int((y[at] == x).sum()) if len(y) else 0
+                distance = len(x) + len(y) - 2 * same
+                linked = (na + nb - distance) // 2 >= t.shared(na, nb)
+                short = keep and distance <= KEPT * (na + nb)
+                found.append((a, na, b, nb, distance, linked, np.setxor1d(x, y, assume_unique=True) if short else None))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*found), types)], ["a", "na", "b", "nb", "distance", "linked", "difference"])
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar.
-
-    Pairs are dealt by the least neighbour of a, so that a group of copies meets in one place and each of its
-    sets goes there once, not once a pair. A group with more than DEAL pairs is dealt on by a.
-    """
-    sides = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = sides.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("key"))
-    keyed = pairs.join(least.withColumnRenamed("node", "a"), "a")
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"))
-    split = F.when(F.col("pairs") > DEAL, F.pmod(F.xxhash64("a"), F.ceil(F.col("pairs") / DEAL))).otherwise(0)
-    dealt = materialize(salted_join(keyed, "key", many).select(F.xxhash64("key", split).alias("deal"), "a", "b"), "dealt-pairs")
+def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold, parts: int, differences: bool = False, keep: bool = False) -> DataFrame:
+    """VERIFIED of the pairs. They are dealt by b; a b whose partners have many members is dealt on by a."""
+    loads = salted_lookup(pairs, ["b"], [("load", F.sum("na"), F.sum)])
+    split = F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / LOAD))
+    dealt = materialize(loads.select(F.xxhash64("b", split).alias("deal"), "a", "na", "b", "nb"), "dealt-pairs")
     needs = dealt.select("deal", F.col("a").alias("node")).unionByName(dealt.select("deal", F.col("b").alias("node"))).distinct()
-    # repeated rows of a doc_id may give a set twice; one is enough
-    carried = needs.join(sets, "node").select("deal", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "members")
-    rows = carried.unionByName(dealt.select("deal", "a", "b", F.array().cast("array<bigint>").alias("members")))
+    none = F.lit(None)
+    # repeated texts may give a set twice; one is enough
+    carried = needs.join(sets, "node").select("deal", F.col("node").alias("a"), none.cast("int").alias("na"), none.cast("bigint").alias("b"), none.cast("int").alias("nb"), "members")
+    rows = carried.unionByName(dealt.withColumn("members", F.array().cast("array<bigint>")))
     met = rows.repartition(parts, "deal").sortWithinPartitions("deal", F.col("b").asc_nulls_first())
-    return met.mapInArrow(_count(num, den), "a bigint, b bigint").distinct()
-
-
-def _joined(docs: DataFrame, k: int, num: int, den: int, short: int, mark=None) -> DataFrame:
-    """doc_id, n, node, root, component_id, n_links of every row, and the binary column ``mark`` where it is given."""
-    marked, mark = ([] if mark is None else ["mark"]), F.lit(None).cast("binary") if mark is None else mark
-    t = Threshold(num, den)
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
-    words = [f"s{j}" for j in range(SKETCH)]
-    schema = "doc_id bigint, n int, node bigint, " + ", ".join(f"{w} bigint" for w in words) + ", segment int, counts binary, mark binary"
-    scanned = materialize(texts.mapInArrow(_scan(k), schema), "shingle-scan")
-    sums = scanned.where("segment IS NOT NULL").select("segment", "counts").repartition(SEGMENTS, "segment")
-    bits = np.zeros(COUNTERS // 8, np.uint8)
-    for g, raw in sums.mapInArrow(_frequent, "segment int, bits binary").collect():  # 64 kB in all
-        part = np.frombuffer(raw, np.uint8)
-        bits[g * len(part) : (g + 1) * len(part)] = part
-    frequent = spark.sparkContext.broadcast(bits)
-
-    rows = scanned.where("segment IS NULL").select("doc_id", "n", "node", *marked)
-    known = scanned.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.max(w).alias(w) for w in words])
-    known = materialize(known, "classes")
-    schema = "shingle bigint, node bigint, n int, pos int, score smallint"
-    index = docs.select("text").mapInArrow(_index(k, t, frequent), schema)
-    index = index.repartition(parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared_entries, schema + ", size int")
-    entries = materialize(materialize(index, "prefix-entries").join(known.drop("least"), "node"), "entries")
-
-    def candidates(entries: DataFrame, find) -> DataFrame:
-        dealt = entries.select(*ENTRY).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "pos", "node")
-        return materialize(dealt.mapInArrow(find, "a bigint, b bigint").distinct(), "candidates")
-
-    first = candidates(entries.withColumn("root", F.col("node")), _leaders(t, short))
-    long_ = entries.where(F.col("size") > short)
-    ids = known.select("node", F.coalesce("least", F.lit(NULL_ID)).alias("id"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """One text of each class in the pairs is looked at again; others are not."""
+    return met.mapInArrow(_measure(t, differences, keep), VERIFIED)
+
+
+class _Join:
+    """The steps of a join over one table of texts."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, mark=None):
+        self.k, self.t, self.spark = k, Threshold(num, den), docs.sparkSession
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None).cast("binary") if mark is None else mark).alias("mark"))
+        sums = self.texts.select("text").mapInArrow(_sketch(k), "segment int, counts binary").repartition(SEGMENTS, "segment")
+        bits = np.zeros(COUNTERS // 8, np.uint8)
+        for g, raw in sums.mapInArrow(_hot_bits, "segment int, bits binary").collect():  # 64 kB in all
+            part = np.frombuffer(raw, np.uint8)
+            bits[g * len(part) : (g + 1) * len(part)] = part
+        self.order = self.spark.sparkContext.broadcast(Order(bits, self.t.counted()))
+        self.seed = 0
+        while True:  # classes are verified by a second hash; should two sets share one, they are made anew
+            self.facts = materialize(self.texts.mapInArrow(_facts(k, self.t, self.order, self.seed), FACTS), "set-facts")
+            known = self.facts.where("n > 0").groupBy("node").agg(
+                F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("counted").alias("counted"), (F.min("twin") != F.max("twin")).alias("several")
+            )
+            self.classes = materialize(known, "classes")
+            if self.classes.where("several").isEmpty():
+                break
+            self.seed += 1
+
+    def entries(self) -> DataFrame:
+        """The index: (shingle, node, n, pos) of the prefixes, without what one class has alone of the counted."""
+        counted = self.texts.select("text").mapInArrow(_counted(self.k, self.order, self.seed), "shingle bigint, node bigint")
+        shared = counted.repartition(self.parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle bigint, node bigint, classes int")
+        own = Window.partitionBy("node")
+        placed = shared.join(self.classes.select("node", "n", "counted"), "node")
+        nth, all_ = F.row_number().over(own.orderBy("classes", "shingle")), F.count(F.lit(1)).over(own)
+        placed = placed.select("shingle", "node", "n", (F.col("counted") - all_ + nth - 1).cast("int").alias("pos"))
+        prefix = F.col("n") - F.ceil(F.lit(self.t.num) * F.col("n") / F.lit(self.t.den)) + 1
+        rest = self.facts.where(F.size("rest") > 0).select(F.posexplode("rest").alias("j", "shingle"), "node", "n", "counted")
+        rest = rest.select("shingle", "node", "n", (F.col("counted") + F.col("j")).cast("int").alias("pos")).distinct()
+        return materialize(placed.where(F.col("pos") < prefix).unionByName(rest), "prefix-entries")
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, members) of the classes in the pairs, from one text of each."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = Bloom.of(ids.join(nodes, "node", "left_semi").select("id"))
-        again = asked.filter(texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text"), "id")
-        sets = again.mapInArrow(_sets(k), "node bigint, members array<bigint>")
-        return materialize(_verify(pairs, sets, parts, num, den), "links")
-
-    links = verified(first)
-    roots = components(links)
-    if not long_.isEmpty():
-        for nearest in (NEAREST, None):
-            with_roots = long_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            more = candidates(with_roots, _outside(t, nearest))
-            if not more.isEmpty() and not (more := verified(more)).isEmpty():
-                links = links.unionByName(more)
-                roots = components(links)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = known.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(salted_join(classes, "root", least).select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return salted_join(rows, "node", classes)
-
-
-def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, short: int = SHORT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row per row of docs.
+        ids = self.classes.join(nodes, "node", "left_semi").select(F.coalesce("least", F.lit(NULL_ID)).alias("id"))
+        texts = self.texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
+        return Bloom.of(ids).filter(texts, "id").mapInArrow(_sets(self.k, self.seed), "node bigint, members array<bigint>")
+
+    def _reaches(self, n, i, m, j):
+        """Whether entries (size, position) may belong to similar sets."""
+        need = F.ceil(F.lit(self.t.num) * (n + m) / F.lit(self.t.num + self.t.den))
+        return (F.lit(self.t.den) * F.least(n, m) >= F.lit(self.t.num) * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
+
+    def with_leader(self, entries: DataFrame, nth: int) -> DataFrame:
+        """The candidates of the lists that hold several components: each set with its list's leader, the first by hash."""
+        lead = F.struct(F.xxhash64(F.lit(nth), "node").alias("h"), *[F.col(c) for c in ("node", "n", "pos", "root")])
+        aggs = [("low", F.min("root"), F.min), ("high", F.max("root"), F.max), ("lead", F.min(lead), F.min)]
+        rows = salted_lookup(entries, ["shingle"], aggs).where("low != high AND root != lead.root")
+        rows = rows.where(self._reaches(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+        return materialize(rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct(), "leader-pairs")
+
+    def between(self, entries: DataFrame) -> DataFrame:
+        """All candidates between components. Sets outside the most frequent component of a list are its probes; each
+        pair has one. A list of over CHUNK entries is dealt out in chunks, and its probes go to each."""
+        parts = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+        most = parts.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"))
+        rows = salted_join(entries, "shingle", most).where("kinds > 1")
+        chunks = F.ceil(F.col("size") / CHUNK)
+        same = ["node", "n", "pos", "root"]
+        base = rows.select(F.xxhash64("shingle", F.pmod(F.xxhash64("node"), chunks)).alias("deal"), *same, F.lit(False).alias("probe"))
+        probes = rows.where("root != most.root").select(F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "shingle", *same)
+        probes = probes.select(F.xxhash64("shingle", "chunk").alias("deal"), *same, F.lit(True).alias("probe"))
+        dealt = base.unionByName(probes).repartition(self.parts, "deal").sortWithinPartitions("deal", "n", "pos", "node")
+        found = dealt.mapInArrow(_outside(self.t), PAIR)
+        # a pair of two probes comes from either side
+        low, high = (F.struct(F.col(x).alias("node"), F.col(n).alias("n")) for x, n in (("a", "na"), ("b", "nb")))
+        turned = found.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y")).distinct()
+        return materialize(turned.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")), "between-pairs")
+
+    def derived(self, pairs: DataFrame, led: DataFrame) -> DataFrame:
+        """VERIFIED of the pairs; led: VERIFIED of sets with leaders, from which answers are derived where they can be."""
+        own = led.where("difference IS NOT NULL").groupBy("a").agg(F.min_by(F.struct("b", "distance", "difference"), F.struct("distance", "b")).alias("l"))
+        own = own.select(F.col("a").alias("node"), F.col("l.b").alias("leader"), F.col("l.distance").alias("away"), F.col("l.difference").alias("members"))
+        heads = own.select(F.col("leader").alias("node")).distinct().join(own.select("node"), "node", "left_anti")
+        own = materialize(own.unionByName(heads.select("node", F.col("node").alias("leader"), F.lit(0).alias("away"), F.array().cast("array<bigint>").alias("members"))), "leaders")
+        rows = pairs
+        for side in "ab":
+            near = own.select(F.col("node").alias(side), F.col("leader").alias(f"leader_{side}"), F.col("away").alias(f"away_{side}"))
+            rows = salted_join(rows, side, near)
+        rows = materialize(rows, "led-pairs")
+        n = F.col("na") + F.col("nb")
+        need = F.ceil(F.lit(self.t.num) * n / F.lit(self.t.num + self.t.den))
+        most, least = F.floor((n - F.abs(F.col("away_a") - F.col("away_b"))) / 2), F.floor((n - F.col("away_a") - F.col("away_b")) / 2)
+        led_by_one = F.coalesce(F.col("leader_a") == F.col("leader_b"), F.lit(False))
+        cols = ["a", "na", "b", "nb"]
+        sure = rows.where(led_by_one & (least >= need)).select(*cols, F.lit(None).cast("int").alias("distance"), F.lit(True).alias("linked"), F.lit(None).cast("array<bigint>").alias("difference"))
+        open_ = rows.where(led_by_one & (least < need) & (most >= need)).select(*cols)
+        found = sure.unionByName(_verify(open_, own.select("node", "members"), self.t, self.parts, differences=True))
+        other = materialize(rows.where(~led_by_one).select(*cols), "other-pairs")
+        return found if other.isEmpty() else found.unionByName(_verify(other, self.sets(other), self.t, self.parts))
+
+    def links(self, rounds: int) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) that connect the components, and (node, root)."""
+        entries, led = self.entries(), self.spark.createDataFrame([], VERIFIED)
+        roots = self.spark.createDataFrame([], "node bigint, root bigint")
+
+        def rooted():
+            return materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-entries")
+
+        for nth in range(rounds):
+            pairs = self.with_leader(rooted(), nth)
+            if pairs.isEmpty():
+                return led.where("linked").select("a", "b"), roots
+            led = led.unionByName(materialize(_verify(pairs, self.sets(pairs), self.t, self.parts, keep=True), "led"))
+            roots = components(led.where("linked").select("a", "b"))
+        pairs = self.between(rooted())
+        links = led.where("linked").select("a", "b")
+        if not pairs.isEmpty():
+            links = links.unionByName(materialize(self.derived(pairs, led).where("linked").select("a", "b"), "links"))
+            roots = components(links)
+        return links, roots
+
+    def components(self, rounds: int) -> DataFrame:
+        """doc_id, n, node, mark, root, component_id of every row."""
+        _, roots = self.links(rounds)
+        classes = self.classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = materialize(salted_join(classes, "root", least).select("node", "root", "component_id"), "components")
+        return salted_join(self.facts.select("doc_id", "n", "node", "mark"), "node", classes)
+
+
+def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs.
 
     A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
     distinct k-word shingles, or, with fewer words, all of them as one. Texts without words have an empty
     set, and their component is themselves. Two sets link when den * shared >= num * union. component_id is
-    the smallest doc_id that links reach; texts with equal sets are linked. n_links counts the verified
-    links of the text's class with other classes that were needed to connect the component; it is not the
-    number of all links. Null text counts as empty. A null doc_id is never the smallest; rows that repeat a
-    doc_id are each answered from their own text. An empty table gives an empty result; other columns are
-    not looked at.
+    the smallest doc_id that links reach; texts with equal sets are linked. Null text counts as empty. A null
+    doc_id is never the smallest; rows that repeat a doc_id are each answered from their own text. An empty
+    table gives an empty result; other columns are not looked at.
+    """
+    full = _Join(docs, k, num, den).components(rounds)
+    return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_pairs(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
+    """left_id, right_id, shared, n_left, n_right: all links between different sets, each told by its smallest doc_id.
+
+    Every pair is listed, so a group of many near copies gives as many rows as it has pairs; join_sets does not need them.
+    Texts with equal sets are one: join_sets tells which they are.
     """
-    full = _joined(docs, k, num, den, short)
-    return full.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    j = _Join(docs, k, num, den)
+    pairs = j.between(j.entries().withColumn("root", F.col("node")))
+    found = _verify(pairs, j.sets(pairs), j.t, j.parts).where("linked")
+    ids = j.classes.select("node", "least")
+    for side, name in (("a", "left"), ("b", "right")):
+        found = salted_join(found, side, ids.select(F.col("node").alias(side), F.col("least").alias(f"{name}_id")))
+    shared = ((F.col("na") + F.col("nb") - F.col("distance")) / 2).cast("long")
+    return found.select("left_id", "right_id", shared.alias("shared"), F.col("na").cast("long").alias("n_left"), F.col("nb").cast("long").alias("n_right"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -537,7 +597,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     their texts. Texts without words all stay; a row that repeats both stays once.
     """
     mark = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    told, rows = docs.withColumn("_text", mark), _joined(docs, k, num, den, SHORT, mark)
+    told, rows = docs.withColumn("_text", mark), _Join(docs, k, num, den, mark).components(ROUNDS)
     least = rows.where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("n") == 0, F.col("mark")).alias("alone")
     kept = least.groupBy("root", F.col("doc_id").alias("_kept_id"), alone).agg(F.min("mark").alias("_kept_text")).select("_kept_id", "_kept_text").distinct()

@@ -5,7 +5,7 @@ import pytest
 
 from gaugework.llm import jaccard_join as J
 
-from .brute import near
+from .brute import near, shingles
 
 SCHEMA = "doc_id long, text string, node string, n int"
 
@@ -24,14 +24,79 @@ def rows():
     return out + [(2, None), (1, ""), (3, "  \n"), (9001, "one two"), (9000, "One  two"), (9003, "one"), (9004, "É one"), (9005, "é one"), (9006, "a " * 20000)]
 
 
-@pytest.mark.parametrize(("k", "num", "short"), [(3, 90, 32), (5, 80, 2)])
-def test_components_equal_brute_force(spark, k, num, short):
+@pytest.mark.parametrize(("k", "num", "rounds", "chunk"), [(3, 90, 2, 4096), (5, 80, 2, 3), (3, 80, 0, 5), (3, 60, 1, 4096)])
+def test_components_equal_brute_force(spark, monkeypatch, k, num, rounds, chunk):
+    monkeypatch.setattr(J, "CHUNK", chunk)
     data = rows()
     df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, k, num, short=short).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, k, num, rounds=rounds).collect()}
     assert got == near(data, k, num)
 
 
+def ring(rng, n=40):
+    """Sets in a ring around one that is not there: neighbours are similar, and most are not similar to any leader."""
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for j in range(5 * i, 5 * i + 10):
+            words[j % 200] = f"x{j % 200}"
+        out.append((i + 1, " ".join(words)))
+    return out
+
+
+def test_answers_derived_from_leaders(spark, monkeypatch):
+    """Components that only pairs between sets of one leader connect; the bounds and the differences give them."""
+    data = ring(random.Random(1))
+    df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
+    asked = []
+    verify = J._verify
+    monkeypatch.setattr(J, "_verify", lambda pairs, *a, **b: asked.append((b.get("differences", False), pairs.count())) or verify(pairs, *a, **b))
+    for num in (75, 85):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, 3, num, rounds=1).collect()}
+        assert got == near(data, 3, num)
+    assert any(derived and n for derived, n in asked)
+
+
+def test_all_pairs_equal_brute_force(spark):
+    data = rows()
+    df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
+    sets = {}
+    for i, t in sorted(data, key=lambda r: r[0]):
+        if s := shingles(t, 3):
+            sets.setdefault(s, i)
+    each = list(sets.items())
+    want = {(min(i, j), max(i, j), len(a & b)) for x, (a, i) in enumerate(each) for b, j in each[:x] if 100 * len(a & b) >= 70 * len(a | b)}
+    got = [(min(r["left_id"], r["right_id"]), max(r["left_id"], r["right_id"]), r["shared"]) for r in J.similar_pairs(df, 3, 70).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_long_words_are_told_apart():
+    """The Thue-Morse word and its complement have one value under every polynomial modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} x y{other} x y".encode(), np.uint8)
+    one, two = J.shingle_sets(data, np.array([0, len(word) + 4, len(data)]), 3)
+    assert one.tolist() != two.tolist()
+
+
+def test_counts_of_shingles_stop_at_many(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "MANY", 5)
+    rng = np.random.default_rng(2)
+    shingle = np.sort(rng.choice([1, 2, 2, 2, 3, 4, 4, 5, 6], 90))
+    node = np.concatenate([np.sort(rng.integers(0, 12, (shingle == s).sum())) for s in np.unique(shingle)])
+    shingle, node = np.append(shingle, 9), np.append(node, 1)
+    want = {(s, x): min(5, len(set(node[shingle == s]))) for s, x in zip(shingle.tolist(), node.tolist()) if len(set(node[shingle == s])) > 1}
+    for size in (1, 4, 17, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(shingle[i : i + size]), pa.array(node[i : i + size])], ["shingle", "node"]) for i in range(0, len(shingle), size)]
+        got = [r for b in J._shared(batches) for r in zip(*(b.column(c).to_pylist() for c in range(3)))]
+        assert len(got) == len(want) and {r[:2]: r[2] for r in got} == want
+
+
 def test_empty_table_repeats_and_dropping(spark):
     df = spark.createDataFrame([(5, "a b c d e f", "x", 0), (5, "a b c d e f", "x", 0), (4, "a b c d e f", "y", 1), (9, "q r s t u v", None, None), (None, "a b c d e f", "z", 2)], SCHEMA)
     assert J.join_sets(df.limit(0), 3, 90).collect() == []
@@ -46,12 +111,3 @@ def test_texts_without_an_id_of_their_own_stay(spark):
     got = [(r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in J.drop_near_copies(df, 3, 90).collect()]
     want = [(None, a), (None, b), (4, c), (7, d), (7, b + " z y"), (2, "x y z q q q q"), (None, ""), (None, ""), (8, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
-
-
-def test_parity_sketch_bounds_the_difference():
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        a = np.unique(rng.integers(0, 2**60, 100).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: rng.integers(0, 100)], rng.integers(0, 2**60, 20).astype(np.uint64)]))
-        differ = int(np.bitwise_count((J.parity(a) ^ J.parity(b)).view(np.uint64)).sum())
-        assert differ <= len(np.setxor1d(a, b))
