@@ -35,8 +35,8 @@ COUNTERS, SEGMENTS, WELL, TIMES = 1 << 19, 16, 64, 8
 COUNTED, MANY = 2.5, 4096
 #: Entries of a list that are compared in one place, members of sets that are verified in one place, pairs held at once.
 CHUNK, LOAD, PAIRS = 4096, 1 << 20, 1 << 20
-#: Rounds in which sets are compared with their lists' leaders; a difference kept has at most this share of both sets.
-ROUNDS, KEPT = 2, 0.25
+#: A difference from a leader is kept if it has at most this share of both sets; leaders are asked while one of USEFUL answers links.
+KEPT, USEFUL = 0.25, 8
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: Words longer than this are hashed on their own: a polynomial modulo 2**64 has known collisions from 1024 bytes on.
@@ -122,24 +122,64 @@ class Threshold:
         return min(1024, int(1024 * COUNTED * (1 - self.num / self.den)) + 1)
 
 
-def _sketch(k: int):
-    """Per task the counts of its shingles, in segments."""
-    width = COUNTERS // SEGMENTS
+SCAN = "doc_id bigint, n int, node bigint, twin bigint, mark binary, sketch binary, segment int, counts binary"
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """A bit for each member, rounded up to a power of two: set where an odd count of members falls on it.
+
+    Bits that differ between two sets are at most the members that one of both has.
+    """
+    size = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(10)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch (bytes) that a set would have with fewer bits (bytes)."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _scan(k: int, seed: int):
+    """Per text: doc_id, set size, class, a second hash of the set, sketch; per task the counts of its shingles, in segments."""
+    width, names = COUNTERS // SEGMENTS, [x.split()[0] for x in SCAN.split(", ")]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches):
-        counts, slots, held = np.zeros(COUNTERS, np.int64), [], 0
-        for _, s in _fresh(batches, k, 0):
-            slots.append((s >> np.uint64(45)).astype(np.int32))
-            held += len(s)
-            if held >= 1 << 20:
-                counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
-                slots, held = [], 0
+        counts, slots, held, rows, seen = np.zeros(COUNTERS, np.int64), [], 0, [], set()
+        ids, marks, last = [], [], None
+
+        def flush():
+            arrays = [pa.array(c, x) for c, x in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+
+        for batch, i, s in _each(batches, k):
+            if batch is not last:
+                ids, marks, last = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch
+            node = class_of(s, seed)
+            rows.append((ids[i], len(s), node, class_of(s, seed + 0x5BD1E995), marks[i], sketch_of(s).tobytes()))
+            if len(s) and node not in seen:
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(node)
+                slots.append((s >> np.uint64(45)).astype(np.int32))
+                held += len(s)
+                if held >= 1 << 20:
+                    counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
+                    slots, held = [], 0
+            if len(rows) >= 4096:
+                yield flush()
+                rows.clear()
+        if rows:
+            yield flush()
         if slots:
             counts += np.bincount(np.concatenate(slots), minlength=COUNTERS)
         for g in range(SEGMENTS):
             part = np.minimum(counts[g * width : (g + 1) * width], 2**32 - 1).astype(np.uint32)
             if part.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([g], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x) for x in types), pa.array([g], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
     return run
 
@@ -170,104 +210,79 @@ class Order:
         return s[first], np.concatenate([s[~first & ~hot], s[hot]])
 
 
-FACTS = "doc_id bigint, n int, node bigint, twin bigint, counted int, rest array<bigint>, mark binary"
-
-
-def _facts(k: int, t: Threshold, order, seed: int):
-    """Per text: doc_id, set size, class, a second hash of the set, its counted members, and what a prefix needs besides them."""
-
-    def run(batches):
-        rows: list[tuple] = []
-        ids, marks, last = [], [], None
-
-        def flush():
-            cols = list(zip(*rows))
-            sizes = np.array([len(r) for r in cols[5]])
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(cols[5]).view(np.int64)))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(cols, types)), rest, pa.array(cols[6], pa.binary())], [x.split()[0] for x in FACTS.split(", ")])
-
-        for batch, i, s in _each(batches, k):
-            if batch is not last:
-                ids, marks, last = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch
-            first, rest = order.value.split(s)
-            need = len(s) - int(t.least(len(s))) + 1 if len(s) else 0
-            rows.append((ids[i], len(s), class_of(s, seed), class_of(s, seed + 0x5BD1E995), len(first), rest[: max(0, need - len(first))], marks[i]))
-            if len(rows) >= 4096:
-                yield flush()
-                rows.clear()
-        if rows:
-            yield flush()
-
-    return run
-
-
-def _counted(k: int, order, seed: int):
-    """(shingle, class) of every counted member."""
+def _index(k: int, t: Threshold, order, seed: int):
+    """(shingle, class, place) of every counted member, place: how many the set has; and of what a prefix needs besides them, place: -1 - position."""
+    names = ["shingle", "node", "place"]
 
     def run(batches):
         parts, size = [], 0
         for node, s in _fresh(batches, k, seed):
-            first, _ = order.value.split(s)
-            parts.append((first.view(np.int64), np.full(len(first), node)))
-            size += len(first)
+            first, rest = order.value.split(s)
+            rest = rest[: max(0, len(s) - int(t.least(len(s))) + 1 - len(first))]
+            place = np.concatenate([np.full(len(first), len(first)), -1 - len(first) - np.arange(len(rest))]).astype(np.int32)
+            parts.append((np.concatenate([first, rest]).view(np.int64), np.full(len(place), node), place))
+            size += len(place)
             if size >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
                 parts, size = [], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["shingle", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
 
     return run
 
 
 def _shared(batches):
-    """(shingle, class) by shingle and class, to those that several classes have, with their number, MANY at most.
+    """Rows of _index by shingle and class: the counted that several classes have, with their number, MANY at most; the others with 0.
 
     At most MANY rows of a shingle are held: from then on its number is known.
     """
-    names = ["shingle", "node", "classes"]
-    held, full, last = [np.zeros(0, np.int64)] * 2, None, None  # rows of the last shingle; it, once it has MANY; the row before
+    names = ["shingle", "node", "place", "classes"]
+    held, full, last = [np.zeros(0, np.int64)] * 3, None, None  # rows of the last shingle; it, once it has MANY; the row before
 
-    def out(shingle, node, classes):
-        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.array(classes.astype(np.int32))], names)
+    def out(cols, classes):
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:2]), pa.array(cols[2].astype(np.int32)), pa.array(classes.astype(np.int32))], names)
+
+    def several(cols):
+        head = np.ones(len(cols[0]), bool)
+        head[1:] = cols[0][1:] != cols[0][:-1]
+        group = np.cumsum(head) - 1
+        size = np.minimum(np.bincount(group)[group], MANY)
+        keep = size > 1
+        if keep.any():
+            yield out([c[keep] for c in cols], size[keep])
 
     for batch in batches:
-        shingle, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node"))
-        if not len(shingle):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:3]]
+        other = cols[2] < 0
+        if other.any():
+            yield out([c[other] for c in cols], np.zeros(other.sum()))
+            cols = [c[~other] for c in cols]
+        if not len(cols[0]):
             continue
+        shingle, node = cols[:2]
         new = np.ones(len(shingle), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])
         new[0] = last != (shingle[0], node[0])
         last = (shingle[-1], node[-1])
-        shingle, node = shingle[new], node[new]
+        cols = [c[new] for c in cols]
         if full is not None:
-            more = int(np.searchsorted(shingle, full, "right"))
+            more = int(np.searchsorted(cols[0], full, "right"))
             if more:
-                yield out(shingle[:more], node[:more], np.full(more, MANY))
-                shingle, node = shingle[more:], node[more:]
-            if len(shingle):
+                yield out([c[:more] for c in cols], np.full(more, MANY))
+                cols = [c[more:] for c in cols]
+            if len(cols[0]):
                 full = None
-        shingle, node = np.concatenate([held[0], shingle]), np.concatenate([held[1], node])
-        if not len(shingle):
+        cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+        if not len(cols[0]):
             continue
-        cut = int(np.searchsorted(shingle, shingle[-1]))
-        if len(shingle) - cut >= MANY:
-            full, cut = shingle[-1], len(shingle)
-        held = [shingle[cut:], node[cut:]]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if len(cols[0]) - cut >= MANY:
+            full, cut = cols[0][-1], len(cols[0])
+        held = [c[cut:] for c in cols]
         if cut:
-            yield from several(shingle[:cut], node[:cut], out)
+            yield from several([c[:cut] for c in cols])
     if len(held[0]):
-        yield from several(*held, out)
-
-
-def several(shingle, node, out):
-    head = np.ones(len(shingle), bool)
-    head[1:] = shingle[1:] != shingle[:-1]
-    group = np.cumsum(head) - 1
-    size = np.minimum(np.bincount(group)[group], MANY)
-    keep = size > 1
-    if keep.any():
-        yield out(shingle[keep], node[keep], size[keep])
+        yield from several(held)
 
 
 def _groups(batches, names: list[str]):
@@ -287,10 +302,58 @@ def _groups(batches, names: list[str]):
         yield held
 
 
-ENTRY = ["deal", "node", "n", "pos", "root", "probe"]
+ENTRY = ["deal", "node", "n", "pos", "root", "probe", "sketch"]
 PAIR = "a bigint, na int, b bigint, nb int"
 
 
+class Sketches:
+    """Sketches of many sets, in one table for each size, folded to that of the smaller of two."""
+
+    def __init__(self, raw):
+        self.raw, self.size = [np.frombuffer(x, np.uint8) for x in raw], np.array([len(x) for x in raw], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _table(self, size: int, rows: np.ndarray):
+        """The words of the rows' sketches at a size, and where each row stands."""
+        if size not in self.tables:
+            own = np.flatnonzero((self.size >= size) & (self.size <= 2 * size))
+            place = np.zeros(len(self.size), np.int64)
+            place[own] = np.arange(len(own))
+            self.tables[size] = place, np.stack([folded(self.raw[i], size) for i in own]).view(np.uint64)
+        place, words = self.tables[size]
+        return words[place[rows]]
+
+    def close(self, t: Threshold, x: np.ndarray, y: np.ndarray, other: Sketches, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether rows x here and y there may be similar: sizes n and m. Sketch sizes differ by a factor of two at most there."""
+        most = n + m - 2 * t.shared(n, m)
+        size, far = np.minimum(self.size[x], other.size[y]), np.maximum(self.size[x], other.size[y])
+        ok = far > 2 * size  # possible for small thresholds only: not told apart here
+        for one in np.unique(size[~ok]):
+            rows = np.flatnonzero((size == one) & ~ok)
+            step = max(1, (PAIRS << 2) // int(one))
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                differ = np.bitwise_count(self._table(int(one), x[r]) ^ other._table(int(one), y[r])).sum(1, dtype=np.int64)
+                ok[r] = differ <= most[r]
+        return ok
+
+
+def _close(t: Threshold):
+    """The pairs (a, na, b, nb) whose sketches allow it."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                n, m = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+                one, two = (Sketches(part.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
+                rows = np.arange(len(n))
+                ok = one.close(t, rows, rows, two, n, m)
+                yield part.select(["a", "na", "b", "nb"]).filter(pa.array(ok))
+
+    return run
+
+
 def _outside(t: Threshold):
     """Pairs (entry, probe) of a deal whose components differ, block by block. Probes are searched among the other rows."""
 
@@ -310,6 +373,7 @@ def _outside(t: Threshold):
             return
         order = np.lexsort((pos, n))
         node, n, pos, root = node[order], n[order], pos[order], root[order]
+        p_sketch, sketch = Sketches(cols[6][probe]), Sketches(cols[6][~probe][order])
         sizes, first = np.unique(n, return_index=True)
         far = 1 << 32
         place = n * far + pos
@@ -334,6 +398,9 @@ def _outside(t: Threshold):
                 y = np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[done:upto], w)
                 other = p_root[x] != root[y]
                 x, y = x[other], y[other]
+                if len(x):
+                    ok = p_sketch.close(t, x, y, sketch, p_n[x], n[y])
+                    x, y = x[ok], y[ok]
                 if len(x):
                     yield node[y], n[y], p_node[x], p_n[x]
                 done = upto
@@ -356,8 +423,12 @@ def _outside(t: Threshold):
     return run
 
 
-def _sets(k: int, seed: int):
-    """(node, members) of every text."""
+def _sets(k: int, seed: int, asked):
+    """(node, members) of the texts whose id may be among those asked for."""
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(asked.value.passes(batch.column("id").to_numpy(zero_copy_only=False))))
 
     def run(batches):
         rows, size = [], 0
@@ -367,7 +438,7 @@ def _sets(k: int, seed: int):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([s for _, s in rows])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], ["node", "members"])
 
-        for node, s in _fresh(batches, k, seed):
+        for node, s in _fresh(chosen(batches), k, seed):
             rows.append((node, np.sort(s.view(np.int64))))
             size += len(s)
             if size >= 1 << 17:
@@ -440,67 +511,82 @@ class _Join:
         self.k, self.t, self.spark = k, Threshold(num, den), docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None).cast("binary") if mark is None else mark).alias("mark"))
-        sums = self.texts.select("text").mapInArrow(_sketch(k), "segment int, counts binary").repartition(SEGMENTS, "segment")
-        bits = np.zeros(COUNTERS // 8, np.uint8)
-        for g, raw in sums.mapInArrow(_hot_bits, "segment int, bits binary").collect():  # 64 kB in all
-            part = np.frombuffer(raw, np.uint8)
-            bits[g * len(part) : (g + 1) * len(part)] = part
-        self.order = self.spark.sparkContext.broadcast(Order(bits, self.t.counted()))
         self.seed = 0
         while True:  # classes are verified by a second hash; should two sets share one, they are made anew
-            self.facts = materialize(self.texts.mapInArrow(_facts(k, self.t, self.order, self.seed), FACTS), "set-facts")
-            known = self.facts.where("n > 0").groupBy("node").agg(
-                F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("counted").alias("counted"), (F.min("twin") != F.max("twin")).alias("several")
-            )
+            scanned = materialize(self.texts.mapInArrow(_scan(k, self.seed), SCAN), "shingle-scan")
+            self.facts = scanned.where("segment IS NULL").drop("segment", "counts")
+            known = self.facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), (F.min("twin") != F.max("twin")).alias("several"))
             self.classes = materialize(known, "classes")
             if self.classes.where("several").isEmpty():
                 break
             self.seed += 1
+        sums = scanned.where("segment IS NOT NULL").select("segment", "counts").repartition(SEGMENTS, "segment")
+        bits = np.zeros(COUNTERS // 8, np.uint8)
+        for g, raw in sums.mapInArrow(_hot_bits, "segment int, bits binary").collect():  # 64 kB in all
+            part = np.frombuffer(raw, np.uint8)
+            bits[g * len(part) : (g + 1) * len(part)] = part
+        self.order = self.spark.sparkContext.broadcast(Order(bits, self.t.counted()))
 
     def entries(self) -> DataFrame:
         """The index: (shingle, node, n, pos) of the prefixes, without what one class has alone of the counted."""
-        counted = self.texts.select("text").mapInArrow(_counted(self.k, self.order, self.seed), "shingle bigint, node bigint")
-        shared = counted.repartition(self.parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle bigint, node bigint, classes int")
-        own = Window.partitionBy("node")
-        placed = shared.join(self.classes.select("node", "n", "counted"), "node")
-        nth, all_ = F.row_number().over(own.orderBy("classes", "shingle")), F.count(F.lit(1)).over(own)
-        placed = placed.select("shingle", "node", "n", (F.col("counted") - all_ + nth - 1).cast("int").alias("pos"))
+        rows = self.texts.select("text").mapInArrow(_index(self.k, self.t, self.order, self.seed), "shingle bigint, node bigint, place int")
+        spread = F.when(F.col("place") < 0, F.xxhash64("node", "shingle")).otherwise(F.col("shingle"))
+        rows = rows.repartition(self.parts, spread).sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle bigint, node bigint, place int, classes int")
+        own, counted = Window.partitionBy("node"), F.col("place") >= 0
+        rows = rows.join(self.classes.select("node", "n"), "node")
+        nth, all_ = F.row_number().over(own.orderBy((~counted).cast("int"), "classes", "shingle")), F.sum(counted.cast("int")).over(own)
+        pos = F.when(counted, F.col("place") - all_ + nth - 1).otherwise(-1 - F.col("place"))
         prefix = F.col("n") - F.ceil(F.lit(self.t.num) * F.col("n") / F.lit(self.t.den)) + 1
-        rest = self.facts.where(F.size("rest") > 0).select(F.posexplode("rest").alias("j", "shingle"), "node", "n", "counted")
-        rest = rest.select("shingle", "node", "n", (F.col("counted") + F.col("j")).cast("int").alias("pos")).distinct()
-        return materialize(placed.where(F.col("pos") < prefix).unionByName(rest), "prefix-entries")
+        return materialize(rows.select("shingle", "node", "n", pos.cast("int").alias("pos")).where(F.col("pos") < prefix).distinct(), "prefix-entries")
+
+    def sketches(self, nodes: DataFrame) -> DataFrame:
+        """(node, sketch) of the classes in a frame of nodes."""
+        return self.facts.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches allow it."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        known = materialize(self.sketches(ends), "pair-sketches")
+        for side in "ab":
+            pairs = salted_join(pairs, side, known.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")))
+        return materialize(pairs.mapInArrow(_close(self.t), PAIR), "close-pairs")
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(node, members) of the classes in the pairs, from one text of each."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = self.classes.join(nodes, "node", "left_semi").select(F.coalesce("least", F.lit(NULL_ID)).alias("id"))
+        asked = Bloom.of(self.classes.join(nodes, "node", "left_semi").select(F.coalesce("least", F.lit(NULL_ID)).alias("id")))
         texts = self.texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-        return Bloom.of(ids).filter(texts, "id").mapInArrow(_sets(self.k, self.seed), "node bigint, members array<bigint>")
+        return texts.mapInArrow(_sets(self.k, self.seed, self.spark.sparkContext.broadcast(asked)), "node bigint, members array<bigint>")
 
     def _reaches(self, n, i, m, j):
         """Whether entries (size, position) may belong to similar sets."""
         need = F.ceil(F.lit(self.t.num) * (n + m) / F.lit(self.t.num + self.t.den))
         return (F.lit(self.t.den) * F.least(n, m) >= F.lit(self.t.num) * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
 
-    def with_leader(self, entries: DataFrame, nth: int) -> DataFrame:
-        """The candidates of the lists that hold several components: each set with its list's leader, the first by hash."""
-        lead = F.struct(F.xxhash64(F.lit(nth), "node").alias("h"), *[F.col(c) for c in ("node", "n", "pos", "root")])
-        aggs = [("low", F.min("root"), F.min), ("high", F.max("root"), F.max), ("lead", F.min(lead), F.min)]
-        rows = salted_lookup(entries, ["shingle"], aggs).where("low != high AND root != lead.root")
+    def open_entries(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
+        """The entries of the lists that hold several components, with root, the list's most frequent one, and its size."""
+        entries = materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-entries")
+        parts = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+        lists = parts.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"))
+        lists = lists.where("kinds > 1").select("shingle", F.col("most.root").alias("most"), "size")
+        return materialize(salted_join(entries, "shingle", lists).where("size IS NOT NULL"), "open-entries")
+
+    def with_leader(self, rows: DataFrame, nth: int) -> DataFrame:
+        """Each set outside the most frequent component of a list with one of that component, the list's leader, chosen by hash."""
+        lead = F.struct((F.col("root") != F.col("most")).alias("other"), F.xxhash64(F.lit(nth), "node").alias("h"), *[F.col(c) for c in ("node", "n", "pos", "root")])
+        rows = salted_lookup(rows, ["shingle"], [("lead", F.min(lead), F.min)]).where("root != lead.root")
         rows = rows.where(self._reaches(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         return materialize(rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct(), "leader-pairs")
 
-    def between(self, entries: DataFrame) -> DataFrame:
+    def between(self, rows: DataFrame) -> DataFrame:
         """All candidates between components. Sets outside the most frequent component of a list are its probes; each
         pair has one. A list of over CHUNK entries is dealt out in chunks, and its probes go to each."""
-        parts = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
-        most = parts.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"))
-        rows = salted_join(entries, "shingle", most).where("kinds > 1")
+        rows = materialize(salted_join(rows, "node", self.sketches(rows)), "open-entries")
         chunks = F.ceil(F.col("size") / CHUNK)
-        same = ["node", "n", "pos", "root"]
-        base = rows.select(F.xxhash64("shingle", F.pmod(F.xxhash64("node"), chunks)).alias("deal"), *same, F.lit(False).alias("probe"))
-        probes = rows.where("root != most.root").select(F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "shingle", *same)
-        probes = probes.select(F.xxhash64("shingle", "chunk").alias("deal"), *same, F.lit(True).alias("probe"))
+        same = ["node", "n", "pos", "root", "sketch"]
+        base = rows.select(F.xxhash64("shingle", F.pmod(F.xxhash64("node"), chunks)).alias("deal"), *same, F.lit(False).alias("probe")).select(*ENTRY)
+        probes = rows.where("root != most").select(F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "shingle", *same)
+        probes = probes.select(F.xxhash64("shingle", "chunk").alias("deal"), *same, F.lit(True).alias("probe")).select(*ENTRY)
         dealt = base.unionByName(probes).repartition(self.parts, "deal").sortWithinPartitions("deal", "n", "pos", "node")
         found = dealt.mapInArrow(_outside(self.t), PAIR)
         # a pair of two probes comes from either side
@@ -530,28 +616,34 @@ class _Join:
         other = materialize(rows.where(~led_by_one).select(*cols), "other-pairs")
         return found if other.isEmpty() else found.unionByName(_verify(other, self.sets(other), self.t, self.parts))
 
-    def links(self, rounds: int) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) that connect the components, and (node, root)."""
+    def links(self, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) that connect the components, and (node, root).
+
+        Other leaders are asked each time, as long as one of USEFUL answers links (or ``rounds`` times); then all pairs
+        between components are looked at.
+        """
         entries, led = self.entries(), self.spark.createDataFrame([], VERIFIED)
-        roots = self.spark.createDataFrame([], "node bigint, root bigint")
-
-        def rooted():
-            return materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-entries")
-
-        for nth in range(rounds):
-            pairs = self.with_leader(rooted(), nth)
-            if pairs.isEmpty():
-                return led.where("linked").select("a", "b"), roots
-            led = led.unionByName(materialize(_verify(pairs, self.sets(pairs), self.t, self.parts, keep=True), "led"))
-            roots = components(led.where("linked").select("a", "b"))
-        pairs = self.between(rooted())
-        links = led.where("linked").select("a", "b")
+        roots, links, nth, useful = self.spark.createDataFrame([], "node bigint, root bigint"), led.select("a", "b"), 0, True
+        while True:
+            rows = self.open_entries(entries, roots)
+            if rows.isEmpty():
+                return links, roots
+            if nth == rounds or (rounds is None and not useful):
+                break
+            pairs, useful, nth = self.close(self.with_leader(rows, nth)), False, nth + 1
+            if not pairs.isEmpty():
+                found = materialize(_verify(pairs, self.sets(pairs), self.t, self.parts, keep=True), "led")
+                asked, linked = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+                useful, led = linked * USEFUL >= asked, led.unionByName(found)
+                links = led.where("linked").select("a", "b")
+                roots = components(links)
+        pairs = self.between(rows)
         if not pairs.isEmpty():
             links = links.unionByName(materialize(self.derived(pairs, led).where("linked").select("a", "b"), "links"))
             roots = components(links)
         return links, roots
 
-    def components(self, rounds: int) -> DataFrame:
+    def components(self, rounds: int | None) -> DataFrame:
         """doc_id, n, node, mark, root, component_id of every row."""
         _, roots = self.links(rounds)
         classes = self.classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -560,7 +652,7 @@ class _Join:
         return salted_join(self.facts.select("doc_id", "n", "node", "mark"), "node", classes)
 
 
-def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
+def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, rounds: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.
 
     A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
@@ -581,7 +673,7 @@ def similar_pairs(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFram
     Texts with equal sets are one: join_sets tells which they are.
     """
     j = _Join(docs, k, num, den)
-    pairs = j.between(j.entries().withColumn("root", F.col("node")))
+    pairs = j.between(j.open_entries(j.entries(), j.spark.createDataFrame([], "node bigint, root bigint")))
     found = _verify(pairs, j.sets(pairs), j.t, j.parts).where("linked")
     ids = j.classes.select("node", "least")
     for side, name in (("a", "left"), ("b", "right")):
@@ -597,7 +689,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     their texts. Texts without words all stay; a row that repeats both stays once.
     """
     mark = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    told, rows = docs.withColumn("_text", mark), _Join(docs, k, num, den, mark).components(ROUNDS)
+    told, rows = docs.withColumn("_text", mark), _Join(docs, k, num, den, mark).components(None)
     least = rows.where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("n") == 0, F.col("mark")).alias("alone")
     kept = least.groupBy("root", F.col("doc_id").alias("_kept_id"), alone).agg(F.min("mark").alias("_kept_text")).select("_kept_id", "_kept_text").distinct()

@@ -18,7 +18,16 @@ _local_base: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of texts that go to a Python worker at once (rows where a row has more).
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; also bounds the session's Arrow batches by bytes, unless they are bounded more tightly."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -129,12 +138,16 @@ INVERSE = pow(BASE, -1, 2**64)
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
+KEPT_POWERS = 1 << 22
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64; grown by doubling and kept."""
+    """base ** 0..n-1 modulo 2**64; grown by doubling, and kept up to KEPT_POWERS."""
     p = _powers[base]
     while len(p) < n:
         p = np.concatenate([p, p * np.uint64(pow(base, len(p), 2**64))])
-    _powers[base] = p
+    if len(p) <= KEPT_POWERS:
+        _powers[base] = p
     return p[:n]
 
 
