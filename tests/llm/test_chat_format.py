@@ -24,3 +24,10 @@ def test_null_is_not_the_empty_text(spark):
     rows = [(1, 0, "user", None), (2, 0, "user", ""), (2, 1, "user", "go")]
     got = {r["conv_id"] for r in format_chats(spark.createDataFrame([(*r, 1, True) for r in rows], SCHEMA)).collect()}
     assert got == {1, 2}
+
+
+def test_lines_of_one_turn_and_rows_without_a_conversation(spark):
+    rows = [(10, 0, "user", "b"), (10, 0, "user", "a"), (11, 0, "user", "a"), (11, 0, "user", "b"), (11, 1, "user", "c"), (12, 0, "user", "b"), (12, 1, "user", "c")]
+    rows += [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 3, "user", "x"), (None, 1, "user", "y"), (13, 0, "user", "y"), (13, 1, "user", "z"), (14, None, "user", "t")]
+    got = sorted(((r["conv_id"], r["n_turns"], r["n_copies"], r["rendered"].count("<|im_start|>")) for r in format_chats(spark.createDataFrame([(*r, 1, True) for r in rows], SCHEMA)).collect()), key=str)
+    assert got == [(11, 3, 1, 3), (12, 2, 1, 2), (13, 2, 1, 2), (14, 1, 1, 1), (None, 1, 2, 1)]  # the two x are copies, y begins 13
