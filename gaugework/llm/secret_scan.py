@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, materialize
 from .trigram_query import Query, derive, trigrams
 
 
@@ -39,28 +39,25 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
 )
-SPAN = "array<struct<start:bigint,ord:int,stop:bigint,kind:string>>"
+#: Up to so many candidates are sent to all executors, some 40 bytes each; more of them meet their texts in a shuffle.
+SENT = 500_000
 
 
-def spans_of(text, rule: Rule, order: int):
-    """A rule's spans in a text: the lengths of what lies between matches and of the matches, summed up."""
+def _matches(text, rule: Rule, order: int):
+    """A rule's matches in a text: (ord, pos, gap before it, size, size of the group), in code points."""
     rx = F.lit(rule.pattern)
     found = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
         F.transform(F.regexp_extract_all(text, rx, F.lit(0)), lambda x: F.length(x)).alias("size"),
         F.transform(F.regexp_extract_all(text, rx, F.lit(rule.group)), lambda x: F.length(x)).alias("value"),
+        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    found = F.filter(found, lambda x: x["size"].isNotNull())  # a gap more than matches
+    found = F.transform(found, lambda x, i: F.struct(F.lit(order).alias("ord"), i.alias("pos"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
+    return F.when(F.rlike(text, rx), found).otherwise(F.array().cast(MATCH))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        stop = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        out = F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(F.coalesce(stop, begin).alias("at"), out.alias("out"))
 
-    spans = F.aggregate(found, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, rx), spans).otherwise(F.array().cast(SPAN))
+MATCH = "array<struct<ord:int,pos:int,gap:int,size:int,value:int>>"
+SPAN = "array<struct<start:bigint,ord:int,stop:bigint,kind:string>>"
 
 
 def _admits(query: Query, present):
@@ -102,18 +99,24 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     lists = postings(texts, wanted).groupBy("doc_id", "mark").agg(F.collect_set("trigram").alias("present"))
     flags = lists.select("doc_id", "mark", *[_admits(queries[r.kind], F.col("present")).alias(f"may_{r.kind}") for r in indexed])
-    some = " OR ".join(f"may_{r.kind}" for r in indexed)
-    left, right = texts.alias("a"), flags.where(some).alias("b").hint("shuffle_hash")
+    flags = materialize(flags.where(" OR ".join(f"may_{r.kind}" for r in indexed)), "secret-candidates")
+    flags = flags.hint("broadcast" if flags.count() <= SENT else "shuffle_hash")
+    left, right = texts.alias("a"), flags.alias("b")
     same = (F.col("a.mark") == F.col("b.mark")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    candidates = left.join(right, same)
-    none = F.array().cast(SPAN)
-    verified = candidates.select(
-        "a.doc_id", "a.mark",
-        F.flatten(F.array(*[F.when(F.col(f"b.may_{r.kind}"), spans_of(F.col("a.text"), r, rules.index(r))).otherwise(none) for r in indexed])).alias("spans"),
-    ).where(F.size("spans") > 0).dropDuplicates(["doc_id", "mark"])
-    scanned = texts.select("doc_id", "mark", F.flatten(F.array(none, *[spans_of(F.col("text"), r, rules.index(r)) for r in full])).alias("spans"))
-    left, right = scanned.alias("a"), verified.alias("b")
-    both = left.join(right, same, "left").select("a.doc_id", F.array_sort(F.concat("a.spans", F.coalesce("b.spans", none))).alias("spans"))
+    none = F.array().cast(MATCH)
+    verified = left.join(right, same).select(
+        "a.doc_id", "a.mark", F.flatten(F.array(*[F.when(F.col(f"b.may_{r.kind}"), _matches(F.col("a.text"), r, rules.index(r))).otherwise(none) for r in indexed])).alias("found")
+    )
+    scanned = texts.select("doc_id", "mark", F.flatten(F.array(none, *[_matches(F.col("text"), r, rules.index(r)) for r in full])).alias("found"))
+    # a match starts behind the gaps and matches before it: sums along the matches of a text and rule
+    rows = verified.unionByName(scanned).where(F.size("found") > 0).select("doc_id", "mark", F.explode("found").alias("m")).select("doc_id", "mark", "m.*")
+    rows = rows.dropDuplicates(["doc_id", "mark", "ord", "pos"])  # rows that repeat a text
+    start = F.sum((F.col("gap") + F.col("size")).cast("bigint")).over(Window.partitionBy("doc_id", "mark", "ord").orderBy("pos")) - F.col("size")
+    rows = rows.withColumn("start", start)
+    least, kind = (F.array(*[F.lit(v) for v in values])[F.col("ord")] for values in ([r.least for r in rules], [r.kind for r in rules]))
+    rows = rows.where(F.col("value") >= least).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "ord", (F.col("start") + F.col("size")).alias("stop"), kind.alias("kind"))).alias("spans"))
+    left, right = texts.select("doc_id", "mark").alias("a"), rows.alias("b")
+    both = left.join(right, same, "left").select("a.doc_id", F.array_sort(F.coalesce("b.spans", F.array().cast(SPAN))).alias("spans"))
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

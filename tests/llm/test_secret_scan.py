@@ -1,5 +1,7 @@
 import random
+import time
 
+from gaugework.llm import secret_scan
 from gaugework.llm.secret_scan import RULES, scan_secrets
 from gaugework.llm.trigram_query import derive, holds
 
@@ -39,4 +41,15 @@ def test_queries_admit_all_matches():
                 low = "".join(c.lower() if c.isascii() else c for c in text)
                 assert holds(query, {low[i : i + 3] for i in range(len(low) - 2)})
     assert derive("[0-9a-f]{24,}") == []
-    assert derive("api_?key") == [[frozenset({"api", "pik", "ike", "key"}), frozenset({"api", "pi_", "i_k", "_ke", "key"})]] or len(derive("api_?key")[0]) == 2
+    assert {frozenset(w) for w in derive("api_?key")[0]} == {frozenset({"api", "pik", "ike", "key"}), frozenset({"api", "pi_", "i_k", "_ke", "key"})}
+
+
+def test_many_matches_in_one_text_and_many_candidates(spark, monkeypatch):
+    text = "é" + ("deadbeef" * 3 + " ") * 32_000
+    df = spark.createDataFrame([(1, text, "m", 1), (2, "password=abcdef12", "m", 1), (2, "password=abcdef12", "m", 1)], SCHEMA)
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in scan_secrets(df).collect()}
+    assert time.monotonic() - began < 30
+    assert got[1]["n_hex"] == 32_000 and got[1]["spans"].endswith(f"hex:{len(text) - 25}:{len(text) - 1}")
+    monkeypatch.setattr(secret_scan, "SENT", 0)  # more candidates than are sent to all executors
+    assert sorted(map(str, scan_secrets(df).collect())) == sorted([str(got[1]), str(got[2]), str(got[2])])
