@@ -5,7 +5,9 @@ routed so that equal ones meet: each is assigned the least of its k-gram hashes
 strings with one anchor form a stretch, and stretches are dealt out by anchor.
 
 1. Equal stretches collapse: the first stays, the others are repeats as a whole, within each task before
-   anything is shuffled. An anchor with one stretch left holds no repeat.
+   anything is shuffled, where repeats that follow each other become one run. Stretches of at most 1.5 ``width`` bytes
+   count as equal when the 64-bit hashes of their anchors and of their bytes are. An anchor with one stretch left holds
+   no repeat.
 2. Where an anchor has several different stretches, their bytes are fetched, and each shard of them gets
    a suffix array (Larsson-Sadakane refinement) with common prefixes (Kasai): strings that share ``width``
    bytes are neighbours there. An anchor with more bytes than a shard spreads over several, which are merged
@@ -92,20 +94,33 @@ def _repeats(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray):
     return order, new, (d != d[first]) | (s != s[first])
 
 
-STRETCH = "deal bigint, anchor bigint, content bigint, doc bigint, mark bigint, start bigint, strings int, repeat boolean"
+#: strings below 0: that many repeat, whatever the anchor
+STRETCH = "anchor bigint, content bigint, doc bigint, mark bigint, start bigint, strings int"
+
+
+def _runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, strings: np.ndarray):
+    """Stretches that follow each other without a gap, as one."""
+    order = np.lexsort((start, mark, doc))
+    doc, mark, start, strings = doc[order], mark[order], start[order], strings[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + strings[:-1])
+    head = np.flatnonzero(new)
+    return doc[head], mark[head], start[head], np.add.reduceat(strings, head) if len(head) else strings
 
 
 def _find(width: int):
-    """Texts to stretches; equal ones of a task are collapsed to the first, and the others marked as repeats."""
+    """Texts to stretches; equal ones of a task are collapsed to the first, and the others, as runs, marked as repeats."""
 
     def flush(parts):
         anchor, content, doc, mark, start, strings = (np.concatenate(x) for x in zip(*parts))
         order, _, repeat = _repeats([anchor, content], doc, start)
-        deal = np.where(repeat, (doc[order] * 0x9E3779B1 + start[order]), anchor[order])
-        cols = [deal, *(x[order] for x in (anchor, content, doc, mark, start)), strings[order].astype(np.int32), repeat]
-        names = ["deal", "anchor", "content", "doc", "mark", "start", "strings", "repeat"]
-        for i in range(0, len(order), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names)
+        rest, gone = order[~repeat], order[repeat]
+        runs = _runs(doc[gone], mark[gone], start[gone], strings[gone])
+        none = np.zeros(len(runs[0]), np.int64)
+        for cols in ([x[rest] for x in (anchor, content, doc, mark, start, strings)], [none, none, *runs[:3], -runs[3]]):
+            cols[5] = cols[5].astype(np.int32)
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], ["anchor", "content", "doc", "mark", "start", "strings"])
 
     def run(batches):
         parts, rows = [], 0
@@ -139,10 +154,10 @@ def _sort_out(hot: int):
         held: list[np.ndarray] | None = None  # rows of the last anchor seen, which may go on
         hot_anchor, prior = None, None  # the anchor known to be hot; (content, doc, start) of the first of its last content
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "content", "doc", "mark", "start", "strings", "repeat")]
-            gone = cols.pop()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "content", "doc", "mark", "start", "strings")]
+            gone = cols[5] < 0
             if gone.any():
-                yield out([cols[i][gone] for i in (0, 2, 3, 4, 5)], np.ones(gone.sum()))
+                yield out([*(cols[i][gone] for i in (0, 2, 3, 4)), -cols[5][gone]], np.ones(gone.sum()))
                 cols = [c[~gone] for c in cols]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
@@ -181,6 +196,7 @@ def _sort_out(hot: int):
         kind = np.where(repeat, 1, np.where(is_hot[group], 3, np.where(contents[group] > 1, 2, 0)))
         keep = kind > 0
         tail = (anchor[-1], (content[-1], d[-1], s[-1])) if open_end else (None, None)
+        anchor = np.where(kind == 1, 0, anchor)
         return out([c[keep] for c in (anchor, doc, mark, start, strings)], kind[keep]), *tail
 
     return run
@@ -313,13 +329,14 @@ def _compare(width: int, shard: int):
 def repeated(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Texts (doc, mark, text) and the repeats in them (doc, mark, start, strings): strings in a row that start earlier elsewhere.
 
-    mark is a hash of the text, which tells rows apart that repeat a doc_id.
+    mark tells rows apart that repeat a doc_id (_mark).
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(_doc().alias("doc"), _mark(docs).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.mapInArrow(_find(width), STRETCH)
-    dealt = found.repartition(parts, "deal").sortWithinPartitions("anchor", "content", "doc", "start")
+    place = F.when(F.col("strings") < 0, F.xxhash64("doc", "start")).otherwise(F.col("anchor"))
+    dealt = found.repartition(parts, place).sortWithinPartitions("anchor", "content", "doc", "start")
     kinds = materialize(dealt.mapInArrow(_sort_out(hot), "anchor bigint, doc bigint, mark bigint, start bigint, strings int, kind int"), "stretches")
     asked = kinds.where("kind > 1").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "strings", "kind")).alias("asked"))
     some = Bloom.of(kinds.where("kind > 1").select(_text_key().alias("k")).distinct()).filter(texts.withColumn("k", _text_key()), "k").drop("k")
@@ -330,6 +347,16 @@ def repeated(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, hot: int =
     return texts, materialize(whole.unionByName(compared), "repeats")
 
 
+def _doc():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def _mark(docs: DataFrame):
+    """A hash of the text, or nothing where no doc_id repeats: it goes with every stretch."""
+    again = docs.groupBy(_doc().alias("doc")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return F.lit(0).cast("bigint") if again.isEmpty() else F.xxhash64("text")
+
+
 def _text_key():
     return F.xxhash64("doc", "mark")
 
@@ -381,8 +408,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, hot:
 
     schema = "doc bigint, mark bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>"
     cuts = changed.dropDuplicates(["doc", "mark"]).join(lists.hint("shuffle_hash"), ["doc", "mark"]).mapInArrow(cut, schema)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"))
-    rows = rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _mark(docs).alias("mark"))
+    rows = rows.select("doc_id", _doc().alias("doc"), "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return rows.join(cuts, ["doc", "mark"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),

@@ -80,3 +80,15 @@ def test_long_texts_come_in_pieces(monkeypatch):
             seen += [(first + t, begin + s - at[first + t] + i) for i in range(n)]
     want = [(t, i) for t in range(3) for i in range(int(at[t + 1] - at[t]) - 99)]
     assert sorted((int(a), int(b)) for a, b in seen) == want
+
+
+def test_runs_of_one_byte_are_few_rows(spark):
+    """Neighbouring repeats are one row, not one a position."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array([1, 2]), "mark": pa.array([0, 0]), "text": pa.array(["a" * 300_000, "ab" * 100_000])})
+    found = list(S._find(100)([batch]))
+    strings = np.concatenate([b.column("strings").to_numpy() for b in found])
+    assert np.abs(strings).sum() == 300_000 - 99 + 200_000 - 99 and len(strings) < 1000
+    df = spark.createDataFrame([(1, "a" * 300_000, "m", 1)], SCHEMA)
+    assert S.remove_repeats(df).first()["n_removed"] == 299_999
