@@ -94,11 +94,56 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, parts)
 
 
-_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""")
+_OPEN, _HTML = re.compile(r"(?i)<(script|style)\b"), re.compile(r"(?i)<html\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]+)""")
+_ENTITY = re.compile(r"&\w+;")
 _HOST = re.compile(r"://([^/?#]*)")
 
 
+def visible(html: str) -> str:
+    """The text of a page: without tags, comments, scripts, styles and named entities. What is never closed is not
+    looked for again, so the time is linear in the page."""
+    out, at, missing = [], 0, set()
+    while (tag := html.find("<", at)) >= 0:
+        out.append(html[at:tag])
+        end = -1
+        if html.startswith("<!--", tag) and "--" not in missing:
+            end = html.find("-->", tag + 4) + 3
+            if end == 2:
+                missing.add("--")
+        elif (opened := _OPEN.match(html, tag)) and (name := opened[1].lower()) not in missing:
+            closed = _CLOSE[name].search(html, opened.end())
+            end = closed.end() if closed else -1
+            if not closed:
+                missing.add(name)
+        if end < 3:
+            end = html.find(">", tag) + 1
+        if not end:  # no tag ends any more
+            at = tag
+            break
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(" ", " ".join(out))
+
+
+def declared_language(html: str) -> str:
+    """The lang attribute of the first html tag, lower-cased, without a region; empty without one."""
+    tag = _HTML.search(html)
+    if not tag:
+        return ""
+    end = html.find(">", tag.end())
+    said = _DECLARED.search(html, tag.end(), end if end >= 0 else len(html))
+    return said[1].lower() if said else ""
+
+
+def host_of(url: str) -> str:
+    """The host of a url, lower-cased, without user and port; empty without ://."""
+    found = _HOST.search(url)
+    host = found[1].rpartition("@")[2].lower() if found else ""
+    return host if host.startswith("[") else host.partition(":")[0]
+
+
 def evidence(pages: DataFrame, model: Model) -> DataFrame:
     """row (a number of its own), page_id, host, domain, suffix, declared, logs (of the text, by language)."""
     names = pages.sparkSession.sparkContext.broadcast(frozenset(model.languages))
@@ -108,16 +153,14 @@ def evidence(pages: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             hosts, domains, suffixes, declared, texts = [], [], [], [], []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                found = _HOST.search(url or "")
-                host = found[1].lower() if found else ""
+                host = host_of(url or "")
                 labels = host.split(".")
                 hosts.append(host)
                 domains.append(".".join(labels[-2:]))
                 suffixes.append(labels[-1])
-                said = _DECLARED.search(html or "")
-                said = said[1].lower() if said else ""
+                said = declared_language(html or "")
                 declared.append(said if said in names.value else ("other" if said else "none"))
-                texts.append(_DROP.sub(" ", html or "").encode())
+                texts.append(visible(html or "").encode())
             logs = [[] for _ in texts]
             for part in parts:
                 own = part.value
