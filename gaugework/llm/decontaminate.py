@@ -13,19 +13,21 @@ indexed in parts of at most PART bytes, so what is sent to the executors at once
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, blocks, utf8
+from .shared import Rolling, blocks, materialize, salted_join, utf8
 
 RATE, MOST_Q = 0.1, 8
 BLOCK, PART = 1 << 19, 16 << 20
 #: Bands times items that are counted in an array; more are counted by sorting. Alignments made at once.
-CELLS, BATCH = 1 << 24, 256
+CELLS, BATCH = 1 << 22, 256
+#: Shared q-grams whose bands are counted at once.
+ENTRIES = 1 << 21
 BITS = 22
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -63,7 +65,11 @@ class Index:
     def bands(self, data: np.ndarray):
         """(item, band) of the bands of data that hold enough q-grams; band b begins at diagonal b * step."""
         hashes = Rolling(data)
-        items, diagonals = [], []
+        most = int(self.sizes.max(initial=0)) // self.step + 2  # diagonals may be negative
+        width = len(data) // self.step + most + 3
+        few = width * len(self.ids) <= CELLS
+        counts = np.zeros(width * len(self.ids) if few else 0, np.int64)
+        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for q, bits, known, first, owner, place in self.grams:
             if len(data) < q:
                 continue
@@ -75,25 +81,28 @@ class Index:
             ok = known[where] == h[at]
             at, where = at[ok], where[ok]
             count = first[where + 1] - first[where]
-            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[where], count)
-            items.append(owner[entry])
-            diagonals.append(np.repeat(at, count) - place[entry])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        item, diagonal = np.concatenate(items).astype(np.int64), np.concatenate(diagonals)
-        most = int(self.sizes.max()) // self.step + 2  # diagonals may be negative
-        band = diagonal // self.step
-        # a band holds step + e diagonals: those of the next band's first e are in it as well
-        again = (diagonal - band * self.step) < self.edits[item]
-        width = len(data) // self.step + most + 3
-        key = np.concatenate([item * width + band + most, (item * width + band + most - 1)[again]])
-        if width * len(self.ids) <= CELLS:
-            counts = np.bincount(key, minlength=width * len(self.ids)).reshape(len(self.ids), width)
-            found, band = np.nonzero(counts >= np.maximum(1, self.need)[:, None])
+            ends, i = np.cumsum(count), 0
+            while i < len(at):  # a q-gram that repeats in both gives very many entries: so many at once as ENTRIES
+                j = i + max(1, int(np.searchsorted(ends[i:] - (ends[i - 1] if i else 0), ENTRIES, "right")))
+                c = count[i:j]
+                entry = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[where[i:j]], c)
+                item, diagonal = owner[entry].astype(np.int64), np.repeat(at[i:j], c) - place[entry]
+                band = diagonal // self.step
+                # a band holds step + e diagonals: those of the next band's first e are in it as well
+                again = (diagonal - band * self.step) < self.edits[item]
+                key = np.concatenate([item * width + band + most, (item * width + band + most - 1)[again]])
+                if few:
+                    counts += np.bincount(key, minlength=len(counts))
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                    keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                    times = np.bincount(back, np.concatenate([times, n]), len(keys)).astype(np.int64)
+                i = j
+        if few:
+            found, band = np.nonzero(counts.reshape(len(self.ids), width) >= np.maximum(1, self.need)[:, None])
         else:
-            key, counts = np.unique(key, return_counts=True)
-            found, band = key // width, key % width
-            ok = counts >= np.maximum(1, self.need)[found]
+            found, band = keys // width, keys % width
+            ok = times >= np.maximum(1, self.need)[found]
             found, band = found[ok], band[ok]
         return found, band - most
 
@@ -188,32 +197,58 @@ def _parts(benchmark: DataFrame, rate: float):
         yield Index(sorted(((r[0], r[1]) for r in dealt.where(F.col("part") == p).select("item_id", "text").collect()), key=lambda x: (x[0] is not None, x)), rate)
 
 
+def _hits(docs: DataFrame, index: Index, columns: str) -> DataFrame:
+    """Rows (columns, then leaks) of the texts in which an item of the index is found; docs: columns, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            found = defaultdict(list)
+            for text, item, start, end, edits in _found(shared.value, data, at):
+                found[text].append((shared.value.ids[item], start, end, edits))
+            rows = sorted(found)
+            hit = batch.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
+            yield hit.append_column("leaks", pa.array([_merged(found[i]) for i in rows], _LEAK))
+
+    return docs.mapInArrow(run, f"{columns}, leaks {KIND}")
+
+
+KIND = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:bigint>>"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """docs with a column leaks: the (item_id, start, end, edits) of every benchmark item found, in bytes of the text.
 
     Null and empty texts and items match nothing; without items leaks is empty. Rows that repeat are answered
-    alike. docs must not have a column leaks.
+    alike. docs must not have a column leaks. A benchmark of several parts is searched for part by part: each part's
+    hits are written before the next is sent out, and told by a hash of the text, so they are few rows to join.
     """
-    spark = docs.sparkSession
-    kind = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:bigint>>"
-    rows = docs.withColumn("leaks", F.array().cast(kind))
-    for index in _parts(benchmark, rate):
-        shared = spark.sparkContext.broadcast(index)
+    parts = _parts(benchmark, rate)
+    first, second = next(parts, None), next(parts, None)
+    none = F.array().cast(KIND)
+    if first is None:
+        return docs.withColumn("leaks", none)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
 
-        def run(batches, shared=shared):
+        def run(batches):
             for batch in batches:
                 data, at = utf8(batch.column("text"))
                 found = defaultdict(list)
                 for text, item, start, end, edits in _found(shared.value, data, at):
                     found[text].append((shared.value.ids[item], start, end, edits))
-                place = batch.schema.get_field_index("leaks")
-                before = batch.column(place)
-                lists = before.to_pylist() if pa.compute.max(pa.compute.list_value_length(before)).as_py() else [[]] * len(before)
-                leaks = pa.array([old + _merged(found[i]) if i in found else old for i, old in enumerate(lists)], _LEAK)
-                yield batch.set_column(place, "leaks", leaks)
-
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows
+                yield batch.append_column("leaks", pa.array([_merged(found[i]) if i in found else [] for i in range(batch.num_rows)], _LEAK))
+
+        return docs.mapInArrow(run, docs.withColumn("leaks", none).schema)
+    mark = F.sha2("text", 256)
+    texts, hits = docs.select(mark.alias("_mark"), "text"), None
+    for index in chain((first, second), parts):
+        part = materialize(_hits(texts, index, "_mark string").dropDuplicates(["_mark"]), "leaks")
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.groupBy("_mark").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    joined = salted_join(docs.withColumn("_mark", mark), "_mark", hits).drop("_mark")
+    return joined.withColumn("leaks", F.coalesce("leaks", none))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

@@ -90,6 +90,33 @@ def test_pieces_overlap(monkeypatch):
         assert found == {(at, at + 41)}, at
 
 
+def test_q_grams_that_repeat_are_counted_in_parts(monkeypatch):
+    import numpy as np
+
+    item, text = "a" * 200, "b" * 50 + "a" * 5000 + "b" * 50 + "unique words of a benchmark" + "c" * 40
+    index = D.Index([(1, item), (2, "unique words of a benchmark")], 0.1)
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = [x.tolist() for x in index.bands(data)]
+    assert {0, 1} <= set(want[0])
+    monkeypatch.setattr(D, "ENTRIES", 1000)
+    assert [x.tolist() for x in index.bands(data)] == want
+    monkeypatch.setattr(D, "CELLS", 1)
+    assert [x.tolist() for x in index.bands(data)] == want
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    began = time.monotonic()
+    for bad in ("<script", "<style ", "<!--", "<html lang", "<", "&a"):
+        language_id.visible(bad * 100_000)
+        language_id.declared_language(bad * 100_000)
+    assert time.monotonic() - began < 5
+    assert language_id.visible("a<script>x</script >b<!-- c -->d<p q>e&amp;f<STYLE>y</style>g<!-- h<i>j < k").split() == ["a", "b", "d", "e", "f", "g", "j", "<", "k"]
+    assert language_id.declared_language("<p><HTML dir=x LANG='De-at'><html lang=en>") == "de" and language_id.declared_language("<html><p lang=en>") == ""
+    assert [language_id.host_of(u) for u in ("http://U:p@X.de:8080/a", "x", "a://[::1]:80", "https://b.org?c")] == ["x.de", "", "[::1]:80", "b.org"]
+
+
 def test_sentencepiece_round_trip_and_optimum(spark):
     from gaugework.llm.sentencepiece_codec import FALLBACK, SPACE, Codec, Viterbi, decode, encode, read_pieces
 
