@@ -10,7 +10,7 @@ Index-level skipping: the entries of a list stand by set size and then by positi
 an entry's position and size follows the last position of a block that can still reach the threshold, and the rest of
 the block is skipped.
 
-Answer-level skipping: of each list, every set is first compared with a leader. Similar sets join its component,
+Answer-level skipping: of each list, every set is first compared with a few leaders. Similar sets join its component,
 and their differences from the leader are kept. What a leader has answered for two sets is then derived for the pair:
 their distances from it bound the distance between them from both sides, and where the bounds leave it open,
 the symmetric difference of the two short differences is that of the sets, so the sets are not fetched again.
@@ -35,8 +35,8 @@ COUNTERS, SEGMENTS, WELL, TIMES = 1 << 19, 16, 64, 8
 COUNTED, MANY = 2.5, 4096
 #: Entries of a list that are compared in one place, members of sets that are verified in one place, pairs held at once.
 CHUNK, LOAD, PAIRS = 4096, 1 << 20, 1 << 20
-#: A difference from a leader is kept if it has at most this share of both sets; leaders are asked while one of USEFUL answers links.
-KEPT, USEFUL = 0.25, 8
+#: Rounds with leaders, leaders of a list in each; a difference from one is kept if it has at most the share KEPT of both sets.
+ROUNDS, LEADERS, KEPT = 2, 4, 0.25
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: Words longer than this are hashed on their own: a polynomial modulo 2**64 has known collisions from 1024 bytes on.
@@ -571,11 +571,13 @@ class _Join:
         lists = lists.where("kinds > 1").select("shingle", F.col("most.root").alias("most"), "size")
         return materialize(salted_join(entries, "shingle", lists).where("size IS NOT NULL"), "open-entries")
 
-    def with_leader(self, rows: DataFrame, nth: int) -> DataFrame:
-        """Each set outside the most frequent component of a list with one of that component, the list's leader, chosen by hash."""
-        lead = F.struct((F.col("root") != F.col("most")).alias("other"), F.xxhash64(F.lit(nth), "node").alias("h"), *[F.col(c) for c in ("node", "n", "pos", "root")])
-        rows = salted_lookup(rows, ["shingle"], [("lead", F.min(lead), F.min)]).where("root != lead.root")
-        rows = rows.where(self._reaches(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    def with_leaders(self, rows: DataFrame, nth: int) -> DataFrame:
+        """Each set outside the most frequent component of a list with LEADERS of that component, chosen by hash."""
+        own = [F.col(c) for c in ("node", "n", "pos", "root")]
+        leads = [F.struct((F.col("root") != F.col("most")).alias("other"), F.xxhash64(F.lit(nth * LEADERS + i), "node").alias("h"), *own) for i in range(LEADERS)]
+        rows = salted_lookup(rows, ["shingle"], [(f"lead{i}", F.min(lead), F.min) for i, lead in enumerate(leads)])
+        rows = rows.select(*[c for c in rows.columns if not c.startswith("lead")], F.explode(F.array(*[f"lead{i}" for i in range(LEADERS)])).alias("lead"))
+        rows = rows.where("root != lead.root").where(self._reaches(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         return materialize(rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct(), "leader-pairs")
 
     def between(self, rows: DataFrame) -> DataFrame:
@@ -616,43 +618,43 @@ class _Join:
         other = materialize(rows.where(~led_by_one).select(*cols), "other-pairs")
         return found if other.isEmpty() else found.unionByName(_verify(other, self.sets(other), self.t, self.parts))
 
-    def links(self, rounds: int | None) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) that connect the components, and (node, root).
-
-        Other leaders are asked each time, as long as one of USEFUL answers links (or ``rounds`` times); then all pairs
-        between components are looked at.
-        """
+    def joined(self, roots: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, root) after more links (a, b): only the components that they touch are looked at."""
+        for side in "ab":
+            links = salted_join(links, side, roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")))
+        links = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        new = materialize(components(links), "component-roots")
+        old = salted_join(roots, "root", new.select(F.col("node").alias("root"), F.col("root").alias("now"))).select("node", F.coalesce("now", "root").alias("root"))
+        return materialize(old.unionByName(new).distinct(), "roots")
+
+    def roots(self, rounds: int) -> DataFrame:
+        """(node, root) of the sets that links reach. After ``rounds`` with leaders all pairs that are left between components are looked at."""
         entries, led = self.entries(), self.spark.createDataFrame([], VERIFIED)
-        roots, links, nth, useful = self.spark.createDataFrame([], "node bigint, root bigint"), led.select("a", "b"), 0, True
-        while True:
+        roots = self.spark.createDataFrame([], "node bigint, root bigint")
+        for nth in range(rounds + 1):
             rows = self.open_entries(entries, roots)
             if rows.isEmpty():
-                return links, roots
-            if nth == rounds or (rounds is None and not useful):
                 break
-            pairs, useful, nth = self.close(self.with_leader(rows, nth)), False, nth + 1
-            if not pairs.isEmpty():
+            pairs = self.close(self.with_leaders(rows, nth)) if nth < rounds else self.between(rows)
+            if pairs.isEmpty():
+                continue
+            if nth < rounds:
                 found = materialize(_verify(pairs, self.sets(pairs), self.t, self.parts, keep=True), "led")
-                asked, linked = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-                useful, led = linked * USEFUL >= asked, led.unionByName(found)
-                links = led.where("linked").select("a", "b")
-                roots = components(links)
-        pairs = self.between(rows)
-        if not pairs.isEmpty():
-            links = links.unionByName(materialize(self.derived(pairs, led).where("linked").select("a", "b"), "links"))
-            roots = components(links)
-        return links, roots
-
-    def components(self, rounds: int | None) -> DataFrame:
+                led = led.unionByName(found)
+            else:
+                found = self.derived(pairs, led)
+            roots = self.joined(roots, materialize(found.where("linked").select("a", "b"), "links"))
+        return roots
+
+    def components(self, rounds: int) -> DataFrame:
         """doc_id, n, node, mark, root, component_id of every row."""
-        _, roots = self.links(rounds)
-        classes = self.classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classes = self.classes.select("node", "least").join(self.roots(rounds), "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
         classes = materialize(salted_join(classes, "root", least).select("node", "root", "component_id"), "components")
         return salted_join(self.facts.select("doc_id", "n", "node", "mark"), "node", classes)
 
 
-def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, rounds: int | None = None) -> DataFrame:
+def join_sets(docs: DataFrame, k: int, num: int, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.
 
     A text's words are runs of characters other than white space (ASCII), A-Z lower-cased; its set has its
@@ -689,7 +691,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     their texts. Texts without words all stay; a row that repeats both stays once.
     """
     mark = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    told, rows = docs.withColumn("_text", mark), _Join(docs, k, num, den, mark).components(None)
+    told, rows = docs.withColumn("_text", mark), _Join(docs, k, num, den, mark).components(ROUNDS)
     least = rows.where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("n") == 0, F.col("mark")).alias("alone")
     kept = least.groupBy("root", F.col("doc_id").alias("_kept_id"), alone).agg(F.min("mark").alias("_kept_text")).select("_kept_id", "_kept_text").distinct()

@@ -24,7 +24,7 @@ def rows():
     return out + [(2, None), (1, ""), (3, "  \n"), (9001, "one two"), (9000, "One  two"), (9003, "one"), (9004, "É one"), (9005, "é one"), (9006, "a " * 20000)]
 
 
-@pytest.mark.parametrize(("k", "num", "rounds", "chunk"), [(3, 90, None, 4096), (5, 80, None, 3), (3, 80, 0, 5), (3, 40, 1, 4096)])
+@pytest.mark.parametrize(("k", "num", "rounds", "chunk"), [(3, 90, 2, 4096), (5, 80, 2, 3), (3, 80, 0, 5), (3, 40, 1, 4096)])
 def test_components_equal_brute_force(spark, monkeypatch, k, num, rounds, chunk):
     monkeypatch.setattr(J, "CHUNK", chunk)
     data = rows()
@@ -49,6 +49,7 @@ def test_answers_derived_from_leaders(spark, monkeypatch):
     """Components that only pairs between sets of one leader connect; the bounds and the differences give them."""
     data = ring(random.Random(1))
     df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
+    monkeypatch.setattr(J, "LEADERS", 1)
     asked = []
     verify = J._verify
     monkeypatch.setattr(J, "_verify", lambda pairs, *a, **b: asked.append((b.get("differences", False), pairs.count())) or verify(pairs, *a, **b))
