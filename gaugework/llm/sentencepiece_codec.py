@@ -32,8 +32,7 @@ SPACE = "▁"
 #: Below the score of any path of pieces, for each byte of a character that no piece spells.
 FALLBACK = -1e6
 #: Bytes of remembered stretches in a worker, about; ids in an Arrow batch that is given out.
-MEMORY, GIVEN = 12 << 20, 1 << 19
-_SHIFT = 21  # bits of a code point
+MEMORY, GIVEN = 48 << 20, 1 << 19
 
 
 @dataclass
@@ -70,34 +69,30 @@ def read_pieces(content: bytes) -> Pieces:
     return Pieces(score, [bytes_[f"<0x{b:02X}>"] for b in range(256)], [p.piece for p in model.pieces], [p.type for p in model.pieces], spec.add_dummy_prefix)
 
 
-class Trie:
-    """Pieces as paths of characters: ``step[node << 21 | code point]`` is the next node; a node's piece has score and id."""
+def trie_of(pieces: Pieces) -> dict:
+    """Pieces as paths of characters: a node maps characters to nodes, and PIECE to the (score, id) of the piece that ends there."""
+    root: dict = {}
+    for piece, hit in pieces.score.items():
+        node = root
+        for ch in piece:
+            node = node.setdefault(ch, {})
+        node[PIECE] = hit
+    return root
 
-    def __init__(self, pieces: Pieces):
-        self.step: dict[int, int] = {}
-        self.score: list[float | None] = [None]
-        self.id: list[int] = [-1]
-        for piece, (score, id_) in pieces.score.items():
-            node = 0
-            for ch in piece:
-                key = node << _SHIFT | ord(ch)
-                node = self.step.get(key, 0)
-                if not node:
-                    node = self.step[key] = len(self.score)
-                    self.score.append(None)
-                    self.id.append(-1)
-            self.score[node], self.id[node] = score, id_
+
+PIECE = ""
 
 
 class Viterbi:
     """Takes characters, gives committed ids.
 
     best and back hold the boundaries since the last commit: their score, and the boundary and the id (or the
-    character, for byte pieces) of the step that leads there. live: (trie node, boundary) of what may still become a piece.
+    character, for byte pieces) of the step that leads there. live: (trie node, boundary, its score) of what may still
+    become a longer piece.
     """
 
-    def __init__(self, pieces: Pieces, trie: Trie | None = None):
-        self.p, self.trie = pieces, trie or Trie(pieces)
+    def __init__(self, pieces: Pieces):
+        self.p, self.trie = pieces, trie_of(pieces)
         self._restart()
 
     def _restart(self) -> None:
@@ -105,49 +100,62 @@ class Viterbi:
 
     def feed(self, text: str) -> array:
         out = array("i")
-        step, score, id_ = self.trie.step, self.trie.score, self.trie.id
-        best, back, live, n = self.best, self.back, self.live, len(self.best) - 1
+        best, back, live, n, due, root = self.best, self.back, self.live, len(self.best) - 1, self.due, self.trie.get
         for ch in text:
-            cp, top, link, grown = ord(ch), -math.inf, None, []
-            live.append((0, n))
-            for node, start in live:  # older boundaries first: of equal scores the longer piece wins
-                node = step.get(node << _SHIFT | cp)
+            top, link, grown = -1e300, None, []
+            for node, start, score in live:  # older boundaries first: of equal scores the longer piece wins
+                node = node.get(ch)
                 if node is not None:
-                    grown.append((node, start))
-                    s = score[node]
-                    if s is not None and best[start] + s > top:
-                        top, link = best[start] + s, (start, id_[node])
-            if not grown or grown[-1][1] != n or score[grown[-1][0]] is None:  # the character is no piece
-                s = best[n] + FALLBACK * len(ch.encode())
+                    if PIECE in node:
+                        s, id_ = node[PIECE]
+                        s += score
+                        if s > top:
+                            top, link = s, (start, id_)
+                        if len(node) > 1:
+                            grown.append((node, start, score))
+                    else:
+                        grown.append((node, start, score))
+            node, score = root(ch), best[n]
+            if node is None or PIECE not in node:  # the character is no piece
+                s = score + FALLBACK * len(ch.encode())
                 if s > top:
                     top, link = s, (n, ch)
+            else:
+                s, id_ = node[PIECE]
+                s += score
+                if s > top:
+                    top, link = s, (n, id_)
+            if node is not None and (len(node) > 1 or PIECE not in node):
+                grown.append((node, n, score))
             best.append(top)
             back.append(link)
-            live, n = grown, n + 1
+            live = grown
+            n += 1
             if not live:  # only the new boundary survives
                 self._path(n, out)
                 del best[:n], back[:n]
                 best[0], back[0], n = 0.0, (0, -1), 0
-            elif n >= self.due:
+            elif n >= due:
                 n, live = self._commit(n, live, out)
+                due = self.due
         self.live = live
         return out
 
     def _commit(self, n: int, live: list, out: array) -> tuple[int, list]:
         """Commits up to the last boundary that the paths of all survivors share."""
-        paths = {n, *(start for _, start in live)}
+        paths = {n, *(start for _, start, _ in live)}
         while len(paths) > 1:  # the farthest goes one piece back, until all are at one boundary
             far = max(paths)
             paths.remove(far)
             paths.add(self.back[far][0])
         meet = paths.pop()
+        base = self.best[meet]
         if meet:
             self._path(meet, out)
-            base = self.best[meet]
             self.best[:] = [b - base for b in self.best[meet:]]
             self.back[:] = [(0, -1)] + [(max(0, a - meet), what) for a, what in self.back[meet + 1 :]]
         self.due = n - meet + self.p.longest
-        return n - meet, [(node, start - meet) for node, start in live]
+        return n - meet, [(node, start - meet, score - base) for node, start, score in live]
 
     def _path(self, at: int, out: array) -> None:
         found = []
@@ -173,21 +181,26 @@ class Codec:
         self.young: dict[str, bytes] = {}  # remembered stretches, in two generations: the older goes as a whole
         self.old: dict[str, bytes] = {}
         self.held = 0
+        #: Set where the ids of a stretch did not give it back. Without such a stretch texts come back: bytes are laid end to end.
+        self.broken = False
         first = {i: b for b, i in enumerate(pieces.byte_ids)}
         self.raw = [bytes([first[i]]) if i in first else t.replace(SPACE, " ").encode() if k == 1 else b"" for i, (t, k) in enumerate(zip(pieces.text, pieces.kind))]
 
     def _stretch(self, text: str) -> bytes:
-        """The ids, as int32 bytes, of a stretch whose ends no piece runs over."""
-        found = self.old.get(text)
+        """The ids, as int32 bytes, of a stretch whose ends no piece runs over. Remembered without its first space sign."""
+        key = text[1:] if text[:1] == SPACE else SPACE + text
+        found = self.old.get(key)
         if found is None:
             out = self.viterbi.feed(text)
             out.extend(self.viterbi.finish())
             found = out.tobytes()
+            if b"".join(map(self.raw.__getitem__, out)) != text.replace(SPACE, " ").encode():
+                self.broken = True
         size = 200 + 2 * len(text) + len(found)
         if size <= self.memory >> 6:
             if self.held + size > self.memory >> 1:
                 self.old, self.young, self.held = self.young, {}, 0
-            self.young[text] = found
+            self.young[key] = found
             self.held += size
         return found
 
@@ -197,23 +210,29 @@ class Codec:
         marked = (SPACE if self.p.dummy_prefix else "") + text.replace(" ", SPACE)
         if not self.p.splits:
             return np.frombuffer(self._stretch(marked), np.int32)
-        parts, known = [], self.young.get
-        head, *words = marked.split(SPACE)
+        head, *words = marked.split(SPACE)  # each word has one space sign before it; an empty one lengthens the run
+        if "" not in words:
+            parts = list(map(self.young.get, words))
+            if None in parts:
+                parts = [self.young.get(w) or self._stretch(SPACE + w) if p is None else p for w, p in zip(words, parts)]
+        else:
+            parts, run = [], SPACE
+            for word in words:
+                if word:
+                    parts.append((run == SPACE and self.young.get(word)) or self._stretch(run + word))
+                    run = SPACE
+                else:
+                    run += SPACE
+            if len(run) > 1:
+                parts.append(self._stretch(run[1:]))
         if head:
-            parts.append(known(head) or self._stretch(head))
-        run = SPACE
-        for word in words:  # each word has one space sign before it; an empty one lengthens the run
-            if word:
-                word = run + word
-                parts.append(known(word) or self._stretch(word))
-                run = SPACE
-                known = self.young.get
-            else:
-                run += SPACE
-        if len(run) > 1:
-            parts.append(self._stretch(run[1:]))
+            parts.insert(0, self._stretch(head))
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def returns(self, ids, text: str) -> bool:
+        """Whether decoding gives the text back, space signs as spaces."""
+        return not self.broken or self.decode(ids) == text.replace(SPACE, " ")
+
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         out = raw.decode("utf-8", "replace")
@@ -270,7 +289,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 text = text.as_py() or ""
                 ids = codec.encode(text)
                 lists.append(ids)
-                same.append(codec.decode(ids) == (text.replace(SPACE, " ") if SPACE in text else text))
+                same.append(codec.returns(ids, text))
                 size += len(ids)
                 if size >= GIVEN:
                     yield out()
