@@ -238,11 +238,38 @@ def salted_join(rows: DataFrame, key: str, one: DataFrame, salts: int = 32) -> D
     return rows.join(part, [key, "_salt"], "left").drop("_salt")
 
 
+#: Edges whose components are found in one task.
+EDGES = 1 << 20
+
+
+def _forest(batches):
+    """Edges (a, b) to edges from each node to the smallest node of its component, as far as these edges tell."""
+    parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in "ab"] for batch in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(c) for c in zip(*parts))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in links (a, b): root is the smallest node of its component.
+    """(node, root) of every node in links (a, b), longs: root is the smallest node of its component.
 
-    Large-star and small-star steps in turn, until nothing changes; each step is a grouped minimum handed
-    back by (node, salt), so that a node with very many neighbours is no single task's work.
+    Each task first shrinks its own edges to stars, EDGES at a time. Where that leaves a node in several stars,
+    large-star and small-star steps follow, each a grouped minimum handed back by (node, salt), so that a node with
+    very many neighbours is no single task's work; and again, until all edges are stars.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -255,15 +282,16 @@ def components(links: DataFrame) -> DataFrame:
             moved = moved.unionByName(known.select("a", F.col("m").alias("b")))
         return moved.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def settled(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
 
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(edges)
-    while seen[0]:
-        edges = materialize(star(star(edges, True), False), "edges")
-        now = mark(edges)
-        if now == seen:
+    while True:
+        parts = -(-edges.count() // EDGES)
+        dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "b")
+        edges = materialize(dealt.mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
+        if parts <= 1 or settled(edges):
             break
-        seen = now
+        edges = materialize(star(materialize(star(edges, True), "edges"), False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
