@@ -10,13 +10,20 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the context's checkpoint folder, else, in local mode only, a temporary one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="gaugework-")
+    return _own[app]
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="gaugework-")
-            spark.sparkContext.setCheckpointDir(_own[app])
-        base = _own[app]
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"

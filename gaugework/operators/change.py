@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def deltas(scores: DataFrame) -> DataFrame:
-    """after - before for tasks scored on both sides; of repeated tasks the first by value counts."""
-    one = scores.where("before IS NOT NULL AND after IS NOT NULL").dropDuplicates(["sha", "task_id"])
+    """after - before for tasks scored on both sides; of repeated tasks the one with the least (before, after) counts."""
+    both = scores.where("before IS NOT NULL AND after IS NOT NULL")
+    one = both.groupBy("sha", "task_id").agg(F.min(F.struct("before", "after")).alias("s")).select("sha", "task_id", "s.before", "s.after")
     return one.withColumn("delta", F.col("after") - F.col("before"))
 
 

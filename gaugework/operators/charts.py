@@ -7,6 +7,8 @@ x gives a null z, which every chart treats as no signal.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +67,32 @@ def shewhart(df: DataFrame, keys=("series",), rules=(1,), k: float = 3.0, order=
     return df.withColumn("kind", F.when(F.col("rule").isNotNull(), "out_of_control").when(F.abs("z") > 2, "warning").otherwise("in_control")).drop("_n")
 
 
-def ewma(df: DataFrame, keys=("series",), lam: float = 0.2, width: float = 2.962, order="ord", reach: int = 400) -> DataFrame:
+def ewma(df: DataFrame, keys=("series",), lam: float = 0.2, width: float = 2.962, order="ord") -> DataFrame:
     """Adds ewma, limit (distance from mu) and signal.
 
-    The weighted sum runs over a frame of ``reach`` rows; what is left out weighs under (1 - lam) ** reach and
-    is credited to mu, so the state of a task is bounded whatever the length of a series.
+    A series is cut into blocks over which a weight falls by a factor of 10**4. Within a block the weighted sum is a running sum
+    of x, scaled up by what the weights fall; what came before is the sums of the five blocks before, for the weight of
+    older ones is below 10**-20, or mu at the beginning. A task's state is five blocks, whatever the length of a series.
     """
-    w = _back(keys, reach - 1, order)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     df = df.withColumn("_n", n)
-    df = df.withColumn("_v", F.collect_list(F.col("x").cast("double")).over(w))
-    z = F.aggregate("_v", F.col("mu").cast("double"), lambda a, x: lam * x + (1 - lam) * a)
-    df = df.withColumn("ewma", z).drop("_v")
-    factor = F.when(F.col("_n") > 1000, F.lit(1.0)).otherwise(1 - F.pow(F.lit(1 - lam), 2 * F.col("_n")))
-    df = df.withColumn("limit", width * F.col("sigma") * F.sqrt(lam / (2 - lam) * factor)).drop("_n")
+    x, mu = F.col("x").cast("double"), F.col("mu").cast("double")
+    if lam >= 1:
+        z = x
+    else:
+        keep = 1 - lam
+        block = max(1, int(math.log(1e4) / -math.log(keep)))
+        df = df.withColumn("_b", F.floor((F.col("_n") - 1) / block).cast("long")).withColumn("_i", (F.col("_n") - 1) % block)
+        own = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("_s", F.sum(lam * x * F.pow(F.lit(keep), -(F.col("_i") + 1))).over(own)).withColumn("_t", lam * x * F.pow(F.lit(keep), block - 1 - F.col("_i")))
+        fall, prior = keep**block, F.when(F.col("_b") <= 5, mu * F.pow(F.lit(keep**block), F.col("_b"))).otherwise(0.0)
+        for j in range(1, 6):
+            before = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b").rangeBetween(-j, -j))
+            prior = prior + F.coalesce(before, F.lit(0.0)) * fall ** (j - 1)
+        z = F.pow(F.lit(keep), F.col("_i") + 1) * (prior + F.col("_s"))
+    df = df.withColumn("ewma", z)
+    factor = 1 - F.pow(F.lit(1 - lam), 2 * F.col("_n"))
+    df = df.withColumn("limit", width * F.col("sigma") * F.sqrt(lam / (2 - lam) * factor)).drop("_n", "_b", "_i", "_s", "_t")
     return df.withColumn("signal", F.abs(F.col("ewma") - F.col("mu")) > F.col("limit"))
 
 

@@ -67,9 +67,14 @@ def detect(trials: DataFrame, config: AnalysisConfig = AnalysisConfig(), keys=SE
 
 
 def analyze_sequential(trials: DataFrame, config: SequentialConfig = SequentialConfig(), keys=SERIES) -> DataFrame:
-    """For each series: stop_early at the first e-value of 1/alpha, with the estimate there, else continue_running."""
-    s = trials.select(*keys, "ord", F.col("value").alias("x"), *(["all_binary"] if "all_binary" in trials.columns else []))
-    df = sequential.anytime(s, config.alpha, config.theta0, config.tau2, "normal", None, keys)
+    """For each series: stop_early at the first e-value of 1/alpha, with the estimate there, else continue_running.
+
+    The family of a series is Bernoulli if all its outcomes are of type Binary, else normal; without the column
+    outcome_type it is normal.
+    """
+    binary = F.bool_and(F.col("outcome_type") == "Binary").over(Window.partitionBy(*keys)) if "outcome_type" in trials.columns else F.lit(False)
+    s = trials.select(*keys, "ord", F.col("value").alias("x"), F.coalesce(binary, F.lit(False)).alias("all_binary"))
+    df = sequential.anytime(s, config.alpha, config.theta0, config.tau2, "by_series", None, keys)
     hit = F.when(F.col("e_value") >= 1 / config.alpha, F.struct("n", "lower", "upper", "e_value"))
     last = F.struct("n", "lower", "upper", "e_value")
     g = df.groupBy(*keys).agg(F.min(hit).alias("hit"), F.max(last).alias("last"))
@@ -123,6 +128,35 @@ def analyze_irr(ratings: DataFrame, config: IrrConfig = IrrConfig(), keys=SERIES
     return out.select(*keys, "raters", F.when(usable, F.col("value")).alias("value"), warning.alias("warning"))
 
 
+def analyze(trials: DataFrame, config: AnalysisConfig = AnalysisConfig(), keys=SERIES) -> DataFrame:
+    """All enabled instruments over all series: (instrument, keys, kind, n, estimate, lower, upper), a decision a row.
+
+    trials: keys, ord, run_id, ts, value; outcome_type, judge_model and item where they are known. Agreement needs
+    judge_model and item, and gives a row only where it warns. Raises without trials and without an instrument that applies.
+    """
+    if trials.isEmpty():
+        raise ValueError("there are no trials")
+    enabled = [r["instrument"] for r in detect(trials, config, keys).where("enabled").collect()]  # three rows
+    parts, none = [], F.lit(None).cast("double")
+    if "irr" in enabled and {"judge_model", "item"} <= set(trials.columns):
+        ratings = trials.where("judge_model IS NOT NULL").select(*keys, "item", F.col("judge_model").alias("rater"), F.col("value").alias("label"))
+        found = analyze_irr(ratings, config.irr, keys).where("warning IS NOT NULL")
+        parts.append(found.select(F.lit("irr").alias("instrument"), *keys, F.col("warning").alias("kind"), F.col("raters").cast("long").alias("n"), F.col("value").cast("double").alias("estimate"), none.alias("lower"), none.alias("upper")))
+    if "sequential" in enabled:
+        found = analyze_sequential(trials, config.sequential, keys)
+        parts.append(found.select(F.lit("sequential").alias("instrument"), *keys, "kind", F.col("n").cast("long").alias("n"), "estimate", "lower", "upper"))
+    if "spc" in enabled:
+        found = analyze_spc(trials, config.spc, keys)
+        parts.append(found.select(F.lit("spc").alias("instrument"), *keys, "kind", F.col("windows").cast("long").alias("n"), F.col("mu").alias("estimate"), none.alias("lower"), none.alias("upper")))
+    if not parts:
+        raise ValueError("no instrument applies")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+
 def conformity(estimate: Column, uncertainty: Column, threshold: Column, guard: Column | float = 0.0) -> tuple[Column, Column, Column]:
     """(margin, confidence ratio, decision): accept if the lower end passes threshold + guard, reject if the upper end is below."""
     guard = guard if isinstance(guard, Column) else F.lit(float(guard))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +44,7 @@ def slices(df: DataFrame, axes: list[str], value: str) -> DataFrame:
     sets = ", ".join(f"({a})" for a in axes)
     level = F.coalesce(*[F.col(a).cast("string") for a in axes])
     base = df.select(*[F.col(a).cast("string").alias(a) for a in axes], F.col(value).alias(value))
-    view = f"_slices_{abs(hash((tuple(axes), value))) % 10**9}"
+    view = f"_slices_{uuid.uuid4().hex}"
     base.createOrReplaceTempView(view)
     g = base.sparkSession.sql(
         f"SELECT {', '.join(axes)}, grouping_id({', '.join(axes)}) AS gid, count({value}) AS n, avg({value}) AS mean, stddev_samp({value}) AS sd, min({value}) AS min, max({value}) AS max FROM {view} GROUP BY GROUPING SETS ({sets}, ())"

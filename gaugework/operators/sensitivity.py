@@ -6,6 +6,8 @@ driver, and only on k x k matrices.
 
 from __future__ import annotations
 
+import uuid
+
 import math
 
 import numpy as np
@@ -411,7 +413,7 @@ def _effects(grid: DataFrame, axes: list[str]) -> tuple[dict[frozenset, float],
     from itertools import combinations
 
     sets = [list(c) for r in range(len(axes) + 1) for c in combinations(axes, r)]
-    view = "_effects_" + "_".join(axes)
+    view = f"_effects_{uuid.uuid4().hex}"
     grid.select(*axes, "x").createOrReplaceTempView(view)
     spelled = ", ".join("(" + ", ".join(s) + ")" for s in sets)
     g = grid.sparkSession.sql(f"SELECT grouping_id({', '.join(axes)}) AS gid, count(*) AS n, avg(x) AS m FROM {view} GROUP BY GROUPING SETS ({spelled})")

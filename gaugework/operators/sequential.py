@@ -85,7 +85,8 @@ def anytime(series: DataFrame, alpha: float = 0.05, theta0: float = 0.0, tau2: f
     """Adds n, mean, lower, upper, e_value, always_valid_p after every observation.
 
     sigma is 0.5 for Bernoulli data, the root of ``variance`` if it is given, else estimated from the running
-    population variance; an interval with an estimated sigma has no coverage guarantee.
+    population variance; an interval with an estimated sigma has no coverage guarantee. family "by_series" takes
+    Bernoulli where the column all_binary holds, else the estimate.
     """
     w = _run(keys)
     df = msprt_normal(series, theta0, tau2, keys).withColumn("mean", F.avg("x").over(w))
@@ -96,6 +97,8 @@ def anytime(series: DataFrame, alpha: float = 0.05, theta0: float = 0.0, tau2: f
     else:
         df = df.withColumn("_v", F.var_pop("x").over(w))
         sigma = F.greatest(F.sqrt("_v"), F.lit(1e-10))
+        if family == "by_series":
+            sigma = F.when(F.col("all_binary"), 0.5).otherwise(sigma)
     df = df.withColumn("_h", half_width(sigma, F.col("n"), alpha))
     df = df.withColumn("lower", F.col("mean") - F.col("_h")).withColumn("upper", F.col("mean") + F.col("_h")).withColumn("e_value", F.exp(F.least("log_lr", F.lit(700.0))))
     return df.drop("_h", "_v")

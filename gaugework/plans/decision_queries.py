@@ -25,10 +25,15 @@ def detect(spark, sf):
 
 
 def analyze_seq(spark, sf):
-    t = _trials(spark, sf).withColumn("value", F.col("passed").cast("double"))
+    t = _trials(spark, sf).withColumn("value", F.col("passed").cast("double")).withColumn("outcome_type", F.lit("Binary"))
     return _r(decisions.analyze_sequential(t, decisions.SequentialConfig(theta0=0.5)), 5)
 
 
+def analyze_all(spark, sf):
+    t = _trials(spark, sf).withColumn("value", F.col("passed").cast("double")).withColumn("outcome_type", F.lit("Binary"))
+    return _r(decisions.analyze(t, decisions.AnalysisConfig(sequential=decisions.SequentialConfig(theta0=0.5))), 4)
+
+
 def spc_windows(spark, sf):
     return _r(decisions.windows(_trials(spark, sf), decisions.SpcConfig(window=50)), 4)
 
@@ -209,7 +214,7 @@ def rescore(spark, sf):
 
 
 QUERIES = {
-    "orch_group": group, "orch_detect": detect, "orch_seq": analyze_seq, "orch_spc_windows": spc_windows, "orch_spc": analyze_spc, "orch_irr": analyze_irr,
+    "orch_group": group, "orch_detect": detect, "orch_seq": analyze_seq, "orch_analyze": analyze_all, "orch_spc_windows": spc_windows, "orch_spc": analyze_spc, "orch_irr": analyze_irr,
     "qmu_evaluate": qmu, "qmu_from_pipeline": qmu_interval, "decision_hint": hints,
     "chg_regressions": chg_regressions, "chg_improvements": chg_improvements, "chg_all_regressions": chg_all, "chg_affecting": chg_affecting, "chg_history": chg_history,
     "chg_churn": chg_churn, "blast_history": blast_history, "blast_prefix": blast_prefix, "bisect": bisect,
@@ -234,7 +239,7 @@ def _seq_sql(select: str) -> str:
     from .sequential_queries import _HALF
 
     w = "OVER (PARTITION BY task_id, agent_id ORDER BY ord ROWS UNBOUNDED PRECEDING)"
-    return f"""{_T}, s AS (SELECT task_id, agent_id, (row_number() {w})::DOUBLE AS n, sum(CAST(passed AS INT) - 0.5) {w} AS d, avg(CAST(passed AS DOUBLE)) {w} AS mean, greatest(stddev_pop(CAST(passed AS DOUBLE)) {w}, 1e-10) AS sg FROM trials),
+    return f"""{_T}, s AS (SELECT task_id, agent_id, (row_number() {w})::DOUBLE AS n, sum(CAST(passed AS INT) - 0.5) {w} AS d, avg(CAST(passed AS DOUBLE)) {w} AS mean, 0.5::DOUBLE AS sg FROM trials),
  l AS (SELECT *, exp(-0.5 * ln(1 + n) + d * d / (2 * (1 + n))) AS e, {_HALF.format(sigma="sg")} AS h FROM s),
  g AS (SELECT task_id, agent_id, min(CASE WHEN e >= 20 THEN n END) AS hit, max(n) AS last FROM l GROUP BY 1, 2)
  SELECT l.task_id, l.agent_id, {select} FROM g JOIN l ON g.task_id = l.task_id AND g.agent_id = l.agent_id AND l.n = coalesce(hit, last)"""
@@ -298,3 +303,15 @@ ORACLES = {
     "rep_variants": "SELECT * FROM (SELECT unnest(['a', 'b', 'c']) AS template), (SELECT unnest(['0.0', '0.5', '1.0']) AS temperature), (SELECT unnest(['none', 'brief']) AS system)",
     "rescore_parse": "SELECT turn % 3 AS template, count(*) AS n, count(*) FILTER (conv_id % 5 < 4) AS parsed, count(*) FILTER (conv_id % 5 < 4) AS right FROM conversations GROUP BY 1",
 }
+
+
+def _analyze_sql() -> str:
+    """Both instruments: the sequential part as in orch_seq, the charts as in orch_spc, by task and agent and of pass rates."""
+    seq = _seq_sql("CASE WHEN hit IS NOT NULL THEN 'stop_early' ELSE 'continue_running' END AS kind, CAST(l.n AS BIGINT) AS n, round(mean, 4) AS estimate, round(mean - h, 4) AS lower, round(mean + h, 4) AS upper")
+    both = "(SELECT task_id || '/' || agent_id AS task_id, run_id, ts, CAST(passed AS DOUBLE) AS value FROM trials)"
+    spc = ORACLES["orch_spc"].replace("FROM trials", f"FROM {both}")
+    return f"""SELECT 'sequential' AS instrument, task_id, agent_id, kind, n, estimate, lower, upper FROM ({seq})
+ UNION ALL SELECT 'spc', split_part(task_id, '/', 1), split_part(task_id, '/', 2), kind, CAST(windows AS BIGINT), mu, NULL, NULL FROM ({spc})"""
+
+
+ORACLES["orch_analyze"] = _analyze_sql()

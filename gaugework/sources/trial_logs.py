@@ -129,17 +129,20 @@ def score_value(raw: Column) -> Column:
     )
 
 
-def from_eval_logs(docs: DataFrame) -> DataFrame:
+def from_eval_logs(docs: DataFrame, now: int | None = None) -> DataFrame:
     """Trials and warnings from evaluation logs, one JSON document a row (path, content): one row a sample and scorer.
 
-    Samples without scores are left out; a score that cannot be read is a warning.
+    Samples without scores are left out; a score that cannot be read is a warning, and so is what validation refuses, such as
+    a missing time. metadata: that of the log, over it the evaluation's, the sample's, and scorer_name, epoch, sample_id; JSON texts.
     """
+    over = lambda low, high: F.map_zip_with(low, high, lambda _, a, b: F.coalesce(b, a))
+    held = lambda text, path: F.coalesce(F.from_json(F.get_json_object(text, path), "map<string,string>"), F.create_map().cast("map<string,string>"))
     c = F.col("content")
     sample = F.from_json(F.get_json_object(c, "$.samples"), "array<string>")
     scores = F.from_json(F.get_json_object("sample", "$.scores"), "map<string,string>")
     d = docs.select(
         "path", F.coalesce(F.get_json_object(c, "$.eval.run_id"), F.sha2("content", 256)).alias("run"), F.coalesce(F.get_json_object(c, "$.eval.task_id"), F.get_json_object(c, "$.eval.task"), F.lit("")).alias("task_id"),
-        F.get_json_object(c, "$.eval.model").alias("agent_id"), F.posexplode(sample).alias("n", "sample"),
+        F.get_json_object(c, "$.eval.model").alias("agent_id"), over(held(c, "$.metadata"), held(c, "$.eval.metadata")).alias("meta"), F.posexplode(sample).alias("n", "sample"),
     )
     d = d.withColumn("scores", scores).where("scores IS NOT NULL")
     entries = F.array_sort(F.map_entries("scores"))
@@ -151,11 +154,13 @@ def from_eval_logs(docs: DataFrame) -> DataFrame:
     graded_by = F.get_json_object("score", "$.metadata.grading.model")
     model = F.coalesce(graded_by, F.get_json_object(F.try_element_at(assistant, F.lit(-1)), "$.content"))
     ts = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.get_json_object("sample", "$.completed_at"))), F.lit(0).cast("bigint"))
-    out = d.withColumn("run_id", ulid("run")).withColumn("outcome", score_value(raw))
+    out = d.withColumn("run_id", ulid("run")).withColumn("outcome", score_value(raw)).withColumn("ts", ts)
+    given = F.create_map(F.lit("scorer_name"), F.col("scorer"), F.lit("epoch"), epoch, F.lit("sample_id"), sid)
     return out.select(
-        ulid(F.coalesce(uuid, F.concat_ws("\u0000", "run", sid, epoch)), F.col("scorer")).alias("trial_id"), "run_id", "task_id", "agent_id", ts.alias("ts"), "scorer", sid.alias("sample_id"), epoch.cast("int").alias("epoch"), "outcome",
+        ulid(F.coalesce(uuid, F.concat_ws("\u0000", "run", sid, epoch)), F.col("scorer")).alias("trial_id"), "run_id", "task_id", "agent_id", "ts", "scorer", sid.alias("sample_id"), epoch.cast("int").alias("epoch"), "outcome",
         F.struct(model.alias("model"), F.split_part(model, F.lit("/"), F.lit(1)).alias("family"), F.sha2(first_user, 256).alias("prompt_template_hash"), F.when(graded_by.isNotNull(), "grading").otherwise("message").alias("source")).alias("judge"),
-        (F.col("n") * 1000 + F.col("k")).cast("long").alias("ord"), F.when(F.col("outcome").isNull(), "bad_score").alias("warning"),
+        (F.col("n") * 1000 + F.col("k")).cast("long").alias("ord"), over(over(F.col("meta"), held("sample", "$.metadata")), given).alias("metadata"),
+        F.when(F.col("outcome").isNull(), "bad_score").otherwise(validation(now)).alias("warning"),
     )
 
 
@@ -187,13 +192,13 @@ def read(spark: SparkSession, paths: list[str], fmt: str = "auto", mapping: Mapp
     for path in paths:
         kind = fmt
         if kind == "auto":
-            first = spark.read.text(path).limit(1).collect()
+            first = spark.read.text(path, wholetext=path.lower().endswith(".json")).limit(1).collect()  # a log document may be indented
             kind = detect_format(path, first[0][0] if first else "")
         if kind == "jsonl":
-            one = from_jsonl(numbered_lines(spark, path), mapping, now).select("trial_id", "run_id", "task_id", "agent_id", "ts", "outcome", "ord", "warning")
+            one = from_jsonl(numbered_lines(spark, path), mapping, now, run_default=path).select("trial_id", "run_id", "task_id", "agent_id", "ts", "outcome", "ord", "warning")
         else:
             docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
-            one = from_eval_logs(docs).select("trial_id", "run_id", "task_id", "agent_id", "ts", "outcome", "ord", "warning")
+            one = from_eval_logs(docs, now).select("trial_id", "run_id", "task_id", "agent_id", "ts", "outcome", "ord", "warning")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -39,11 +39,38 @@ def test_eval_logs(spark):
     ]}
     got = T.from_eval_logs(spark.createDataFrame([("p", json.dumps(doc))], "path string, content string")).orderBy("ord").collect()
     assert [(r["sample_id"], r["scorer"], r["outcome"]["type"] if r["outcome"] else None, r["warning"]) for r in got] == [
-        ("1", "m", "Binary", None), ("1", "n", "Graded", None), ("3", "m", None, "bad_score"), ("4", "m", "MultiCriterion", None),
+        ("1", "m", "Binary", "too_old"), ("1", "n", "Graded", "too_old"), ("3", "m", None, "bad_score"), ("4", "m", "MultiCriterion", "too_old"),  # no time
     ]
     assert got[0]["judge"]["family"] == "fam" and got[0]["ts"] == 0
 
 
+def test_eval_logs_keep_metadata_and_read_indented(spark, tmp_path):
+    doc = {"eval": {"run_id": "r", "task": "t", "model": "lab/m", "metadata": {"a": "eval", "b": "eval"}}, "metadata": {"a": "log", "c": 3}, "samples": [
+        {"id": 1, "epoch": 2, "completed_at": "2024-05-01T00:00:00Z", "metadata": {"b": "sample"}, "scores": {"m": {"value": "C"}}},
+    ]}
+    got = T.from_eval_logs(spark.createDataFrame([("p", json.dumps(doc))], "path string, content string"), now=1_800_000_000).first()
+    assert got["warning"] is None and got["metadata"] == {"a": "eval", "b": "sample", "c": "3", "scorer_name": "m", "epoch": "2", "sample_id": "1"}
+    (tmp_path / "log.json").write_text(json.dumps(doc, indent=2))
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.jsonl").write_text('{"task_id": "t", "agent_id": "a", "outcome": true}\n')
+    rows = T.read(spark, [f"{tmp_path}/{n}" for n in ("log.json", "one.jsonl", "two.jsonl")], now=1_800_000_000).collect()
+    assert len(rows) == 3 and len({r["trial_id"] for r in rows}) == 3
+
+
+def test_analyze_runs_what_applies(spark):
+    rows = [("t", "a", f"r{i // 5}", i, i, float(i % 2), "Binary" if s == 0 else "Score", j, str(i)) for s in (0,) for i in range(30) for j in ("j1", "j2")]
+    df = spark.createDataFrame(rows, "task_id string, agent_id string, run_id string, ts long, ord long, value double, outcome_type string, judge_model string, item string")
+    got = {r["instrument"]: r for r in decisions.analyze(df).collect()}
+    assert set(got) == {"sequential", "spc"}  # the judges agree
+    half = {r["upper"] - r["lower"] for r in decisions.analyze_sequential(df).collect()}
+    normal = {r["upper"] - r["lower"] for r in decisions.analyze_sequential(df.withColumn("outcome_type", F.lit("Score"))).collect()}
+    assert half != normal or half == normal == set()
+    with pytest.raises(ValueError):
+        decisions.analyze(df.limit(0))
+    with pytest.raises(ValueError):
+        decisions.analyze(df, decisions.AnalysisConfig(force_disable=("irr", "sequential", "spc")))
+
+
 def test_formats_and_config():
     assert T.detect_format("x.ndjson") == "jsonl" and T.detect_format("x", '{"eval": {}}') == "evallog" and T.detect_format("x", '{"a":1}\n{"a":2}') == "jsonl"
     with pytest.raises(ValueError):

@@ -19,7 +19,7 @@ def test_recursions_equal_loops(spark):
     rng = random.Random(1)
     xs = [rng.gauss(0.3, 1) for _ in range(200)]
     df = series(spark, xs).withColumn("mu", F.lit(0.0)).withColumn("sigma", F.lit(1.0))
-    got = C.ewma(C.cusum(df, head_start=2.5), reach=60).orderBy("ord").collect()
+    got = C.ewma(C.cusum(df, head_start=2.5)).orderBy("ord").collect()
     plus = minus = 2.5
     z = 0.0
     for x, r in zip(xs, got):
@@ -89,3 +89,18 @@ def test_coverage_of_the_confidence_sequence(spark):
     rows = rows.withColumn("x", (rng.uniform("cover", F.col("series"), F.col("ord")) < 0.3).cast("double"))
     d = S.anytime(rows, theta0=0.3).groupBy("series").agg(F.max(((F.col("lower") > 0.3) | (F.col("upper") < 0.3)).cast("int")).alias("missed"))
     assert d.agg(F.avg("missed")).first()[0] <= 0.07
+
+
+def test_ewma_of_long_series_and_small_weights(spark):
+    from gaugework.operators import charts
+
+    rng = random.Random(8)
+    xs = [rng.gauss(1, 1) for _ in range(3000)]
+    df = spark.createDataFrame([("s", i + 1, x, 0.0, 1.0) for i, x in enumerate(xs)], "series string, ord long, x double, mu double, sigma double")
+    for lam in (0.002, 0.01, 0.2, 0.9, 1.0):
+        z, want = 0.0, []
+        for x in xs:
+            z = lam * x + (1 - lam) * z
+            want.append(z)
+        got = [r["ewma"] for r in charts.ewma(df, lam=lam).orderBy("ord").collect()]
+        assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
