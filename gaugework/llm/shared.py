@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_local_base: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -36,18 +36,6 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    app = spark.sparkContext.applicationId
-    if app not in _local_base:
-        _local_base[app] = tempfile.mkdtemp(prefix="gaugework-")
-        spark.sparkContext.setCheckpointDir(_local_base[app])
-    return _local_base[app]
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage.
 
