@@ -21,6 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="gaugework-")
+        context.setCheckpointDir(_own[app])
     return _own[app]
 
 
