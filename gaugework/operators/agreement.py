@@ -137,14 +137,50 @@ def weight_table(labels: DataFrame, scheme: str) -> DataFrame:
     return both.select("ca", "cb", F.when(F.col("q") <= 1, F.lit(1.0)).otherwise(w).alias("w"))
 
 
-def gwet(ratings: DataFrame, scheme: str = "identity", keys=()) -> DataFrame:
-    """Gwet's AC1 (identity weights) or AC2 (any other)."""
+def custom_weights(spark, categories: list, matrix: list[list[float]]) -> DataFrame:
+    """(ca, cb, w) of a matrix over the sorted categories: symmetric, ones on the diagonal, within 0 and 1, else ValueError."""
+    cats, slack = sorted(set(categories)), 1e-12
+    if not cats:
+        raise ValueError("no categories")
+    if len(matrix) != len(cats) or any(len(row) != len(cats) for row in matrix):
+        raise ValueError(f"weights must be {len(cats)} x {len(cats)}")
+    for i, row in enumerate(matrix):
+        if abs(row[i] - 1) > slack:
+            raise ValueError("a weight on the diagonal is not 1")
+        for j, w in enumerate(row):
+            if not -slack <= w <= 1 + slack:
+                raise ValueError("a weight lies outside 0 and 1")
+            if abs(w - matrix[j][i]) > slack:
+                raise ValueError("the weights are not symmetric")
+    return spark.createDataFrame([(a, b, float(matrix[i][j])) for i, a in enumerate(cats) for j, b in enumerate(cats)], "ca int, cb int, w double")
+
+
+def coefficient_name(labels: DataFrame, weights: DataFrame | None) -> str:
+    """Gwet AC1 without weights, AC2 with those of a named scheme over the labels, else AC3."""
+    if weights is None:
+        return "Gwet AC1"
+    for scheme in ("identity", "linear", "quadratic", "ordinal"):
+        other = weight_table(labels.where("label IS NOT NULL"), scheme).withColumnRenamed("w", "v")
+        if not weights.join(other, ["ca", "cb"], "full").where("v IS NULL OR w IS NULL OR abs(v - w) > 1e-10").limit(1).count():
+            return f"Gwet AC2({scheme})"
+    return "Gwet AC3"
+
+
+def gwet(ratings: DataFrame, scheme: str = "identity", keys=(), weights: DataFrame | None = None) -> DataFrame:
+    """Gwet's AC1 (identity weights), AC2 (another scheme) or AC3 (``weights`` of one's own; a label without weights is an error)."""
     n = counts(ratings, keys)
     n = n.withColumn("m", F.sum("c").over(Window.partitionBy(*keys, "item")))
-    weights = weight_table(ratings.where("label IS NOT NULL"), scheme)
-    if scheme == "identity":
+    if weights is not None:  # only the labels at hand count
+        labels = ratings.where("label IS NOT NULL").select("label").distinct()
+        seen = labels.join(weights.select(F.col("ca").alias("label"), F.lit(1).alias("known")).distinct(), "label", "left")
+        known = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("no weights for label "), F.col("label").cast("string"))).cast("int")).otherwise(F.col("label"))
+        labels = seen.select(known.alias("label"))
+        weights = weights.join(labels.select(F.col("label").alias("ca")), "ca").join(labels.select(F.col("label").alias("cb")), "cb")
+    if scheme == "identity" and weights is None:
+        weights = weight_table(ratings.where("label IS NOT NULL"), scheme)
         inner = n.where("m >= 2").groupBy(*keys, "item").agg((F.sum(F.col("c") * F.col("c")) - F.max("m")).alias("agree"), F.max("m").alias("m"))
     else:
+        weights = weight_table(ratings.where("label IS NOT NULL"), scheme) if weights is None else weights
         x, y = n.where("m >= 2").select(*keys, "item", F.col("label").alias("ca"), F.col("c").alias("x"), "m"), n.select(*keys, "item", F.col("label").alias("cb"), F.col("c").alias("y"))
         met = x.join(y, [*keys, "item"]).join(weights, ["ca", "cb"])
         own = F.when(F.col("ca") == F.col("cb"), F.col("x")).otherwise(0)
@@ -253,7 +289,9 @@ def family_stratification(ratings: DataFrame, families: DataFrame, level: str =
 
 
 def preference_leakage(wins: DataFrame, families: DataFrame) -> DataFrame:
-    """(model_i, model_j, regime, pls) for i < j from win rates (model_i, model_j, wr)."""
+    """(model_i, model_j, regime, pls) for i < j from win rates (model_i, model_j, wr); a rate outside 0 and 1 is an error."""
+    fine = F.coalesce(F.col("wr").between(0, 1), F.lit(False)) & ~F.isnan("wr")
+    wins = wins.withColumn("wr", F.when(fine, F.col("wr")).otherwise(F.raise_error("a win rate lies outside 0 and 1").cast("double")))
     diag = wins.where("model_i = model_j").select(F.col("model_i").alias("m"), F.col("wr").alias("own"))
     w = wins.where("model_i < model_j").select("model_i", "model_j", F.col("wr").alias("wij"))
     back = wins.where("model_i > model_j").select(F.col("model_i").alias("model_j"), F.col("model_j").alias("model_i"), F.col("wr").alias("wji"))
@@ -264,6 +302,13 @@ def preference_leakage(wins: DataFrame, families: DataFrame) -> DataFrame:
     return all_.join(fi, "model_i").join(fj, "model_j").select("model_i", "model_j", F.when(F.col("fi") == F.col("fj"), "same_family").otherwise("cross_family").alias("regime"), pls.alias("pls"))
 
 
+def leakage_means(pairs: DataFrame) -> DataFrame:
+    """(regime, mean_pls, n_pairs) of ``preference_leakage`` by regime and for all; without pairs one row, 0 of 0."""
+    g = pairs.groupBy("regime").agg(F.sum("pls").alias("s"), F.count("pls").alias("n_pairs"))
+    whole = g.agg(F.lit("all").alias("regime"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n_pairs"), F.lit(0).cast("long")).alias("n_pairs"))
+    return g.unionByName(whole).select("regime", F.coalesce(F.try_divide("s", "n_pairs"), F.lit(0.0)).alias("mean_pls"), "n_pairs")
+
+
 def mandel(labs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Mandel's h and k of each laboratory (lab, x), with critical values."""
     per = labs.groupBy("lab").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"))

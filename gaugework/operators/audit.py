@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
@@ -26,12 +27,15 @@ def canonical(value, path: str = "$") -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def seal(bases: list[dict], model_hash: str) -> list[dict]:
-    """Links entries: the first to the model's hash, the others to the entry before. One writer, in order."""
+def seal(bases: list[dict], model_hash: str, first: int = 0, head: str = "") -> list[dict]:
+    """Links entries: the first to the model's hash, the others to the entry before. One writer, in order.
+
+    ``first`` and ``head`` go on with a chain of that many entries whose last has that hash.
+    """
     if not model_hash.strip("0"):
         raise ValueError("the model's hash is zero")
-    out, parent = [], model_hash
-    for seq, base in enumerate(bases):
+    out, parent = [], head or model_hash
+    for seq, base in enumerate(bases, first):
         text = canonical(base | {"seq": seq})
         digest = hashlib.sha256((TAG + text + parent).encode()).hexdigest()
         out.append({"idx": seq, "seq": seq, "type": "genesis" if seq == 0 else "chained", "base": text, "parent_hash": parent, "entry_hash": digest})
@@ -117,6 +121,44 @@ def unreferenced(stored: DataFrame, referenced: DataFrame) -> DataFrame:
     return stored.join(referenced, "sha", "left_anti")
 
 
+def blob_counts(stored: DataFrame, referenced: DataFrame) -> DataFrame:
+    """(scanned, referenced, deleted): blobs at hand, different blobs that chains refer to, and blobs to delete."""
+    a, b = stored.select("sha").distinct().withColumn("here", F.lit(1)), referenced.select("sha").distinct().withColumn("wanted", F.lit(1))
+    return a.join(b, "sha", "full").agg(F.count("here").alias("scanned"), F.count("wanted").alias("referenced"), F.count_if(F.col("wanted").isNull()).alias("deleted"))
+
+
+def append_chain(path: str, bases: list[dict], model_hash: str) -> str:
+    """Seals entries and appends them to a chain's file of JSON lines; returns the new head.
+
+    One writer: the file is locked, read to its last line, appended to and flushed to disk before the lock goes. A broken last
+    line is cut off; a file whose entries do not link up is refused.
+    """
+    import fcntl
+
+    with open(path, "a+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        f.seek(0)
+        head, count, end = model_hash, 0, 0
+        for line in f:
+            try:
+                entry = json.loads(line)
+            except ValueError:
+                if f.read(1):
+                    raise ValueError(f"{path}: line {count + 1} is broken") from None
+                break
+            if entry["parent_hash"] != head or entry["seq"] != count or entry["entry_hash"] != hashlib.sha256((TAG + entry["base"] + head).encode()).hexdigest():
+                raise ValueError(f"{path}: entry {count} does not follow from the one before")
+            head, count, end = entry["entry_hash"], count + 1, end + len(line)
+        f.truncate(end)
+        f.seek(end)
+        for entry in seal(bases, model_hash, count, head):
+            f.write(json.dumps(entry, ensure_ascii=False).encode() + b"\n")
+            head = entry["entry_hash"]
+        f.flush()
+        os.fsync(f.fileno())
+    return head
+
+
 @contextmanager
 def gate():
     """Hands out ``resolve``; leaving without having called it is an error."""

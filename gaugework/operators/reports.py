@@ -119,14 +119,20 @@ def factorial(axes: dict[str, list], spark) -> DataFrame:
 
 
 def parse_answer(text: Column, choices: int) -> Column:
-    """The letter of a multiple-choice answer, by rules from strict to loose; null if none holds."""
+    """The letter of a multiple-choice answer, by five rules from strict to loose; null if none holds.
+
+    A rule that finds a letter beyond the choices gives way to the next: the first "ANSWER: X"; the text is one letter, perhaps
+    with dots or closing brackets after it; "answer, choose, select or pick (is) X"; the last line of one letter; the last "ANSWER: X".
+    """
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:choices]
-    some = f"[{letters}{letters.lower()}]"
-    single = F.filter(F.split(text, "\n"), lambda s: F.rlike(F.trim(s), F.lit(rf"^\(?{some}\)?[.:]?$")))
+    alone = rf"(?i)\A\s*([{letters}])[.)]*\s*\z"
+    lines = F.filter(F.split(text, "\n"), lambda s: F.rlike(s, F.lit(alone)))
     found = [
-        F.regexp_extract(text, rf"(?i)ANSWER\s*:\s*\(?({some})\b", 1),
-        F.regexp_extract(F.trim(text), rf"^\(?({some})\)?\.?$", 1),
-        F.regexp_extract(text, rf"(?i)\b(?:answer|choose|select|pick)(?:\s+is)?\s*:?\s*\(?({some})\b", 1),
-        F.regexp_extract(F.try_element_at(single, F.lit(-1)), rf"({some})", 1),
+        F.regexp_extract(text, r"(?i)ANSWER\s*:\s*([A-Z])", 1),
+        F.regexp_extract(text, alone, 1),
+        F.regexp_extract(text, r"(?i)(?:answer|choose|select|pick)\s+(?:is\s+)?([A-Z])(?![\p{L}\p{N}_])", 1),
+        F.regexp_extract(F.try_element_at(lines, F.lit(-1)), alone, 1),
+        F.regexp_extract(text, r"(?is).*ANSWER\s*:\s*([A-Z])", 1),
     ]
-    return F.upper(F.coalesce(*[F.nullif(f, F.lit("")) for f in found]))
+    upper = [F.upper(f) for f in found]
+    return F.coalesce(*[F.when(u.isin(*letters), u) for u in upper])

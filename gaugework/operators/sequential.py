@@ -159,11 +159,18 @@ def median_unbiased(mle: Column, mu0: float, n: Column) -> Column:
     return mu0 + (mle - mu0) * (n - 1) / n
 
 
-def spending(looks: DataFrame, alpha: float, kind: str) -> DataFrame:
-    """looks (t: information fraction): adds spent, increment and the boundary z of each look by itself."""
+def spending(looks: DataFrame, alpha: float, kind) -> DataFrame:
+    """looks (t: information fraction): adds spent, increment and the boundary z of each look by itself.
+
+    ``kind``: pocock, obf, or a function of (column t, alpha) to the column of alpha spent by t.
+    """
     t = F.col("t")
-    if kind == "pocock":
+    if callable(kind):
+        spent = kind(t, alpha)
+    elif kind == "pocock":
         spent = alpha * F.log(1 + (math.e - 1) * t)
+    elif kind != "obf":
+        raise ValueError(f"no spending function {kind}")
     else:
         spent = 2 * (1 - mathx.phi(mathx.probit(F.lit(1 - alpha / 2)) / F.sqrt(t)))
     df = looks.withColumn("spent", spent)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES: list[str] = ["agreement_queries", "chart_queries", "sequential_queries", "decision_queries", "sensitivity_queries", "item_queries"]
+FAMILIES: list[str] = ["agreement_queries", "chart_queries", "sequential_queries", "decision_queries", "sensitivity_queries", "item_queries", "result_queries"]
 
 
 def _gather(attr: str) -> dict:

@@ -203,16 +203,6 @@ def rep_variants(spark, sf):
     return reports.factorial({"template": ["a", "b", "c"], "temperature": [0.0, 0.5, 1.0], "system": ["none", "brief"]}, spark)
 
 
-def rescore(spark, sf):
-    """Answers written into conversation turns, parsed back."""
-    c = B.table(spark, sf, "conversations")
-    letter = F.substring(F.lit("ABCDE"), (F.col("conv_id") % 5 + 1).cast("int"), F.lit(1))
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("ANSWER: "), letter)).when(F.col("turn") % 3 == 1, F.concat(F.lit("Well.\n("), letter, F.lit(")"))).otherwise(F.concat(F.lit("I pick "), letter, F.lit(" here")))
-    rows = c.select("conv_id", "turn", reports.parse_answer(said, 4).alias("parsed"), letter.alias("truth"))
-    g = rows.groupBy((F.col("turn") % 3).alias("template")).agg(F.count(F.lit(1)).alias("n"), F.count("parsed").alias("parsed"), F.count_if(F.col("parsed") == F.col("truth")).alias("right"))
-    return g
-
-
 QUERIES = {
     "orch_group": group, "orch_detect": detect, "orch_seq": analyze_seq, "orch_analyze": analyze_all, "orch_spc_windows": spc_windows, "orch_spc": analyze_spc, "orch_irr": analyze_irr,
     "qmu_evaluate": qmu, "qmu_from_pipeline": qmu_interval, "decision_hint": hints,
@@ -220,7 +210,7 @@ QUERIES = {
     "chg_churn": chg_churn, "blast_history": blast_history, "blast_prefix": blast_prefix, "bisect": bisect,
     "rep_wilson": rep_wilson, "rep_cell_wilson": rep_cell_wilson, "rep_eval_summary": rep_eval_summary, "rep_histogram": rep_histogram, "rep_slice": rep_slice,
     "rep_template_summary": rep_template, "rep_welch": rep_welch, "rep_stability": rep_stability, "rep_tier": rep_tier, "rep_validate": rep_validate,
-    "rep_lifecycle": rep_lifecycle, "rep_datahash": rep_datahash, "rep_subsets": rep_subsets, "rep_nshot": rep_nshot, "rep_variants": rep_variants, "rescore_parse": rescore,
+    "rep_lifecycle": rep_lifecycle, "rep_datahash": rep_datahash, "rep_subsets": rep_subsets, "rep_nshot": rep_nshot, "rep_variants": rep_variants,
 }
 
 _T = f"WITH {B.TRIALS}"
@@ -301,7 +291,6 @@ ORACLES = {
     "rep_subsets": "SELECT subset, item FROM (SELECT s AS subset, item_id AS item, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || s || ':' || item_id)) AS n FROM (SELECT DISTINCT item_id FROM benchmark), range(25) t(s)) WHERE n <= 10",
     "rep_nshot": "WITH i AS (SELECT DISTINCT p_partkey AS item FROM part), r AS (SELECT item, row_number() OVER (ORDER BY md5('42:' || item), item) AS n, count(*) OVER () AS c FROM i) SELECT item, CASE WHEN n <= greatest(1, floor(c * 0.05::DOUBLE)) THEN 'pool' ELSE 'test' END AS part FROM r",
     "rep_variants": "SELECT * FROM (SELECT unnest(['a', 'b', 'c']) AS template), (SELECT unnest(['0.0', '0.5', '1.0']) AS temperature), (SELECT unnest(['none', 'brief']) AS system)",
-    "rescore_parse": "SELECT turn % 3 AS template, count(*) AS n, count(*) FILTER (conv_id % 5 < 4) AS parsed, count(*) FILTER (conv_id % 5 < 4) AS right FROM conversations GROUP BY 1",
 }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words that mean pass and fail, and the earliest time accepted (2020-01-01) and the slack for clocks.
@@ -182,8 +182,16 @@ def detect_format(path: str, head: str = "") -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line) of a text source; ord grows within a file and from file to file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
+    """(ord, line) of a text source; ord is the line's number in its file, from 1.
+
+    A first pass counts the lines of each split, so that large files are still read in parts; one short row a split is ordered.
+    """
+    at = F.col("_metadata")
+    d = spark.read.text(path).select(at["file_path"].alias("_file"), at["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = d.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_file", "_start", (F.coalesce(before, F.lit(0).cast("long")) - F.col("_first") + 1).alias("_shift"))
+    return d.join(splits, ["_file", "_start"]).select((F.col("_id") + F.col("_shift")).alias("ord"), "line")
 
 
 def read(spark: SparkSession, paths: list[str], fmt: str = "auto", mapping: Mapping = Mapping(), now: int | None = None) -> DataFrame:

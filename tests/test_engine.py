@@ -142,9 +142,9 @@ def test_abilities(spark):
 
 
 def test_answers(spark):
-    texts = ["ANSWER: b", "(c)", "I pick a here", "hm\nD\n", "nothing", "answer: E"]
+    texts = ["ANSWER: b", "c).", "I pick a here", "hm\nD\n", "nothing", "answer: E", "(c)", "pick aé", "ANSWER: z\nANSWER: a", "B\nE\n", "the answer is  d."]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(reports.parse_answer(F.col("t"), 4)).collect()]
-    assert got == ["B", "C", "A", "D", None, None]
+    assert got == ["B", "C", "A", "D", None, None, None, None, "A", "B", "D"]
 
 
 def test_queries_and_oracles_agree_on_names():
