@@ -5,8 +5,6 @@ Items: (id, difficulty, discrimination, content_domain, exposure_count). Respons
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,80 +105,6 @@ def select_max_info(pool: DataFrame, theta: float, n: int, k: int, seed: int) ->
     return best.orderBy(rng.shuffle_key(seed, F.col("id")), "id").limit(n).drop("_i")
 
 
-def select_minimax(pool: DataFrame, n: int, points: int = 31, most: int = 5000) -> list:
-    """Ids of n items chosen one by one so that the least information over the grid is largest.
-
-    The choice is greedy and needs the item x theta table on the driver: at most ``most`` items, the rest must
-    be filtered before.
-    """
-    rows = pool.select("id", "difficulty", "discrimination").orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} items; filter the pool first")
-    a, b = np.array([float(r["discrimination"]) for r in rows]), np.array([float(r["difficulty"]) for r in rows])
-    grid = np.linspace(-4, 4, points)
-    p = 1 / (1 + np.exp(-a[:, None] * (grid - b[:, None])))
-    info = a[:, None] ** 2 * p * (1 - p)
-    total, free, out = np.zeros(points), np.ones(len(rows), bool), []
-    for _ in range(min(n, len(rows))):
-        worst = np.where(free, (total + info).min(1), -np.inf)
-        best = int(worst.argmax())
-        free[best], total = False, total + info[best]
-        out.append(rows[best]["id"])
-    return out
-
-
-def adaptive_tests(pool: DataFrame, people: DataFrame, most: int, least: int = 3, se_stop: float = 0.3, seed: int = 0, top: int = 1) -> DataFrame:
-    """Runs an adaptive test for each person (person, theta = true ability): (person, n, theta, se).
-
-    The pool goes to every task (it is an item bank; at most POOL_MOST items), people are dealt out. Each step
-    gives one of the ``top`` most informative items at the current posterior mean; a test ends after ``most`` items, or
-    from ``least`` on when the standard error is at or under se_stop.
-    """
-    bank = [(r["id"], float(r["discrimination"]), float(r["difficulty"])) for r in pool.select("id", "discrimination", "difficulty").orderBy("id").limit(POOL_MOST + 1).collect()]
-    if len(bank) > POOL_MOST:
-        raise ValueError(f"more than {POOL_MOST} items; filter the pool first")
-    shared = pool.sparkSession.sparkContext.broadcast(bank)
-
-    def run(batches):
-        import hashlib
-
-        import pandas as pd
-
-        ids = [x[0] for x in shared.value]
-        a, b = np.array([x[1] for x in shared.value]), np.array([x[2] for x in shared.value])
-        grid = np.linspace(-4, 4, 61)
-        p_grid = 1 / (1 + np.exp(-a[:, None] * (grid - b[:, None])))
-
-        def draw(*parts):
-            return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
-
-        for batch in batches:
-            out = []
-            for person, true in zip(batch["person"], batch["theta"]):
-                post, used, theta, se = np.exp(-(grid**2) / 2), np.zeros(len(a), bool), 0.0, 1.0
-                for k in range(min(most, len(a))):
-                    p = 1 / (1 + np.exp(-a * (theta - b)))
-                    info = np.where(used, -1.0, a * a * p * (1 - p))
-                    best = np.argsort(-info, kind="stable")[:top]
-                    item = int(best[int(draw(seed, person, k, "pick") * len(best))])
-                    used[item] = True
-                    right = draw(seed, person, ids[item], "answer") < 1 / (1 + math.exp(-a[item] * (true - b[item])))
-                    post = post * (p_grid[item] if right else 1 - p_grid[item])
-                    z = post.sum()
-                    theta = float((post * grid).sum() / z)
-                    se = float(math.sqrt(max(0.0, (post * grid**2).sum() / z - theta**2)))
-                    if k + 1 >= least and se <= se_stop:
-                        break
-                out.append((person, int(used.sum()), theta, se))
-            yield pd.DataFrame(out, columns=["person", "n", "theta", "se"])
-
-    kind = dict(people.dtypes)["person"]
-    return people.select("person", "theta").mapInPandas(run, f"person {kind}, n int, theta double, se double")
-
-
-POOL_MOST = 20_000
-
-
 def schedule(items: DataFrame, runs: int, rate: float, families: int, seed: int) -> DataFrame:
     """(run, item, perturbed, family): each item of each run is perturbed with the rate, by one of the families, or a control."""
     spark = items.sparkSession

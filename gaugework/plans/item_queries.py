@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rng import duck_uniform
-from ..operators import audit, items, perturb
+from ..operators import adaptive, audit, items, perturb
 from ..sources import trial_logs as T
 from ..streaming import monitor as M
 from . import bindings as B
@@ -61,7 +61,7 @@ def sel_max_info(spark, sf):
 
 
 def sel_minimax(spark, sf):
-    ids = items.select_minimax(B.pool(spark, sf), 5, most=50_000)
+    ids = adaptive.select_minimax(B.pool(spark, sf), 5)
     return spark.createDataFrame([(i, int(v)) for i, v in enumerate(ids)], "step int, id long")
 
 
@@ -74,7 +74,7 @@ def sel_exposure(spark, sf):
 
 def cat_simulate(spark, sf):
     people = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("person"), ((F.col("c_acctbal") / 5000) - 1).alias("theta"))
-    return _r(items.adaptive_tests(B.pool(spark, sf), people, 12, seed=42), 4)
+    return _r(adaptive.adaptive_tests(B.pool(spark, sf), people, 12, seed=42), 4)
 
 
 def sched_generate(spark, sf):
