@@ -7,9 +7,11 @@ import json
 import os
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
+
 #: Our own domain tag, hashed in front of every entry.
 TAG = "gaugework.audit.v1|"
 MOST_TAGS, MOST_TAG_BYTES, MOST_DETAIL = 32, 256, 4096
@@ -71,15 +73,14 @@ def verify(chain: DataFrame, model_hash: str) -> DataFrame:
 
     Every row's hash is worked out by itself, so all cores take part; the links need only the row before.
     """
-    w = Window.orderBy("idx")
-    links = chain.select("idx", "seq", "type", "parent_hash", "entry_hash")  # short rows for the ordered step
-    before = links.select("idx", F.lag("entry_hash").over(w).alias("prev"), F.lag("seq").over(w).alias("prev_seq"), F.row_number().over(w).alias("n"))
+    links = chain.select("idx", "seq", "entry_hash")  # short rows for the ordered step
+    before = ranks.with_previous(links, "idx", {"entry_hash": "prev", "seq": "prev_seq"}, chain.count()).select("idx", "first", "prev", "prev_seq")
     d = chain.join(before, "idx")
     tests = [
-        (((F.col("n") == 1) & (F.col("type") != "genesis")), "missing_genesis"), ((F.col("n") > 1) & (F.col("type") == "genesis"), "duplicate_genesis"),
-        ((F.col("n") == 1) & (F.col("type") == "genesis") & (F.col("parent_hash") != model_hash), "genesis_hash"),
-        ((F.col("n") > 1) & (F.col("parent_hash") != F.col("prev")), "parent_mismatch"), (F.col("entry_hash") != entry_hash(F.col("base"), F.col("parent_hash")), "entry_hash"),
-        ((F.col("n") > 1) & (F.col("seq") != F.col("prev_seq") + 1), "seq_gap"), (F.try_parse_json("base").isNull(), "encoding"),
+        ((F.col("first") & (F.col("type") != "genesis")), "missing_genesis"), (~F.col("first") & (F.col("type") == "genesis"), "duplicate_genesis"),
+        (F.col("first") & (F.col("type") == "genesis") & (F.col("parent_hash") != model_hash), "genesis_hash"),
+        (~F.col("first") & (F.col("parent_hash") != F.col("prev")), "parent_mismatch"), (F.col("entry_hash") != entry_hash(F.col("base"), F.col("parent_hash")), "entry_hash"),
+        (~F.col("first") & (F.col("seq") != F.col("prev_seq") + 1), "seq_gap"), (F.try_parse_json("base").isNull(), "encoding"),
     ]
     found = F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in tests]), lambda x: x.isNotNull())
     own = d.select("idx", F.explode(found).alias("finding"))

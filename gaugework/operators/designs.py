@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import mathx, rng
+from ..functions import mathx, ranks, rng
 
 # The published table of direction numbers of Joe and Kuo for dimensions 2 to 21: degree, coefficients, initial m.
 JOE_KUO = (
@@ -162,16 +162,17 @@ def iman_conover(points: DataFrame, target: list[list[float]], seed: int) -> Dat
     n = points.count()
     scores = points.select("id")
     for j in range(k):
-        order = Window.orderBy(rng.shuffle_key(seed, F.lit(j), F.col("id")))
-        scores = scores.withColumn(f"s{j}", mathx.probit(F.row_number().over(order) / (n + 1.0)))
+        scores = scores.withColumn(f"_u{j}", rng.uniform(seed, F.lit(j), F.col("id"))).withColumn(f"_t{j}", rng.shuffle_key(seed, F.lit(j), F.col("id")))
+    for j in range(k):  # the number is the start of the shuffle key, which settles its ties
+        scores = ranks.with_places(scores, {f"_u{j}": f"_r{j}"}, f"_t{j}", n).withColumn(f"s{j}", mathx.probit(F.col(f"_r{j}") / (n + 1.0)))
     have = [[scores.stat.corr(f"s{i}", f"s{j}") if i != j else 1.0 for j in range(k)] for i in range(k)]
     mix = np.linalg.cholesky(np.array(target)) @ np.linalg.inv(np.linalg.cholesky(np.array(have)))
     mixed = scores.select("id", *[sum((F.col(f"s{j}") * float(mix[i, j]) for j in range(k)), F.lit(0.0)).alias(f"m{i}") for i in range(k)])
     out = mixed.select("id")
     for j in range(k):
-        ranks = mixed.select("id", F.row_number().over(Window.orderBy(f"m{j}", "id")).alias("r"))
-        values = points.select(F.col(f"x{j}"), F.row_number().over(Window.orderBy(f"x{j}", "id")).alias("r"))
-        out = out.join(ranks.join(values, "r").drop("r"), "id")
+        places = ranks.with_places(mixed.select("id", f"m{j}"), {f"m{j}": "r"}, "id", n).select("id", "r")
+        values = ranks.with_places(points.select("id", f"x{j}"), {f"x{j}": "r"}, "id", n).select(f"x{j}", "r")
+        out = out.join(places.join(values, "r").drop("r"), "id")
     return out
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rng
+from ..functions import ranks, rng
 
 
 def ishigami(x: list[Column], a: float = 7.0, b: float = 0.1) -> Column:
@@ -93,8 +93,7 @@ def sobol_intervals(wide: DataFrame, k: int, reps: int, seed: int, alpha: float
     """Percentile intervals (linear interpolation) of s1 and st over resampled base rows; values are not computed anew."""
     n = wide.count()
     spark = wide.sparkSession
-    order = Window.orderBy("base_row")
-    numbered = wide.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint"))
+    numbered = ranks.with_places(wide, {"base_row": "idx"}, "base_row", n).withColumn("idx", F.col("idx") - 1)
     draws = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(n).select(F.col("id").alias("pos")))
     draws = draws.select("rep", rng.pick(n, seed, F.col("rep"), F.col("pos")).alias("idx"))
     per = sobol_indices(draws.join(numbered, "idx"), k, ["rep"])
@@ -155,16 +154,19 @@ def long_form(points: DataFrame, k: int, extra=()) -> DataFrame:
 
 
 def _sliced(points: DataFrame, k: int, slices: int) -> DataFrame:
-    return long_form(points, k).withColumn("slice", F.ntile(slices).over(Window.partitionBy("factor").orderBy("x", "id")))
+    """(id, factor, x, y, slice): equal-frequency slices of each factor's values."""
+    n = points.count()
+    d = ranks.long_places(points, [f"x{j}" for j in range(k)], ["id", "y"], "id", n)
+    return d.withColumn("slice", ranks.tile(F.col("place"), n, slices)).drop("place")
 
 
 def rbd_fast(points: DataFrame, k: int, harmonics: int = 10) -> DataFrame:
     """(factor, s1): rows sorted by x, up and back down, and the spectrum at low frequencies; bias corrected."""
     n = points.count()
-    d = long_form(points, k)
-    r = F.row_number().over(Window.partitionBy("factor").orderBy("x", "id"))
+    d = ranks.long_places(points, [f"x{j}" for j in range(k)], ["id", "y"], "id", n).crossJoin(F.broadcast(points.agg(F.avg("y").alias("_m"))))  # one row on the right
+    r = F.col("place")
     place = F.when(r % 2 == 1, (r + 1) / 2).otherwise(n - r / 2 + 1) - 1
-    d = d.withColumn("s", place * (2 * math.pi / n)).withColumn("c", F.col("y") - F.avg("y").over(Window.partitionBy("factor")))
+    d = d.withColumn("s", place * (2 * math.pi / n)).withColumn("c", F.col("y") - F.col("_m"))
     d = d.select("factor", "s", "c", F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("f"))
     g = d.groupBy("factor", "f").agg((F.avg(F.col("c") * F.cos(F.col("f") * F.col("s"))) ** 2 + F.avg(F.col("c") * F.sin(F.col("f") * F.col("s"))) ** 2).alias("p"), (F.sum(F.col("c") * F.col("c")) / n).alias("v"))
     s = g.groupBy("factor").agg((2 * F.sum("p") / F.max("v")).alias("s"))
@@ -182,8 +184,9 @@ def given_data(points: DataFrame, k: int, slices: int = 20) -> DataFrame:
 
 def pawn(points: DataFrame, k: int, slices: int = 10) -> DataFrame:
     """(factor, least, median, most) of the Kolmogorov-Smirnov distances between y within a slice of x and y overall."""
-    d = _sliced(points, k, slices)
-    d = d.withColumn("f", F.cume_dist().over(Window.partitionBy("factor").orderBy("y")))
+    n = points.count()
+    ranked = ranks.shares_under(points.select("id", "y", *[f"x{j}" for j in range(k)]), "y", "f", n)
+    d = ranks.long_places(ranked, [f"x{j}" for j in range(k)], ["id", "y", "f"], "id", n).withColumn("slice", ranks.tile(F.col("place"), n, slices))
     inner = Window.partitionBy("factor", "slice").orderBy("y")
     d = d.withColumn("f0", F.cume_dist().over(inner))
     before = F.coalesce(F.lag("f0").over(inner), F.lit(0.0))
@@ -232,9 +235,7 @@ def _moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarra
 def regression(points: DataFrame, k: int) -> DataFrame:
     """(factor, src, pcc, srrc, prcc, r2, r2_rank): standardized and partial coefficients on values and on ranks."""
     cols = [f"x{j}" for j in range(k)] + ["y"]
-    ranked = points
-    for c in cols:
-        ranked = ranked.withColumn(f"_r{c}", F.row_number().over(Window.orderBy(c, "id")).cast("double"))
+    ranked = ranks.with_places(points, {c: f"_r{c}" for c in cols}, "id", points.count())
     out = {}
     for name, frame, own in (("linear", points, cols), ("rank", ranked, [f"_r{c}" for c in cols])):
         _, _, cov = _moments(frame, own)
