@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 An n-gram counts once in a text. Its log-count ratio r compares how often it is met in toxic and in clean
-labelled texts; the classifier is a logistic regression on the features r * (presence). A text is scored
-as a whole; long texts are also scored window by window and get the highest window's score, so that a few
-toxic words in a long text are not outweighed by the rest.
+labelled texts; the classifier is a logistic regression on the features r * (presence). A text of up to WINDOW
+bytes is scored as a whole; a longer one window by window, to its end, and gets the highest window's score, so
+that a few toxic words in a long text are not outweighed by the rest.
 
 The model is fitted on the driver from at most MOST_TOXIC + MOST_CLEAN labelled texts, chosen by a hash of
 doc_id; weights restore the classes' shares among all labels. A text takes at most 2**BITS features. Fitting
@@ -190,9 +190,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with its columns as doc_id, held_out, score, predicted, one row per row of docs.
+    """doc_id, held_out, score, predicted: one row per row of docs, none for an empty table.
 
-    Null or empty text is scored by the model's bias. Rows that repeat are scored alike.
+    Null or empty text is scored by the model's bias. Rows that repeat are scored alike. A score of exactly 0.5 is
+    predicted toxic. A null doc_id counts as the empty text for held_out. Other columns of docs, whatever their names, are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
