@@ -101,6 +101,32 @@ def sobol_intervals(wide: DataFrame, k: int, reps: int, seed: int, alpha: float
     return per.groupBy("factor").agg(q("s1", alpha / 2).alias("s1_low"), q("s1", 1 - alpha / 2).alias("s1_high"), q("st", alpha / 2).alias("st_low"), q("st", 1 - alpha / 2).alias("st_high"))
 
 
+def analysis(wide: DataFrame, k: int, reps: int, seed: int, second: bool = False, points: DataFrame | None = None) -> DataFrame:
+    """The whole report of a Saltelli design as rows (section, i, j, name, value).
+
+    index: s1, st and their intervals of factor i; second: s2 of i and j (wide must hold the BA rows); delta: Borgonovo's of
+    factor i over ``points`` (id, x0.., y); summary: base rows, mean and variance of the output, sums of the indices, the share of
+    interactions (1 - sum of s1, not under 0); finding: diagnostics, 1 each.
+    """
+    both = sobol_indices(wide, k).join(sobol_intervals(wide, k, reps, seed), "factor")
+    none = F.lit(None).cast("int")
+
+    def rows(df, section, i, j, names):
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names]))
+        return df.select(F.lit(section).alias("section"), i.alias("i"), j.alias("j"), pairs.alias("p")).select("section", "i", "j", "p.*")
+
+    out = rows(both, "index", F.col("factor"), none, ["s1", "st", "s1_low", "s1_high", "st_low", "st_high"])
+    sums = both.agg(F.sum("s1").alias("sum_s1"), F.sum("st").alias("sum_st")).withColumn("interactions", F.greatest(F.lit(0.0), 1 - F.col("sum_s1")))
+    moments = wide.agg(F.count("fa").alias("base_rows"), F.avg("fa").alias("mean"), F.var_pop("fa").alias("variance"))
+    out = out.unionByName(rows(sums.crossJoin(moments), "summary", none, none, ["base_rows", "mean", "variance", "sum_s1", "sum_st", "interactions"]))  # one row each
+    if second:
+        out = out.unionByName(rows(second_order(wide, k), "second", F.col("i"), F.col("j"), ["s2"]))
+    if points is not None:
+        out = out.unionByName(rows(borgonovo(points, k), "delta", F.col("factor"), none, ["delta"]))
+    found = diagnostics(both).select(F.lit("finding").alias("section"), F.col("factor").alias("i"), none.alias("j"), F.col("finding").alias("name"), F.lit(1.0).alias("value"))
+    return out.unionByName(found)
+
+
 def diagnostics(indices: DataFrame) -> DataFrame:
     """(factor, finding) from factor, s1, st, s1_low, s1_high, st_low, st_high; factor is null for findings on all."""
     wide = (F.col("s1_high") - F.col("s1_low")) / F.abs("s1")

@@ -284,8 +284,12 @@ def str_summary(spark, sf):
     return M.summary(str_batch(spark, sf))
 
 
+def str_state(spark, sf):
+    return M.state_summary(_stream_rows(spark, sf), str_batch(spark, sf))
+
+
 QUERIES = {
-    "irt_prob": irt_prob, "irt_info": irt_info, "irt_min_info": irt_min_info, "irt_eap": irt_eap, "irt_mle": irt_mle, "irt_estimate": irt_estimate,
+    "str_state": str_state, "irt_prob": irt_prob, "irt_info": irt_info, "irt_min_info": irt_min_info, "irt_eap": irt_eap, "irt_mle": irt_mle, "irt_estimate": irt_estimate,
     "sel_uniform": sel_uniform, "sel_stratified": sel_stratified, "sel_max_info": sel_max_info, "sel_minimax": sel_minimax, "sel_exposure": sel_exposure,
     "cat_simulate": cat_simulate, "sched_generate": sched_generate, "sched_coverage": sched_coverage, "pool_ops": pool_ops, "pool_record_exposure": record_exposure,
     "cal_irt": cal_irt, "cal_schema": cal_schema, "cal_factors": cal_factors,

@@ -87,7 +87,7 @@ def _analysis(spark):
 
 
 def analyze(spark, sf):
-    return _r(_analysis(spark).orderBy(F.desc("st"), "factor"))
+    return _r(S.analysis(_wide(spark, True, 300), K, 30, 42, True, _points(spark, 1000)), 5)
 
 
 def diag(spark, sf):

@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -97,6 +97,21 @@ def summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("series", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
+def state_summary(rows: DataFrame, decisions: DataFrame, phase1: int = 20) -> DataFrame:
+    """One row: observations seen, active series, series in phase 1 and in phase 2 of their chart, decisions made.
+
+    A series' window closes when its run changes; phase 1 is over once ``phase1`` windows have closed.
+    """
+    seen = rows.where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')")
+    turned = F.lag("run_id").over(Window.partitionBy("series").orderBy("ord")) != F.col("run_id")
+    per = seen.select("series", turned.alias("t")).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("closed"))
+    per = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("observations"), F.count(F.lit(1)).alias("active"), F.count_if(F.col("closed") < phase1).alias("in_phase1"),
+        F.count_if(F.col("closed") >= phase1).alias("in_phase2"),
+    )
+    return per.crossJoin(decisions.agg(F.count(F.lit(1)).alias("decisions")))  # one row each
+
+
 def window_means(stream: DataFrame, delay: str = "10 minutes", window: str = "1 day") -> DataFrame:
     """(series, start, x): tumbling-window means by event time with a watermark, from (series, ts, x)."""
     g = stream.withWatermark("ts", delay).groupBy(F.window("ts", window), "series").agg(F.avg("x").alias("x"), F.count("x").alias("n"))
