@@ -135,19 +135,12 @@ def aud_verify(spark, sf):
 def aud_replay(spark, sf):
     c = _chain(spark, sf)
     line = F.to_json(F.struct("seq", "entry_hash"))
-    n = F.max("idx").over(_all())
-    d = c.select("idx", line.alias("line")).withColumn("n", n)
+    d = c.select("idx", line.alias("line")).crossJoin(c.agg(F.max("idx").alias("n")))  # one row on the right
     return audit.replay(d.select("idx", F.when(F.col("idx") == F.col("n"), F.substring("line", 1, 9)).otherwise(F.col("line")).alias("line"))).select("idx", "status")
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def aud_emit(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("detail"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("start"), F.substring("text", 1, 300)).alias("tags"))
+    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("detail"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("last"), F.substring_index("text", "\n", -1)).alias("tags"))
     return audit.check_events(d).select("doc_id", "status", F.coalesce("blob", F.lit("")).alias("blob"))
 
 
@@ -326,7 +319,7 @@ ORACLES = {
     "pool_ops": f"WITH {B.POOL} SELECT 'repeated_ids' AS finding, count(*) AS n FROM pool WHERE id % 2 = 0",
     "pool_record_exposure": f"WITH {B.POOL} SELECT id, exposure_count + (SELECT count(*) FROM lineitem WHERE l_partkey = id) AS exposure_count FROM pool",
     "cal_schema": f"WITH {B.POOL} SELECT 'discrimination' AS finding, count(*) AS n FROM pool WHERE discrimination - 0.6::DOUBLE <= 0",
-    "aud_emit": "SELECT doc_id, CASE WHEN octet_length(encode(substr(text, 1, 300))) > 256 THEN 'tag_too_long' ELSE 'ok' END AS status, CASE WHEN octet_length(encode(text)) > 4096 THEN sha256(text) ELSE '' END AS blob FROM documents",
+    "aud_emit": "SELECT doc_id, CASE WHEN octet_length(encode(string_split(text, chr(10))[-1])) > 256 THEN 'tag_too_long' ELSE 'ok' END AS status, CASE WHEN octet_length(encode(text)) > 4096 THEN sha256(text) ELSE '' END AS blob FROM documents",
     "aud_verify": "SELECT * FROM (VALUES (17, 'entry_hash'), (40, 'seq_gap'), (41, 'seq_gap'), (61, 'parent_mismatch'), (61, 'seq_gap')) v(idx, finding)",
     "aud_replay": "SELECT max(event_id) - 1 AS idx, 'truncated' AS status FROM events",
     "blob_store": "SELECT DISTINCT sha256(text) AS sha, octet_length(encode(text)) AS bytes FROM documents",
