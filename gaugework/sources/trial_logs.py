@@ -142,10 +142,11 @@ def from_eval_logs(docs: DataFrame, now: int | None = None) -> DataFrame:
     scores = F.from_json(F.get_json_object("sample", "$.scores"), "map<string,string>")
     d = docs.select(
         "path", F.coalesce(F.get_json_object(c, "$.eval.run_id"), F.sha2("content", 256)).alias("run"), F.coalesce(F.get_json_object(c, "$.eval.task_id"), F.get_json_object(c, "$.eval.task"), F.lit("")).alias("task_id"),
-        F.get_json_object(c, "$.eval.model").alias("agent_id"), over(held(c, "$.metadata"), held(c, "$.eval.metadata")).alias("meta"), F.posexplode(sample).alias("n", "sample"),
+        F.get_json_object(c, "$.eval.model").alias("agent_id"), over(held(c, "$.metadata"), held(c, "$.eval.metadata")).alias("meta"), sample.alias("samples"),
     )
-    d = d.withColumn("scores", scores).where("scores IS NOT NULL")
-    entries = F.array_sort(F.map_entries("scores"))
+    # what a document says is read before its samples are laid out: behind that it would be read again for each of them
+    d = d.select("path", "run", "task_id", "agent_id", "meta", F.posexplode("samples").alias("n", "sample"))
+    entries = F.array_sort(F.map_entries(scores))
     d = d.select("*", F.posexplode(entries).alias("k", "e")).withColumn("scorer", F.col("e.key")).withColumn("score", F.col("e.value"))
     uuid, sid, epoch = F.get_json_object("sample", "$.uuid"), F.get_json_object("sample", "$.id"), F.coalesce(F.get_json_object("sample", "$.epoch"), F.lit("1"))
     raw = F.to_json(F.try_variant_get(F.try_parse_json("score"), "$.value", "variant"))
