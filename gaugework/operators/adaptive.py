@@ -5,6 +5,7 @@ Items: (id, difficulty, discrimination, exposure_count if an exposure rule is us
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ from .items import information
 GRID = np.linspace(-4, 4, 61)
 #: Items that a task holds at most: three numbers each.
 POOL_MOST = 1_000_000
+#: States of tests that a worker remembers, some 2 kB each.
+STATES = 1 << 14
 #: Stretches of ability over which items are compared before they are sent out.
 STRETCHES = 64
 
@@ -76,14 +79,15 @@ class Session:
     def __init__(self, bank: Bank, plan: Plan, person="") -> None:
         self.bank, self.plan, self.person = bank, plan, person
         self.post = np.exp(-(GRID**2) / 2)
-        self.used = np.zeros(len(bank.a), bool)
+        self.places: list[int] = []
         self.given: list = []
         self.history: list[float] = []
         self.theta, self.se, self.done = 0.0, 1.0, False
         self.total = np.zeros(plan.points)
 
     def _allowed(self) -> np.ndarray:
-        free, p = ~self.used, self.plan
+        free, p = np.ones(len(self.bank.a), bool), self.plan
+        free[self.places] = False
         if p.exposure == "none":
             return free
         below = self.bank.exposure < p.limit
@@ -93,13 +97,9 @@ class Session:
                 below[i] = _draw(p.seed, self.person, step, "exposure", self.bank.ids[i]) < p.chance
         return free & below
 
-    def next_item(self):
-        """The id of the item to give; LookupError without any, RuntimeError after the end."""
-        if self.done:
-            raise RuntimeError("the test is over")
+    def best(self) -> np.ndarray:
+        """Places in the bank of the items of which one comes next, the best first; none if no items are left."""
         free = self._allowed()
-        if not free.any():
-            raise LookupError("no items are left")
         a, b, p = self.bank.a, self.bank.b, self.plan
         if p.select == "max_info":
             q = 1 / (1 + np.exp(-a * (self.theta - b)))
@@ -110,8 +110,20 @@ class Session:
                 q = 1 / (1 + np.exp(-a * (t - b)))
                 worth = np.minimum(worth, have + a * a * q * (1 - q))
         worth = np.where(free, worth, -1.0)
-        best = np.argsort(-worth, kind="stable")[: min(p.choices, int(free.sum()))]
-        return self.bank.ids[int(best[int(_draw(p.seed, self.person, len(self.given), "pick") * len(best))])]
+        return np.argsort(-worth, kind="stable")[: min(p.choices, int(free.sum()))]
+
+    def pick(self, best: np.ndarray, person) -> int:
+        """The place of the item that a person gets of ``best``."""
+        return int(best[int(_draw(self.plan.seed, person, len(self.given), "pick") * len(best)) if len(best) > 1 else 0])
+
+    def next_item(self):
+        """The id of the item to give; LookupError without any, RuntimeError after the end."""
+        if self.done:
+            raise RuntimeError("the test is over")
+        best = self.best()
+        if not len(best):
+            raise LookupError("no items are left")
+        return self.bank.ids[self.pick(best, self.person)]
 
     def record(self, item, right: bool) -> bool:
         """Takes an answer; true once the test is over. An item that the bank lacks is a KeyError."""
@@ -127,7 +139,7 @@ class Session:
         if self.plan.select == "minimax":
             q = 1 / (1 + np.exp(-a * (np.linspace(self.plan.low, self.plan.high, self.plan.points) - b)))
             self.total = self.total + a * a * q * (1 - q)
-        self.used[i] = True
+        self.places.append(i)
         self.given.append(item)
         self.history.append(self.theta)
         n = len(self.given)
@@ -135,6 +147,56 @@ class Session:
         return self.done
 
 
+class Tests:
+    """Many people's tests by one plan. Which items can come next depends on the answers so far and not on the person (but for a
+    chance at each step), so a state that several people reach is worked out once. STATES of them are remembered, the others made anew.
+    """
+
+    class State:
+        def __init__(self, session: Session) -> None:
+            self.session, self.after = session, {}
+            self.best = None if session.done else session.best()
+
+    def __init__(self, bank: Bank, plan: Plan) -> None:
+        self.bank, self.plan, self.made, self.held = bank, plan, 1, 1
+        self.first = Tests.State(Session(bank, plan))
+
+    def _next(self, state: State, i: int, right: bool) -> State:
+        found = state.after.get((i, right))
+        if found is None:
+            session = copy.copy(state.session)
+            session.places, session.given, session.history = [*session.places], [*session.given], [*session.history]
+            session.record(self.bank.ids[i], right)
+            found = Tests.State(session)
+            self.made += 1
+            if self.held < STATES:
+                self.held += 1
+                state.after[i, right] = found
+        return found
+
+    def run(self, answer, person="") -> Session:
+        """As run_session; the session is shared and not to be changed."""
+        if self.plan.exposure == "conditional":
+            return run_session(self.bank, self.plan, answer, person)
+        state = self.first
+        while not state.session.done and len(state.best):
+            i = state.session.pick(state.best, person)
+            state = self._next(state, i, bool(answer(self.bank.ids[i], self.bank.a[i], self.bank.b[i])))
+        return state.session
+
+
+_tests: dict[int, Tests] = {}
+
+
+def _tests_of(shared, plan: Plan) -> Tests:
+    """One a Python worker and broadcast bank, so that what is remembered outlives a task."""
+    key = id(shared.value)
+    if key not in _tests or _tests[key].bank is not shared.value:
+        _tests.clear()
+        _tests[key] = Tests(shared.value, plan)
+    return _tests[key]
+
+
 def run_session(bank: Bank, plan: Plan, answer, person="") -> Session:
     """A whole test; answer(id, discrimination, difficulty) tells whether an item is solved. It also ends when no item is left."""
     s = Session(bank, plan, person)
@@ -160,23 +222,56 @@ def contenders(pool: DataFrame, plan: Plan) -> DataFrame:
     if plan.exposure == "max":
         pool = pool.where(F.col("exposure_count") < plan.limit)
     need = max(plan.most, plan.least) + plan.choices - 1
+    if plan.select == "max_info":  # first, as it needs no shuffle of the pool
+        pool = _reaching(pool, need)
     same = Window.partitionBy("discrimination", "difficulty").orderBy("id")
-    d = pool.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= need).drop("_n")
-    if plan.select != "max_info":
-        return d
-    wide = 8.0 / STRETCHES
-    info = lambda t: information(t, F.col("discrimination"), F.col("difficulty"))
-    ends = d.select("id", "discrimination", "difficulty", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES - 1))).alias("s")).withColumn("x", F.col("s") * wide - 4)
-    lows = ends.select("id", "s", F.least(info(F.col("x")), info(F.col("x") + wide)).alias("least"))
-    lows = lows.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("least"), "id"))).where(F.col("n") <= need)
-    floors = {r["s"]: r["floor"] for r in lows.groupBy("s").agg(F.min("least").alias("floor"), F.count("s").alias("c")).where(F.col("c") >= need).collect()}  # a row a stretch
-    table = F.array(*[F.struct(F.lit(i * wide - 4).alias("x"), F.lit(floors.get(i, 0.0) - 1e-9).alias("floor")) for i in range(STRETCHES)])
+    return pool.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= need).drop("_n")
+
 
-    def reaches(g):
-        inside = F.col("difficulty").between(g["x"], g["x"] + wide)
-        return F.when(inside, F.col("discrimination") * F.col("discrimination") / 4).otherwise(F.greatest(info(g["x"]), info(g["x"] + wide))) >= g["floor"]
+def _reaching(pool: DataFrame, need: int) -> DataFrame:
+    """The items that are among the ``need`` most informative ones at some ability, and perhaps others."""
+    ends = np.linspace(-4, 4, STRETCHES + 1)
 
-    return d.where(F.exists(table, reaches))
+    def at_ends(batch):
+        """Discrimination, difficulty (null: not a number) and the information at the ends of the stretches."""
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[:, None] for c in ("_a", "_b"))
+        with np.errstate(over="ignore"):
+            p = 1 / (1 + np.exp(-a * (ends - b)))
+        return a, b, a * a * p * (1 - p)
+
+    def pieces(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 8192):
+                yield batch.slice(first, 8192)
+
+    def lows(batches):
+        import pyarrow as pa
+
+        top = np.full((0, STRETCHES), -1.0)
+        for batch in pieces(batches):
+            info = np.nan_to_num(at_ends(batch)[2], nan=-1.0)
+            top = np.concatenate([top, np.minimum(info[:, :-1], info[:, 1:])])
+            if len(top) > need:
+                top = np.partition(top, len(top) - need, axis=0)[-need:]
+        yield pa.RecordBatch.from_pydict({"s": pa.array(np.tile(np.arange(STRETCHES, dtype=np.int32), len(top))), "least": pa.array(top.ravel())})
+
+    numbers = [F.col(c).cast("double").alias(n) for c, n in (("discrimination", "_a"), ("difficulty", "_b"))]
+    found = pool.select(*numbers).mapInArrow(lows, "s int, least double").where("least >= 0")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("least")))).where(F.col("n") == need)
+    floors = np.zeros(STRETCHES)
+    for r in found.collect():  # a row a stretch
+        floors[r["s"]] = r["least"]
+    floors -= 1e-9
+
+    def reach(batches):
+        for batch in pieces(batches):
+            a, b, info = at_ends(batch)
+            most = np.maximum(info[:, :-1], info[:, 1:])
+            most = np.where((b >= ends[:-1]) & (b <= ends[1:]), a * a / 4, most)
+            yield batch.select(columns).filter((most >= floors).any(axis=1))
+
+    columns = pool.columns
+    return pool.select("*", *numbers).mapInArrow(reach, pool.schema)
 
 
 def adaptive_tests(pool: DataFrame, people: DataFrame, most: int, least: int = 3, se_stop: float = 0.3, seed: int = 0, top: int = 1, answer=None, **more) -> DataFrame:
@@ -201,15 +296,17 @@ def adaptive_tests(pool: DataFrame, people: DataFrame, most: int, least: int = 3
     def run(batches):
         import pandas as pd
 
+        tests = _tests_of(shared, plan)
         for batch in batches:
             out = []
             for person, true in zip(batch["person"], batch["theta"]):
-                s = run_session(shared.value, plan, lambda item, a, b, p=person, t=true: solved(seed, p, t, item, a, b), person)
+                s = tests.run(lambda item, a, b, p=person, t=true: solved(seed, p, t, item, a, b), person)
                 out.append((person, len(s.given), s.theta, s.se))
             yield pd.DataFrame(out, columns=["person", "n", "theta", "se"])
 
     kind = dict(people.dtypes)["person"]
-    return people.select("person", "theta").mapInPandas(run, f"person {kind}, n int, theta double, se double")
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return people.select("person", "theta").repartition(parts).mapInPandas(run, f"person {kind}, n int, theta double, se double")
 
 
 def select_minimax(pool: DataFrame, n: int, points: int = 31) -> list:

@@ -64,3 +64,15 @@ def test_minimax_equals_a_loop(spark):
         total = total + info(left.pop(best[0]))
         want.append(best[0])
     assert A.select_minimax(pool, 4) == want and len(A.select_minimax(pool.limit(2), 5)) == 2
+
+
+def test_a_state_is_worked_out_once():
+    rng = random.Random(8)
+    own = A.Bank.of([(i, rng.choice([0.6, 1.0, 1.8]), rng.gauss(0, 1.5), 0) for i in range(200)])
+    for plan in (A.Plan(6, least=2, seed=4), A.Plan(3, least=2, seed=4, top=2)):
+        tests = A.Tests(own, plan)
+        for person in range(1500):
+            answer = lambda item, a, b, p=person: A._draw(4, p, item, "answer") < 1 / (1 + np.exp(-a * ((p % 7) / 2 - 1.5 - b)))
+            got, want = tests.run(answer, person), A.run_session(own, plan, answer, person)
+            assert (got.given, got.history, got.theta, got.se) == (want.given, want.history, want.theta, want.se)
+        assert tests.made == tests.held <= sum((2 * plan.top) ** k for k in range(plan.most + 1))
