@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 
+#: Answers of different patterns in a partition that calibration goes over, about.
+BLOCK = 1 << 18
 
 def probability(theta, a: Column, b: Column) -> Column:
     return 1 / (1 + F.exp(-a * (theta - b)))
@@ -138,33 +140,29 @@ def record_exposure(pool: DataFrame, given: DataFrame) -> DataFrame:
 def calibrate_2pl(responses: DataFrame, rounds: int = 100, points: int = 21, tol: float = 1e-6) -> DataFrame:
     """(item, discrimination, difficulty) by marginal maximum likelihood: EM over a grid of abilities.
 
-    E step: each person's posterior on the grid, one aggregate. The expected counts by item and grid point
-    are a second aggregate; the M step is a few Newton steps on those (items x points) rows. EM ends when a round
-    changes the marginal log likelihood by less than tol, or after ``rounds``. Items with a discrimination at or
-    under 0 are dropped.
+    People with the same answers count as one with a weight, and their answers lie packed in blocks. A round is one pass over
+    the blocks: the E step gives each pattern's posterior on the grid and sums the expected counts by item and grid point; the M
+    step is a few Newton steps on those (items x points) numbers. EM ends when a round changes the marginal log likelihood
+    by less than tol, or after ``rounds``. Items with a discrimination at or under 0 are dropped. Answers without a person, an item
+    or a y count for nothing.
     """
-    spark = responses.sparkSession
-    n = responses.select("item", "person", F.col("y").cast("double").alias("y")).persist()
+    spark, kind = responses.sparkSession, dict(responses.dtypes)["item"]
+    n = responses.where("item IS NOT NULL AND person IS NOT NULL AND y IS NOT NULL")
     ids = [r["item"] for r in n.select("item").distinct().orderBy("item").collect()]
     a, b = np.ones(len(ids)), np.zeros(len(ids))
     grid = np.linspace(-4, 4, points)
+    packed, parts = _packed_answers(n, ids, kind)
     last = None
-    for _ in range(rounds):
-        items = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in zip(ids, a, b)], f"item {dict(n.dtypes)['item']}, a double, b double")
-        met = n.join(items, "item").crossJoin(F.broadcast(theta_grid(spark, points)))
-        p = probability(F.col("theta"), F.col("a"), F.col("b"))
-        ll = met.groupBy("person", "theta").agg((F.sum(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)) - F.col("theta") ** 2 / 2).alias("l"))
-        w = Window.partitionBy("person")
-        post = ll.withColumn("w", F.exp(F.col("l") - F.max("l").over(w))).withColumn("z", F.sum("w").over(w))
-        post = post.select("person", "theta", (F.col("w") / F.col("z")).alias("w"), (F.max("l").over(w) + F.log("z")).alias("ll")).persist()
-        total = post.agg(F.sum("ll")).first()[0]
-        cells = n.join(post, "person").groupBy("item", "theta").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("r")).collect()
-        post.unpersist()
-        place = {i: k for k, i in enumerate(ids)}
-        at = {round(t, 9): k for k, t in enumerate(grid)}
-        size, right = np.zeros((len(ids), points)), np.zeros((len(ids), points))
-        for c in cells:
-            size[place[c["item"]], at[round(c["theta"], 9)]], right[place[c["item"]], at[round(c["theta"], 9)]] = c["n"], c["r"]
+    for _ in range(rounds if ids else 0):
+        found = packed.mapInArrow(_expected(a, b, grid), "k int, sums binary")
+        if parts > 1:
+            found = found.repartition(min(parts, 16), "k").mapInArrow(_summed, "k int, sums binary")
+        size, right, total = np.zeros((len(ids), points)), np.zeros((len(ids), points)), 0.0
+        for k, raw in found.collect():
+            if k < 0:
+                total = float(np.frombuffer(raw)[0])
+            else:
+                size[k], right[k] = np.frombuffer(raw).reshape(2, points)
         for _ in range(4):
             p_ = 1 / (1 + np.exp(-a[:, None] * (grid - b[:, None])))
             d, v = right - size * p_, size * p_ * (1 - p_)
@@ -174,11 +172,84 @@ def calibrate_2pl(responses: DataFrame, rounds: int = 100, points: int = 21, tol
             det = np.maximum(haa * hbb - hab**2, 1e-9)
             a = np.clip(a + np.clip((hbb * ga - hab * gb) / det, -0.5, 0.5), -4, 4)
             b = np.clip(b + np.clip((haa * gb - hab * ga) / det, -0.5, 0.5), -6, 6)
-        if total is None or (last is not None and abs(total - last) / points < tol):  # a person has one row a point
+        if last is not None and abs(total - last) < tol:
             break
         last = total
-    n.unpersist()
-    return spark.createDataFrame([(i, float(x), float(y)) for i, x, y in zip(ids, a, b)], f"item {dict(responses.dtypes)['item']}, discrimination double, difficulty double").where("discrimination > 0")
+    packed.unpersist()
+    return spark.createDataFrame([(i, float(x), float(y)) for i, x, y in zip(ids, a, b)], f"item {kind}, discrimination double, difficulty double").where("discrimination > 0")
+
+
+def _packed_answers(answers: DataFrame, ids: list, kind: str) -> tuple[DataFrame, int]:
+    """Blocks of different answer patterns, persisted, and their partitions. A block has its patterns' weights and lengths, and of
+    each answer in them the item's number, how often it was answered and the sum of y."""
+    import pyarrow as pa
+
+    spark = answers.sparkSession
+    numbers = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], f"item {kind}, k int")
+    own = answers.join(numbers, "item").groupBy("person", "k").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("y").cast("double")).alias("r"))
+    patterns = own.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("k", "n", "r"))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    patterns = patterns.persist()
+    answered = patterns.agg(F.sum(F.size("p"))).first()[0] or 0
+    parts = int(answered // BLOCK) + 1
+    names = ["w", "lengths", "k", "n", "r"]
+
+    def pack(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                piece = batch.slice(first, 4096)
+                p = piece.column("p")
+                flat, lengths = p.flatten(), np.diff(p.offsets.to_numpy())
+                cols = [piece.column("w").to_numpy(), lengths.astype(np.int32), *(flat.field(i).to_numpy() for i in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names)
+
+    packed = patterns.coalesce(1) if parts == 1 else patterns.repartition(parts)
+    packed = packed.mapInArrow(pack, ", ".join(f"{c} binary" for c in names)).persist()
+    packed.count()
+    patterns.unpersist()
+    return packed, parts
+
+
+def _expected(a: np.ndarray, b: np.ndarray, grid: np.ndarray):
+    """Of blocks, by item's number: how often it is answered and solved at each point, as expected; by -1: the log likelihood."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        x = a[:, None] * (grid - b[:, None])
+        solve, fail = -np.logaddexp(0, -x), -np.logaddexp(0, x)
+        sums, seen, total = np.zeros((2, *x.shape)), np.zeros(len(a), bool), 0.0
+        for batch in batches:
+            for w, lengths, k, n, r in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                w, lengths, k, n, r = np.frombuffer(w), np.frombuffer(lengths, np.int32), np.frombuffer(k, np.int32), np.frombuffer(n), np.frombuffer(r)
+                starts = np.cumsum(lengths) - lengths
+                ll = np.add.reduceat(r[:, None] * solve[k] + (n - r)[:, None] * fail[k], starts) - grid**2 / 2
+                top = ll.max(1, keepdims=True)
+                post = np.exp(ll - top)
+                z = post.sum(1, keepdims=True)
+                total += float(w @ (top + np.log(z))[:, 0])
+                post = np.repeat(post * (w[:, None] / z), lengths, axis=0)
+                order = np.argsort(k, kind="stable")
+                own, first = np.unique(k[order], return_index=True)
+                seen[own] = True
+                for part, times in zip(sums, (n, r)):
+                    part[own] += np.add.reduceat((post * times[:, None])[order], first)
+        some = np.flatnonzero(seen)
+        rows = [sums[:, i].tobytes() for i in some] + [np.array([total]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(rows, pa.binary())], ["k", "sums"])
+
+    return run
+
+
+def _summed(batches):
+    """One row of sums for each k."""
+    import pyarrow as pa
+
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist()):
+            part = np.frombuffer(raw)
+            sums[k] = sums[k] + part if k in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["k", "sums"])
 
 
 def principal_factors(wide: DataFrame, columns: list[str], factors: int) -> tuple[np.ndarray, np.ndarray]:

@@ -75,3 +75,23 @@ def test_calibration_runs_until_it_stands_still(spark):
     assert got.keys() == want.keys()
     for i, v in want.items():
         assert got[i] == pytest.approx(v, abs=5e-3), i
+
+
+def test_a_round_of_calibration_is_one_pass(spark, monkeypatch):
+    """Few jobs a round, the same results in several partitions, and people with the same answers, or with gaps, count in full."""
+    from gaugework.operators import items
+
+    rows = [tuple(r) for r in B.responses(spark, SF).collect()]
+    rows += [(p + 10_000, i, y) for p, i, y in rows if p % 3 == 0]
+    want, _ = calibrate(rows, most=8)
+    answers = spark.createDataFrame([*rows, (None, rows[0][1], 1), (1, None, 1), (1, rows[0][1], None)], "person bigint, item string, y int")
+    for block in (1 << 18, 200):
+        monkeypatch.setattr(items, "BLOCK", block, raising=False)
+        spark.sparkContext.setJobGroup(f"calibrate-{block}", "")
+        got = {r["item"]: (r["discrimination"], r["difficulty"]) for r in items.calibrate_2pl(answers, rounds=8).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"calibrate-{block}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got.keys() == want.keys()
+        for i, v in want.items():
+            assert got[i] == pytest.approx(v, abs=1e-9), i
+        assert jobs < 24 + 2 * 8, jobs
