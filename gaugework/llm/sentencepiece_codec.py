@@ -70,17 +70,26 @@ def read_pieces(content: bytes) -> Pieces:
 
 
 def trie_of(pieces: Pieces) -> dict:
-    """Pieces as paths of characters: a node maps characters to nodes, and PIECE to the (score, id) of the piece that ends there."""
+    """Pieces as paths of characters. A node maps characters to steps (the next node, null where no longer piece goes on; the score
+    of the piece that ends there, NONE without one; its id)."""
     root: dict = {}
     for piece, hit in pieces.score.items():
         node = root
-        for ch in piece:
-            node = node.setdefault(ch, {})
-        node[PIECE] = hit
+        for ch in piece[:-1]:
+            node = node.setdefault(ch, [{}, NONE, -1])[0]
+        node.setdefault(piece[-1], [{}, NONE, -1])[1:] = hit
+    open_ = [root]
+    while open_:
+        node = open_.pop()
+        for ch, (after, score, id_) in node.items():
+            node[ch] = after or None, score, id_
+            open_.append(after)
     return root
 
 
-PIECE = ""
+NONE = -math.inf
+#: The step for a character that begins no piece.
+ABSENT = None, NONE, -1
 
 
 class Viterbi:
@@ -102,33 +111,27 @@ class Viterbi:
         out = array("i")
         best, back, live, n, due, root = self.best, self.back, self.live, len(self.best) - 1, self.due, self.trie.get
         for ch in text:
-            top, link, grown = -1e300, None, []
+            top, grown = -1e300, []
             for node, start, score in live:  # older boundaries first: of equal scores the longer piece wins
-                node = node.get(ch)
-                if node is not None:
-                    if PIECE in node:
-                        s, id_ = node[PIECE]
-                        s += score
-                        if s > top:
-                            top, link = s, (start, id_)
-                        if len(node) > 1:
-                            grown.append((node, start, score))
-                    else:
+                step = node.get(ch)
+                if step is not None:
+                    node, s, id_ = step
+                    s += score
+                    if s > top:
+                        top, origin, what = s, start, id_
+                    if node is not None:
                         grown.append((node, start, score))
-            node, score = root(ch), best[n]
-            if node is None or PIECE not in node:  # the character is no piece
-                s = score + FALLBACK * len(ch.encode())
-                if s > top:
-                    top, link = s, (n, ch)
-            else:
-                s, id_ = node[PIECE]
-                s += score
-                if s > top:
-                    top, link = s, (n, id_)
-            if node is not None and (len(node) > 1 or PIECE not in node):
+            score = best[n]
+            node, s, id_ = root(ch, ABSENT)
+            if s == NONE:  # the character is no piece
+                s, id_ = FALLBACK * len(ch.encode()), ch
+            s += score
+            if s > top:
+                top, origin, what = s, n, id_
+            if node is not None:
                 grown.append((node, n, score))
             best.append(top)
-            back.append(link)
+            back.append((origin, what))
             live = grown
             n += 1
             if not live:  # only the new boundary survives
