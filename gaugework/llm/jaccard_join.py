@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Bloom, Rolling, blocks, components, materialize, mix64, salted_join, salted_lookup, utf8
+from .shared import Bloom, Rolling, blocks, components, frugal, materialize, mix64, salted_join, salted_lookup, utf8
 
 BLOCK = 1 << 20
 #: Counters of the sketch that tells hot shingles and the segments it is summed in; hot: over WELL + TIMES the mean counter.
@@ -501,7 +501,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold, parts: int, differe
     carried = needs.join(sets, "node").select("deal", F.col("node").alias("a"), none.cast("int").alias("na"), none.cast("bigint").alias("b"), none.cast("int").alias("nb"), "members")
     rows = carried.unionByName(dealt.withColumn("members", F.array().cast("array<bigint>")))
     met = rows.repartition(parts, "deal").sortWithinPartitions("deal", F.col("b").asc_nulls_first())
-    return met.mapInArrow(_measure(t, differences, keep), VERIFIED)
+    return met.mapInArrow(frugal(_measure(t, differences, keep)), VERIFIED)
 
 
 class _Join:
@@ -513,7 +513,7 @@ class _Join:
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None).cast("binary") if mark is None else mark).alias("mark"))
         self.seed = 0
         while True:  # classes are verified by a second hash; should two sets share one, they are made anew
-            scanned = materialize(self.texts.mapInArrow(_scan(k, self.seed), SCAN), "shingle-scan")
+            scanned = materialize(self.texts.mapInArrow(frugal(_scan(k, self.seed)), SCAN), "shingle-scan")
             self.facts = scanned.where("segment IS NULL").drop("segment", "counts")
             known = self.facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), (F.min("twin") != F.max("twin")).alias("several"))
             self.classes = materialize(known, "classes")
@@ -522,16 +522,16 @@ class _Join:
             self.seed += 1
         sums = scanned.where("segment IS NOT NULL").select("segment", "counts").repartition(SEGMENTS, "segment")
         bits = np.zeros(COUNTERS // 8, np.uint8)
-        for g, raw in sums.mapInArrow(_hot_bits, "segment int, bits binary").collect():  # 64 kB in all
+        for g, raw in sums.mapInArrow(frugal(_hot_bits), "segment int, bits binary").collect():  # 64 kB in all
             part = np.frombuffer(raw, np.uint8)
             bits[g * len(part) : (g + 1) * len(part)] = part
         self.order = self.spark.sparkContext.broadcast(Order(bits, self.t.counted()))
 
     def entries(self) -> DataFrame:
         """The index: (shingle, node, n, pos) of the prefixes, without what one class has alone of the counted."""
-        rows = self.texts.select("text").mapInArrow(_index(self.k, self.t, self.order, self.seed), "shingle bigint, node bigint, place int")
+        rows = self.texts.select("text").mapInArrow(frugal(_index(self.k, self.t, self.order, self.seed)), "shingle bigint, node bigint, place int")
         spread = F.when(F.col("place") < 0, F.xxhash64("node", "shingle")).otherwise(F.col("shingle"))
-        rows = rows.repartition(self.parts, spread).sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle bigint, node bigint, place int, classes int")
+        rows = rows.repartition(self.parts, spread).sortWithinPartitions("shingle", "node").mapInArrow(frugal(_shared), "shingle bigint, node bigint, place int, classes int")
         own, counted = Window.partitionBy("node"), F.col("place") >= 0
         rows = rows.join(self.classes.select("node", "n"), "node")
         nth, all_ = F.row_number().over(own.orderBy((~counted).cast("int"), "classes", "shingle")), F.sum(counted.cast("int")).over(own)
@@ -549,14 +549,14 @@ class _Join:
         known = materialize(self.sketches(ends), "pair-sketches")
         for side in "ab":
             pairs = salted_join(pairs, side, known.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")))
-        return materialize(pairs.mapInArrow(_close(self.t), PAIR), "close-pairs")
+        return materialize(pairs.mapInArrow(frugal(_close(self.t)), PAIR), "close-pairs")
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(node, members) of the classes in the pairs, from one text of each."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         asked = Bloom.of(self.classes.join(nodes, "node", "left_semi").select(F.coalesce("least", F.lit(NULL_ID)).alias("id")))
         texts = self.texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-        return texts.mapInArrow(_sets(self.k, self.seed, self.spark.sparkContext.broadcast(asked)), "node bigint, members array<bigint>")
+        return texts.mapInArrow(frugal(_sets(self.k, self.seed, self.spark.sparkContext.broadcast(asked))), "node bigint, members array<bigint>")
 
     def _reaches(self, n, i, m, j):
         """Whether entries (size, position) may belong to similar sets."""
@@ -590,7 +590,7 @@ class _Join:
         probes = rows.where("root != most").select(F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "shingle", *same)
         probes = probes.select(F.xxhash64("shingle", "chunk").alias("deal"), *same, F.lit(True).alias("probe")).select(*ENTRY)
         dealt = base.unionByName(probes).repartition(self.parts, "deal").sortWithinPartitions("deal", "n", "pos", "node")
-        found = dealt.mapInArrow(_outside(self.t), PAIR)
+        found = dealt.mapInArrow(frugal(_outside(self.t)), PAIR)
         # a pair of two probes comes from either side
         low, high = (F.struct(F.col(x).alias("node"), F.col(n).alias("n")) for x, n in (("a", "na"), ("b", "nb")))
         turned = found.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -80,6 +81,23 @@ def salted_lookup(rows: DataFrame, keys: list[str], aggs: list, salts: int = 32)
     return left.join(right, same).select("l.*", *[F.col(f"r.{n}").alias(n) for n, _, _ in aggs]).drop("_salt")
 
 
+def frugal(run):
+    """``run``, a function for mapInArrow; at its end the worker gives the memory that it holds but does not use back to the system.
+
+    Workers live on between tasks, and what one step has needed would add to what the next one needs.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # -- Arrow columns as numpy arrays ---------------------------------------------------------------
 
 
@@ -278,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         parts = -(-edges.count() // EDGES)
         dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "b")
-        edges = materialize(dealt.mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
+        edges = materialize(dealt.mapInArrow(frugal(_forest), "a bigint, b bigint").distinct(), "edges")
         if parts <= 1 or settled(edges):
             break
         edges = materialize(star(materialize(star(edges, True), "edges"), False), "edges")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, blocks, utf8
+from .shared import Rolling, blocks, frugal, utf8
 
 #: Bounds of the labelled sample.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
@@ -219,4 +219,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFra
             data, at = utf8(batch.column("text"))
             yield batch.filter(pa.array(scores(shared.value, data, at, seen) < most))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
