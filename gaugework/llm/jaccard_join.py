@@ -15,7 +15,9 @@ and their differences from the leader are kept. What a leader has answered for t
 their distances from it bound the distance between them from both sides, and where the bounds leave it open,
 the symmetric difference of the two short differences is that of the sets, so the sets are not fetched again.
 The question is what links reach, so a list whose sets are all in one component is done, and of the others only
-pairs between components are looked at. No candidate is dropped otherwise, and every link is exact.
+pairs between components are looked at. Where a list has very many such pairs, each set is first asked for its nearest
+ones; the rest is looked at again once these links have joined components, with more pairs each time, until a pass has
+left none out. No candidate is dropped otherwise, and every link is exact.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ COUNTED, MANY = 2.5, 4096
 #: Entries of a list that are compared in one place, members of sets that are verified in one place, pairs held at once.
 CHUNK, LOAD, PAIRS = 4096, 1 << 20, 1 << 20
 #: Rounds with leaders, leaders of a list in each; a difference from one is kept if it has at most the share KEPT of both sets.
-ROUNDS, LEADERS, KEPT = 2, 4, 0.25
+ROUNDS, LEADERS, KEPT = 1, 4, 0.25
+#: Pairs that a set is asked for in the first pass over a list that has more than FEW pairs, and more than that many a set; GROWTH times as many in each later pass.
+NEAREST, FEW, GROWTH = 2, 4096, 8
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: Words longer than this are hashed on their own: a polynomial modulo 2**64 has known collisions from 1024 bytes on.
@@ -323,19 +327,22 @@ class Sketches:
         place, words = self.tables[size]
         return words[place[rows]]
 
-    def close(self, t: Threshold, x: np.ndarray, y: np.ndarray, other: Sketches, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Whether rows x here and y there may be similar: sizes n and m. Sketch sizes differ by a factor of two at most there."""
-        most = n + m - 2 * t.shared(n, m)
+    def differ(self, x: np.ndarray, y: np.ndarray, other: Sketches) -> np.ndarray:
+        """Members that one of rows x here and y there has, at least. Sketch sizes differ by a factor of two at most where it is not 0."""
         size, far = np.minimum(self.size[x], other.size[y]), np.maximum(self.size[x], other.size[y])
-        ok = far > 2 * size  # possible for small thresholds only: not told apart here
-        for one in np.unique(size[~ok]):
-            rows = np.flatnonzero((size == one) & ~ok)
+        found = np.zeros(len(x), np.int64)
+        told = far <= 2 * size  # else possible for small thresholds only
+        for one in np.unique(size[told]):
+            rows = np.flatnonzero((size == one) & told)
             step = max(1, (PAIRS << 2) // int(one))
             for i in range(0, len(rows), step):
                 r = rows[i : i + step]
-                differ = np.bitwise_count(self._table(int(one), x[r]) ^ other._table(int(one), y[r])).sum(1, dtype=np.int64)
-                ok[r] = differ <= most[r]
-        return ok
+                found[r] = np.bitwise_count(self._table(int(one), x[r]) ^ other._table(int(one), y[r])).sum(1, dtype=np.int64)
+        return found
+
+    def close(self, t: Threshold, x: np.ndarray, y: np.ndarray, other: Sketches, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether rows x here and y there may be similar: sizes n and m."""
+        return self.differ(x, y, other) <= n + m - 2 * t.shared(n, m)
 
 
 def _close(t: Threshold):
@@ -354,8 +361,21 @@ def _close(t: Threshold):
     return run
 
 
-def _outside(t: Threshold):
-    """Pairs (entry, probe) of a deal whose components differ, block by block. Probes are searched among the other rows."""
+def nearest(cols: list[np.ndarray], each: int) -> list[np.ndarray]:
+    """Of pairs (entry, size, probe, size, distance) the ``each`` nearest of every probe; of equally near entries those whose hash is least."""
+    order = np.lexsort((mix64(cols[0].view(np.uint64)), cols[4], cols[2]))
+    probe = cols[2][order]
+    head = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
+    nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return [c[order[nth < each]] for c in cols]
+
+
+def _outside(t: Threshold, each: int | None):
+    """Pairs (entry, probe) of a deal whose components differ, block by block. Probes are searched among the other rows.
+
+    each: a deal with more than FEW pairs, and more than ``each`` a row, gives the ``each`` nearest of every probe, and
+    the task a row with na -1 that says so. None: all pairs.
+    """
 
     def out(found):
         cols = [np.concatenate(c) for c in zip(*found)]
@@ -399,26 +419,50 @@ def _outside(t: Threshold):
                 other = p_root[x] != root[y]
                 x, y = x[other], y[other]
                 if len(x):
-                    ok = p_sketch.close(t, x, y, sketch, p_n[x], n[y])
-                    x, y = x[ok], y[ok]
+                    away = p_sketch.differ(x, y, sketch)
+                    ok = away <= p_n[x] + n[y] - 2 * t.shared(p_n[x], n[y])
+                    x, y, away = x[ok], y[ok], away[ok]
                 if len(x):
-                    yield node[y], n[y], p_node[x], p_n[x]
+                    yield node[y], n[y], p_node[x], p_n[x], away
                 done = upto
             at = stop
 
+    def cut(cols):
+        """(pairs, whether none is left out) of a deal, PAIRS or so at a time."""
+        most, held, size, total = max(FEW, each * len(cols[0])), [], 0, 0
+
+        def part():
+            pairs = [np.concatenate(c) for c in zip(*held)]
+            return (pairs, True) if total <= most else (nearest(pairs, each), False)
+
+        for pairs in one(cols):
+            held.append(pairs)
+            size += len(pairs[0])
+            total += len(pairs[0])
+            if size >= PAIRS:
+                yield part()
+                held, size = [], 0
+        if held:
+            yield part()
+
     def run(batches):
+        left = False
         for cols in _groups(batches, ENTRY):
             head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             found, size = [], 0
             for a, b in zip(head, np.append(head[1:], len(cols[0]))):
-                for pairs in one([c[a:b] for c in cols]):
-                    found.append(pairs)
+                deal = [c[a:b] for c in cols]
+                for pairs, whole in ((p, True) for p in one(deal)) if each is None else cut(deal):
+                    found.append(pairs[:4])
                     size += len(pairs[0])
+                    left |= not whole
                     if size >= PAIRS:
                         yield out(found)
                         found, size = [], 0
             if found:
                 yield out(found)
+        if left:
+            yield out([[np.zeros(1, np.int64), np.full(1, -1)] * 2])
 
     return run
 
@@ -564,25 +608,27 @@ class _Join:
         return (F.lit(self.t.den) * F.least(n, m) >= F.lit(self.t.num) * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
 
     def open_entries(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
-        """The entries of the lists that hold several components, with root, the list's most frequent one, and its size."""
+        """The entries of the lists that hold several components, with root, the list's most frequent one, its entries (held) and the list's size."""
         entries = materialize(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-entries")
         parts = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
         lists = parts.groupBy("shingle").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"))
-        lists = lists.where("kinds > 1").select("shingle", F.col("most.root").alias("most"), "size")
+        lists = lists.where("kinds > 1").select("shingle", F.col("most.root").alias("most"), F.col("most.size").alias("held"), "size")
         return materialize(salted_join(entries, "shingle", lists).where("size IS NOT NULL"), "open-entries")
 
     def with_leaders(self, rows: DataFrame, nth: int) -> DataFrame:
-        """Each set outside the most frequent component of a list with LEADERS of that component, chosen by hash."""
+        """Each set of a list with LEADERS of it of other components, chosen by hash: from the most frequent component, if
+        that has half of the list, and else from all sets, so that rounds differ while components are small."""
         own = [F.col(c) for c in ("node", "n", "pos", "root")]
-        leads = [F.struct((F.col("root") != F.col("most")).alias("other"), F.xxhash64(F.lit(nth * LEADERS + i), "node").alias("h"), *own) for i in range(LEADERS)]
+        leads = [F.struct(((F.col("root") != F.col("most")) & (2 * F.col("held") >= F.col("size"))).alias("other"), F.xxhash64(F.lit(nth * LEADERS + i), "node").alias("h"), *own) for i in range(LEADERS)]
         rows = salted_lookup(rows, ["shingle"], [(f"lead{i}", F.min(lead), F.min) for i, lead in enumerate(leads)])
         rows = rows.select(*[c for c in rows.columns if not c.startswith("lead")], F.explode(F.array(*[f"lead{i}" for i in range(LEADERS)])).alias("lead"))
         rows = rows.where("root != lead.root").where(self._reaches(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         return materialize(rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct(), "leader-pairs")
 
-    def between(self, rows: DataFrame) -> DataFrame:
-        """All candidates between components. Sets outside the most frequent component of a list are its probes; each
-        pair has one. A list of over CHUNK entries is dealt out in chunks, and its probes go to each."""
+    def between(self, rows: DataFrame, each: int | None = None) -> tuple[DataFrame, bool]:
+        """Candidates between components, and whether they are all. Sets outside the most frequent component of a list
+        are its probes; each pair has one. A list of over CHUNK entries is dealt out in chunks, and its probes go to
+        each. each: what a probe is asked for in lists with very many pairs; None: everything."""
         rows = materialize(salted_join(rows, "node", self.sketches(rows)), "open-entries")
         chunks = F.ceil(F.col("size") / CHUNK)
         same = ["node", "n", "pos", "root", "sketch"]
@@ -590,11 +636,12 @@ class _Join:
         probes = rows.where("root != most").select(F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "shingle", *same)
         probes = probes.select(F.xxhash64("shingle", "chunk").alias("deal"), *same, F.lit(True).alias("probe")).select(*ENTRY)
         dealt = base.unionByName(probes).repartition(self.parts, "deal").sortWithinPartitions("deal", "n", "pos", "node")
-        found = dealt.mapInArrow(frugal(_outside(self.t)), PAIR)
+        found = dealt.mapInArrow(frugal(_outside(self.t, each)), PAIR)
         # a pair of two probes comes from either side
         low, high = (F.struct(F.col(x).alias("node"), F.col(n).alias("n")) for x, n in (("a", "na"), ("b", "nb")))
         turned = found.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y")).distinct()
-        return materialize(turned.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")), "between-pairs")
+        pairs = materialize(turned.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")), "between-pairs")
+        return pairs.where("na >= 0"), each is None or pairs.where("na < 0").isEmpty()
 
     def derived(self, pairs: DataFrame, led: DataFrame) -> DataFrame:
         """VERIFIED of the pairs; led: VERIFIED of sets with leaders, from which answers are derived where they can be."""
@@ -628,17 +675,22 @@ class _Join:
         return materialize(old.unionByName(new).distinct(), "roots")
 
     def roots(self, rounds: int) -> DataFrame:
-        """(node, root) of the sets that links reach. After ``rounds`` with leaders all pairs that are left between components are looked at."""
+        """(node, root) of the sets that links reach. After ``rounds`` with leaders come passes over the pairs that are
+        left between components, until one has looked at all."""
         entries, led = self.entries(), self.spark.createDataFrame([], VERIFIED)
-        roots = self.spark.createDataFrame([], "node bigint, root bigint")
-        for nth in range(rounds + 1):
+        roots, whole, nth = self.spark.createDataFrame([], "node bigint, root bigint"), False, 0
+        while not whole:
             rows = self.open_entries(entries, roots)
             if rows.isEmpty():
                 break
-            pairs = self.close(self.with_leaders(rows, nth)) if nth < rounds else self.between(rows)
+            if nth < rounds:
+                pairs = self.close(self.with_leaders(rows, nth))
+            else:
+                pairs, whole = self.between(rows, NEAREST * GROWTH ** (nth - rounds))
+            nth += 1
             if pairs.isEmpty():
                 continue
-            if nth < rounds:
+            if nth <= rounds:
                 found = materialize(_verify(pairs, self.sets(pairs), self.t, self.parts, keep=True), "led")
                 led = led.unionByName(found)
             else:
@@ -675,7 +727,7 @@ def similar_pairs(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFram
     Texts with equal sets are one: join_sets tells which they are.
     """
     j = _Join(docs, k, num, den)
-    pairs = j.between(j.open_entries(j.entries(), j.spark.createDataFrame([], "node bigint, root bigint")))
+    pairs, _ = j.between(j.open_entries(j.entries(), j.spark.createDataFrame([], "node bigint, root bigint")))
     found = _verify(pairs, j.sets(pairs), j.t, j.parts).where("linked")
     ids = j.classes.select("node", "least")
     for side, name in (("a", "left"), ("b", "right")):

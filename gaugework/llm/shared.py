@@ -47,6 +47,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     _written.append((spark, path))
     gc.collect()  # what is not referred to any more lets Spark drop the shuffle files of finished steps
+    give_back()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,6 +82,13 @@ def salted_lookup(rows: DataFrame, keys: list[str], aggs: list, salts: int = 32)
     return left.join(right, same).select("l.*", *[F.col(f"r.{n}").alias(n) for n, _, _ in aggs]).drop("_salt")
 
 
+def give_back() -> None:
+    """Gives the memory that this process holds but does not use back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run):
     """``run``, a function for mapInArrow; at its end the worker gives the memory that it holds but does not use back to the system.
 
@@ -91,9 +99,7 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

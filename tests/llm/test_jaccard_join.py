@@ -59,6 +59,55 @@ def test_answers_derived_from_leaders(spark, monkeypatch):
     assert any(derived and n for derived, n in asked)
 
 
+def near_group(rng, n=250):
+    """Copies of one text with 1 to 16 words in a row that differ: the more words, the fewer others are similar."""
+    base = [f"b{i}" for i in range(400)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        at = rng.randrange(380)
+        for j in range(at, at + rng.randrange(1, 17)):
+            words[j] = f"x{rng.randrange(10**6)}"
+        out.append((i + 1, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 5])
+def test_a_group_of_near_copies_is_asked_for_few_of_its_pairs(spark, monkeypatch, seed):
+    """However the classes' hashes fall, and so the leaders: with one poor leader for all lists, all pairs were left to the end."""
+    data = near_group(random.Random(1))
+    df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
+    scan, index, sets = J._scan, J._index, J._sets
+    monkeypatch.setattr(J, "_scan", lambda k, s: scan(k, s + seed))
+    monkeypatch.setattr(J, "_index", lambda k, t, o, s: index(k, t, o, s + seed))
+    monkeypatch.setattr(J, "_sets", lambda k, s, a: sets(k, s + seed, a))
+    monkeypatch.setattr(J, "FEW", 64, raising=False)
+    asked, write = [], J.materialize
+
+    def counted(frame, tag):
+        out = write(frame, tag)
+        if tag in ("leader-pairs", "between-pairs"):
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join_sets(df, 3, 90).collect()}
+    want = near(data, 3, 90)
+    links = [shingles(t, 3) for _, t in data]
+    pairs = sum(100 * len(a & b) >= 90 * len(a | b) for i, a in enumerate(links) for b in links[:i])
+    assert got == want
+    assert sum(asked) < pairs / 4, (asked, pairs)
+
+
+def test_nearest_pairs_of_each_probe():
+    rng = np.random.default_rng(4)
+    cols = [rng.integers(0, 50, 400), np.full(400, 9), rng.integers(0, 20, 400), np.full(400, 9), rng.integers(0, 5, 400)]
+    got = J.nearest(cols, 3)
+    for probe in range(20):
+        own = np.sort(cols[4][cols[2] == probe])
+        assert np.sort(got[4][got[2] == probe]).tolist() == own[:3].tolist()
+
+
 def test_all_pairs_equal_brute_force(spark):
     data = rows()
     df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
