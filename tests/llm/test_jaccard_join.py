@@ -74,7 +74,7 @@ def near_group(rng, n=250):
 
 @pytest.mark.parametrize("seed", [3, 5])
 def test_a_group_of_near_copies_is_asked_for_few_of_its_pairs(spark, monkeypatch, seed):
-    """However the classes' hashes fall, and so the leaders: with one poor leader for all lists, all pairs were left to the end."""
+    """However the classes' hashes fall, and so the leaders."""
     data = near_group(random.Random(1))
     df = spark.createDataFrame([(*r, "x", 0) for r in data], SCHEMA)
     scan, index, sets = J._scan, J._index, J._sets
@@ -99,6 +99,15 @@ def test_a_group_of_near_copies_is_asked_for_few_of_its_pairs(spark, monkeypatch
     assert sum(asked) < pairs / 4, (asked, pairs)
 
 
+def test_single_sets_get_several_leaders(spark):
+    """While no component has half of a list, its leaders are not one set, and those of the next round are others."""
+    j = object.__new__(J._Join)
+    j.t = J.Threshold(90, 100)
+    rows = spark.createDataFrame([(1, i, 100, 0, i, 39, 1, 40) for i in range(40)], "shingle long, node long, n int, pos int, root long, most long, held long, size long")
+    first, second = ({r["b"] for r in j.with_leaders(rows, nth).collect()} for nth in (0, 1))
+    assert len(first) > 1 and len(second) > 1 and first != second
+
+
 def test_nearest_pairs_of_each_probe():
     rng = np.random.default_rng(4)
     cols = [rng.integers(0, 50, 400), np.full(400, 9), rng.integers(0, 20, 400), np.full(400, 9), rng.integers(0, 5, 400)]
